@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weft.llm import mixing, quality, sharding, urls
+from weft.llm import bpe, media, mixing, quality, sharding, simhash, urls
 from weft.llm.common import table
 
 
@@ -13,6 +13,30 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.stored_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return stored.select(
+        "doc_id", "stored.n_bytes", "stored.payload_bytes", "stored.payload_sha256", "stored.tail_crc32",
+        F.octet_length("stored.media").cast("long").alias("media_bytes"), F.sha2("stored.media", 256).alias("media_sha256"),
+        "stored.feature",
+    )
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_bpe()
+    coded = bpe.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
+    return coded.select(
+        "doc_id",
+        F.expr("octet_length(token_ids) div 4").cast("long").alias("n_tokens"),
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.record_digest(table(spark, sf_dir, "documents"))
     sharded = sharding.shard_records(rows, ["doc_id", "size", "text_crc32"])
@@ -32,8 +56,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def public_bpe() -> tuple[str, str]:
+    """The rank file and the pattern of the public tokenizer that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_media_columns": op2_media_columns,
+    "op3_simhash": op3_simhash,
+    "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
     "op8_url_filters": op8_url_filters,
     "op9_quality_rules": op9_quality_rules,
