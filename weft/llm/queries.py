@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weft.llm import bpe, media, mixing, quality, sharding, simhash, urls
+from weft.llm import bpe, langid, lines, media, mixing, quality, secrets, sharding, simhash, urls
 from weft.llm.common import table
 
 
@@ -26,6 +26,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.secret_columns(docs, secrets.fit(docs)).drop("text")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_bpe()
     coded = bpe.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
@@ -43,6 +48,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    named = langid.language_columns(docs.select("doc_id", "text"), langid.fit(langid.training_rows(docs)))
+    return named.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge_urls(table(spark, sf_dir, "pages"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -56,6 +67,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return clean.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def public_bpe() -> tuple[str, str]:
     """The rank file and the pattern of the public tokenizer that the queries use."""
     import public_tokenizers
@@ -67,10 +83,13 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_media_columns": op2_media_columns,
     "op3_simhash": op3_simhash,
+    "op4_secrets": op4_secrets,
     "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
+    "op7_language_id": op7_language_id,
     "op8_url_filters": op8_url_filters,
     "op9_quality_rules": op9_quality_rules,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
