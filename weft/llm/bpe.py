@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -16,55 +17,28 @@ from pyspark.sql import DataFrame, functions as F
 from weft.plans.runtime import ship
 
 #: Pre-tokens of up to so many characters are remembered, in two generations of so many each.
-SHORT, REMEMBERED = 64, 250_000
+SHORT, REMEMBERED = 64, 350_000
 #: Pre-tokens joined at once in very long texts.
 BULK = 65_536
 
 
 class RankQueue:
-    """Smallest rank first, leftmost position first.
+    """State of a queue that gives the smallest rank first, and of a rank the leftmost position.
 
     A bucket per rank is a heap of positions. A bitmap of two levels says which ranks have a bucket:
-    words of about the root of the number of ranks, and a word that says which of them aren't zero.
-    The queue is empty after use, so one serves for all pre-tokens.
+    words of about the root of the number of ranks, and a word (``top`` in ``Codec.merge``) that says
+    which of them aren't zero. It is empty after use, so one state serves for all pre-tokens.
     """
 
-    __slots__ = ("buckets", "low", "mask", "one", "shift", "top")
+    __slots__ = ("buckets", "low", "mask", "one", "shift")
 
     def __init__(self, n_ranks: int):
         self.shift = -(-max(n_ranks - 1, 1).bit_length() // 2)
         self.mask = (1 << self.shift) - 1
         self.one = [1 << k for k in range(1 << self.shift)]
         self.low = [0] * ((n_ranks >> self.shift) + 1)
-        self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        at = rank >> self.shift
-        self.low[at] |= self.one[rank & self.mask]
-        self.top |= self.one[at]
-
-    def pop(self) -> tuple[int, int]:
-        """The first entry; only while ``top`` isn't 0. The first set bit is found from the top down."""
-        top = self.top
-        at = (top & -top).bit_length() - 1
-        word = self.low[at]
-        rank = at << self.shift | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heappop(bucket)
-        del self.buckets[rank]
-        word &= word - 1
-        self.low[at] = word
-        if not word:
-            self.top = top & top - 1
-        return rank, bucket[0]
-
 
 class Codec:
     """Encoder and decoder of one rank file."""
@@ -92,39 +66,77 @@ class Codec:
         n = len(piece)
         after, before = list(range(1, n + 2)), list(range(-1, n))
         now = [-1] * (n + 1)
+        rank_of = ranks.get
+        # The queue's steps are written out here: calls would take half of the time.
         queue = self.queue
-        push, pop, rank_of = queue.push, queue.pop, ranks.get
+        buckets, low, one, shift, mask, top = queue.buckets, queue.low, queue.one, queue.shift, queue.mask, 0
         for i in range(n - 1):
             rank = rank_of(piece[i : i + 2])
             if rank is not None:
                 now[i] = rank
-                push(rank, i)
-        while queue.top:
-            rank, i = pop()
+                if rank in buckets:
+                    buckets[rank].append(i)  # positions come in order, so the list is a heap
+                else:
+                    buckets[rank] = [i]
+                    at = rank >> shift
+                    low[at] |= one[rank & mask]
+                    top |= one[at]
+        while top:
+            at = (top & -top).bit_length() - 1
+            word = low[at]
+            rank = at << shift | (word & -word).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                word &= word - 1
+                low[at] = word
+                if not word:
+                    top &= top - 1
             if now[i] != rank:
                 continue
             j = after[i]
             k = after[j]
             now[j] = -1
             after[i] = k
+            left = before[i]
             if k < n:
                 before[k] = i
-            for left in (i, before[i]):
-                if left < 0:
-                    continue
-                middle = after[left]
-                new = None
-                if middle < n and after[middle] - left <= longest:
-                    new = rank_of(piece[left : after[middle]])
+                end = after[k]
+                new = rank_of(piece[i:end]) if end - i <= longest else None
+                if new is None:
+                    now[i] = -1
+                else:
+                    now[i] = new
+                    if new in buckets:
+                        heappush(buckets[new], i)
+                    else:
+                        buckets[new] = [i]
+                        at = new >> shift
+                        low[at] |= one[new & mask]
+                        top |= one[at]
+            else:
+                now[i] = -1
+            if left >= 0:
+                new = rank_of(piece[left:k]) if k - left <= longest else None
                 if new is None:
                     now[left] = -1
-                elif now[left] != new or left == i:
+                elif now[left] != new:
                     now[left] = new
-                    push(new, left)
+                    if new in buckets:
+                        heappush(buckets[new], left)
+                    else:
+                        buckets[new] = [left]
+                        at = new >> shift
+                        low[at] |= one[new & mask]
+                        top |= one[at]
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i : after[i]]])
-            i = after[i]
+            k = after[i]
+            ids.append(ranks[piece[i:k]])
+            i = k
         return ids
 
     def packed(self, word: str) -> bytes:
@@ -134,7 +146,8 @@ class Codec:
             return found
         found = self.old.get(word)
         if found is None:
-            found = b"".join(x.to_bytes(4, "little") for x in self.merge(word.encode("utf-8", "replace")))
+            ids = self.merge(word.encode("utf-8", "replace"))
+            found = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= SHORT:
             if len(self.young) >= REMEMBERED:
                 self.old, self.young = self.young, {}
