@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from weft.functions.similarity import band_keys, jaro_winkler_of, plain_label
-from weft.functions.text import entropy, label_shape
+from weft.functions.text import digit_runs, entropy, label_shape
 from weft.operators.components import connected_components
 from weft.plans.runtime import cut, ship
 
@@ -65,9 +65,12 @@ def merge_map(nodes: DataFrame) -> DataFrame:
     keys = ["norm", "file_type", "source_file", "community", "shape"]
     alike = named.groupBy(*keys).agg(F.min("id").alias("lead"))
     same = named.join(alike, [named[k].eqNullSafe(alike[k]) for k in keys]).filter("id <> lead").select(F.col("id").alias("src"), F.col("lead").alias("dst"))
-    banded = alike.withColumn("key", F.explode(F.transform(band_keys(F.col("norm")), lambda k, i: F.xxhash64(i, k))))
+    bands = F.transform(band_keys(F.col("norm")), lambda k, i: F.struct(i.alias("band"), k.alias("hash")))
+    banded = alike.withColumn("bands", bands).withColumn("key", F.explode("bands"))
+    # Entities of other digit runs or shapes never merge, so they needn't meet.
+    banded = banded.withColumn("key", F.xxhash64("key.band", "key.hash", F.array_join(digit_runs(F.col("norm")), " "), "shape"))
     crowded = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    met = banded.join(crowded, "key", "left_semi")
+    met = banded.drop("bands").join(crowded, "key", "left_semi")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None

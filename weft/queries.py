@@ -407,11 +407,11 @@ def question_norm(spark, sf_dir):
     return g.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.normalize_question(F.col("text")).alias("question"))
 
 
-@register("jaro_winkler", "SELECT a.item_id AS first, b.item_id AS second, round(jaro_winkler_similarity(left(a.text, 40), left(b.text, 40)), 6) AS score FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id", graph=False)
+@register("jaro_winkler", """WITH t AS (SELECT DISTINCT p_type AS t FROM part) SELECT a.t AS first, b.t AS second, round(jaro_winkler_similarity(a.t, b.t), 6) AS score FROM t a JOIN t b ON a.t < b.t""", graph=False)
 def jaro_winkler(spark, sf_dir):
-    b = g.table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(40)).alias("head"))
-    pairs = b.select(F.col("item_id").alias("first"), F.col("head").alias("x")).join(b.select(F.col("item_id").alias("second"), F.col("head").alias("y")), F.col("first") < F.col("second"))
-    return pairs.select("first", "second", _r(similarity.jaro_winkler("x", "y")).alias("score"))
+    t = g.table(spark, sf_dir, "part").select("p_type").distinct()
+    pairs = t.select(F.col("p_type").alias("first")).join(t.select(F.col("p_type").alias("second")), F.col("first") < F.col("second"))
+    return pairs.select("first", "second", _r(similarity.jaro_winkler("first", "second")).alias("score"))
 
 
 @register("idf_table", r"""WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents WHERE lang = 'en'),
@@ -427,7 +427,7 @@ def idf_table(spark, sf_dir):
 def _document_nodes(spark, sf_dir):
     d = g.table(spark, sf_dir, "documents")
     first = F.substring_index("text", "\n", 1)
-    return d.select(F.concat(F.lit("doc:"), "doc_id").alias("id"), F.left(first, F.lit(80)).alias("label"), F.lit("document").alias("file_type"), F.coalesce("source", F.lit("")).alias("source_file"), F.col("text").alias("docstring"))
+    return d.select(F.concat(F.lit("doc:"), "doc_id").alias("id"), text.sanitize_label(first).alias("label"), F.lit("document").alias("file_type"), F.coalesce("source", F.lit("")).alias("source_file"), F.col("text").alias("docstring"))
 
 
 @register("score_nodes")
@@ -438,16 +438,13 @@ def score_nodes(spark, sf_dir):
 
 
 @register("communities")
-def community_sizes(spark, sf_dir):
-    n, e = _graph(spark, sf_dir)
-    kept = e.filter("relation IN ('references')")
-    return communities.detect(n.filter("id LIKE 'customer:%' OR id LIKE 'nation:%' OR id LIKE 'region:%' OR id LIKE 'supplier:%'"), kept.filter("source NOT LIKE 'part:%'"))
+def community_members(spark, sf_dir):
+    return communities.detect(*_graph(spark, sf_dir))
 
 
 @register("merge_entities")
 def merge_entities(spark, sf_dir):
-    n = g.entity_nodes(spark, sf_dir).filter("id LIKE 'part:%'")
-    return identity.merge_map(n)
+    return identity.merge_map(g.entity_nodes(spark, sf_dir))
 
 
 @register("file_cycles")
