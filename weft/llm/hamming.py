@@ -95,6 +95,13 @@ class Groups:
                 return self.label
             self.label = up
 
+    def find(self, i: int) -> int:
+        """The root of one index, as the labels are now."""
+        while self.label[i] != i:
+            self.label[i] = self.label[self.label[i]]
+            i = int(self.label[i])
+        return i
+
     def union(self, a: np.ndarray, b: np.ndarray) -> None:
         while len(a):
             label = self.root()
@@ -161,51 +168,15 @@ def trie_pairs(unit: np.ndarray, codes: np.ndarray, budget: int = 3, most: int =
         stack.append((depth + 1, *(np.concatenate(x) for x in zip(*parts, strict=True))))
 
 
-def block_pairs(unit: np.ndarray, codes: np.ndarray, budget: int = 3, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """As ``trie_pairs``, by blocks: codes of a unit meet where one of budget + 1 blocks is equal."""
-    n_blocks = budget + 1
-    width = -(-64 // n_blocks)
-    for k in range(n_blocks):
-        value = (codes >> np.uint64(k * width)) & np.uint64((1 << width) - 1)
-        order = np.lexsort((value, unit))
-        u, v = unit[order], value[order]
-        edges = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]), True])
-        size = np.diff(edges)
-        ends = np.repeat(edges[1:], size)
-        partners = ends - np.arange(len(u)) - 1
-        at = 0
-        sums = np.cumsum(partners)
-        while at < len(u):
-            to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + most, side="right")))
-            p = partners[at:to]
-            if p.sum():
-                i = np.repeat(np.arange(at, to), p)
-                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(p) - p, p)
-                a, b = order[i], order[j]
-                x = codes[a] ^ codes[b]
-                near = np.bitwise_count(x) <= budget
-                for earlier in range(k):  # a pair that an earlier block has found
-                    near &= ((x >> np.uint64(earlier * width)) & np.uint64((1 << width) - 1)) != 0
-                if near.any():
-                    yield a[near], b[near]
-            at = to
-
-
-def bit_majority(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """uint64 per group of consecutive hashes: bit set where over half of the group's hashes have it.
-
-    Groups are non-empty, and of at most 65,535 hashes: sums run in 16-bit lanes, four to a word.
-    """
-    lanes = _lane_sums(hashes, starts)
-    return pack_majority(lanes, counts)
-
-
 #: The four bits of a nibble, each in a lane of 16 bits; the lowest bit in the lowest lane.
 LANES = np.array([sum(((v >> b) & 1) << (16 * b) for b in range(4)) for v in range(16)], dtype=np.uint64)
 
 
-def _lane_sums(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(groups, 64) counts of set bits, bit 0 first."""
+def lane_sums(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(groups, 64) counts of set bits, bit 0 first, of groups of consecutive hashes.
+
+    Groups aren't empty and have at most 65,535 hashes: sums run in 16-bit lanes, four to a word.
+    """
     out = np.empty((len(starts), 64), np.int64)
     for nibble in range(16):
         picked = LANES[((hashes >> np.uint64(4 * nibble)) & np.uint64(15)).astype(np.intp)]
@@ -216,5 +187,6 @@ def _lane_sums(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def pack_majority(lanes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """uint64 per group: bit set where over half of the group's hashes have it."""
     bits = (2 * lanes > np.asarray(counts)[:, None]).astype(np.uint64)
     return (bits << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from weft.llm.common import let
-from weft.llm.hamming import _lane_sums, block_pairs, by_unit, hamming_units, pack_majority
+from weft.llm.hamming import Groups, by_unit, hamming_units, lane_sums, pack_majority, trie_pairs
 from weft.operators.components import connected_components
 from weft.plans.runtime import cut, ship
 
@@ -33,7 +33,11 @@ def line_keys(lines: list[str]) -> list[bytes]:
 
 
 def simhash_lines(lines: list[str]) -> np.ndarray:
-    """SimHash over the words of normalised, non-empty lines (which have single spaces)."""
+    """SimHash over the different words of normalised, non-empty lines (which have single spaces).
+
+    A word counts once, lest a line of cells or bullets take the code of what separates them.
+    """
+    lines = [" ".join(dict.fromkeys(line.split(" "))) for line in lines]
     out = np.zeros(len(lines), np.uint64)
     at = 0
     while at < len(lines):
@@ -65,7 +69,7 @@ def _simhash_some(lines: list[str]) -> np.ndarray:
     parts = -(-counts // LANE_WORDS)
     owner = np.repeat(np.arange(len(lines)), parts)
     starts = firsts[owner] + LANE_WORDS * (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts))
-    sums = np.add.reduceat(_lane_sums(hashes, starts), np.cumsum(parts) - parts, axis=0)
+    sums = np.add.reduceat(lane_sums(hashes, starts), np.cumsum(parts) - parts, axis=0)
     return pack_majority(sums, counts)
 
 
@@ -103,31 +107,35 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return 1 - edit_distance(a, b) / longest >= least
 
 
+def _sorted(frame: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """The frame in order of unit and code, its units and its codes."""
+    unit, codes = frame["unit"].to_numpy(), frame["code"].to_numpy().view(np.uint64)
+    order = np.lexsort((codes, unit))
+    return frame.iloc[order], unit[order], codes[order]
+
+
 def _near(frame: pd.DataFrame) -> pd.DataFrame:
     """The keys of a frame's lines that have a neighbour in their unit."""
+    frame, unit, codes = _sorted(frame)
     hit = np.zeros(len(frame), bool)
-    for a, b in block_pairs(frame["unit"].to_numpy(), frame["code"].to_numpy().view(np.uint64)):
+    for a, b in trie_pairs(unit, codes):
         hit[a] = hit[b] = True
     return frame.loc[hit, ["line_key"]].drop_duplicates("line_key")
 
 
 def _verified(frame: pd.DataFrame) -> pd.DataFrame:
     """A spanning forest of the frame's verified links. Pairs that are connected already aren't compared."""
+    frame, unit, codes = _sorted(frame)
     keys, texts = frame["line_key"].tolist(), frame["norm"].tolist()
-    parent = list(range(len(keys)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    groups = Groups(len(keys))
     links = []
-    for a, b in block_pairs(frame["unit"].to_numpy(), frame["code"].to_numpy().view(np.uint64), most=200_000):
-        for i, j in zip(a.tolist(), b.tolist(), strict=True):
-            x, y = find(i), find(j)
+    for a, b in trie_pairs(unit, codes, most=100_000):
+        label = groups.root()
+        apart = label[a] != label[b]
+        for i, j in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+            x, y = groups.find(i), groups.find(j)
             if x != y and similar(texts[i], texts[j]):
-                parent[max(x, y)] = min(x, y)
+                groups.label[max(x, y)] = min(x, y)
                 links.append((keys[i], keys[j]))
     return pd.DataFrame(links, columns=["src", "dst"])
 

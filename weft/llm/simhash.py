@@ -9,7 +9,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weft.llm.hamming import Groups, _lane_sums, by_unit, hamming_units, pack_majority, trie_pairs
+from weft.llm.hamming import Groups, lane_sums, by_unit, hamming_units, pack_majority, trie_pairs
 from weft.operators.components import connected_components
 from weft.plans.runtime import cut, ship
 
@@ -57,7 +57,7 @@ def fingerprint_of(text: str | None, width: int = 3) -> int:
     sums, n = np.zeros(64, np.int64), 0
     for hashes in shingle_hashes((text or "").encode("utf-8", "replace").lower(), width):
         starts = np.arange(0, len(hashes), LANE_HASHES)
-        sums += _lane_sums(hashes, starts).sum(axis=0)
+        sums += lane_sums(hashes, starts).sum(axis=0)
         n += len(hashes)
     return int(pack_majority(sums[None, :], np.array([n]))[0]) if n else 0
 
