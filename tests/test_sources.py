@@ -53,8 +53,8 @@ def test_profiles_and_languages():
 def test_manifests():
     got = code.manifest("package.json", '{"name": "n", "dependencies": {"a": "1"}}')
     assert ("package::n", "depends_on", "package::a") in {(e["source"], e["relation"], e["target"]) for e in got["edges"]}
-    got = code.manifest(".mcp.json", '{"mcpServers": {"s": {"command": "c", "env": {"KEY": "v"}}}}')
-    assert any(n["id"] == "env::KEY" for n in got["nodes"]) and "v" not in str(got["nodes"])
+    got = code.manifest(".mcp.json", '{"mcpServers": {"s": {"command": "c", "env": {"KEY": "hidden-value"}}}}')
+    assert any(n["id"] == "env::KEY" for n in got["nodes"]) and "hidden-value" not in str(got)
 
 
 def test_csv_becomes_a_table():

@@ -5,20 +5,26 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-NODES = StructType.fromDDL(
-    "id string not null, label string not null, file_type string not null, source_file string not null, source_line int, "
-    "docstring string, signature string, community long, degree_centrality double, metadata string, repo string"
-)
-EDGES = StructType.fromDDL(
-    "source string not null, target string not null, relation string not null, confidence string not null, "
-    "confidence_score double, source_file string not null, source_line int, context string"
+TYPES = {"string": StringType(), "int": IntegerType(), "long": LongType(), "double": DoubleType(), "strings": ArrayType(StringType(), False)}
+
+
+def _struct(fields: str) -> StructType:
+    """A schema from "name type" pairs; "!" after a type says that there are no nulls. Needs no session."""
+    pairs = (field.split() for field in fields.split(","))
+    return StructType([StructField(name, TYPES[kind.rstrip("!")], not kind.endswith("!")) for name, kind in pairs])
+
+
+NODES = _struct(
+    "id string!, label string!, file_type string!, source_file string!, source_line int, docstring string, signature string, "
+    "community long, degree_centrality double, metadata string, repo string"
 )
-HYPEREDGES = StructType.fromDDL(
-    "id string not null, label string not null, nodes array<string> not null, relation string not null, "
-    "confidence string not null, confidence_score double, source_file string not null"
+EDGES = _struct(
+    "source string!, target string!, relation string!, confidence string!, confidence_score double, source_file string!, "
+    "source_line int, context string"
 )
+HYPEREDGES = _struct("id string!, label string!, nodes strings!, relation string!, confidence string!, confidence_score double, source_file string!")
 #: Labels that edges may carry.
 CONFIDENCES = ("DECLARED", "EXTRACTED", "RESOLVED", "INFERRED", "SEMANTIC", "AMBIGUOUS")
 #: Nodes whose name was never bound to a definition.
