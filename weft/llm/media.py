@@ -97,6 +97,15 @@ def _guard_bits(head: Header) -> int | None:
     return None
 
 
+def _verify(media: bytes, at: int, head: Header) -> bool | None:
+    """Whether a frame's checksum is right; None where there is none, or it can't be computed."""
+    bits = _guard_bits(head) if head.guarded else None
+    if bits is None or 6 + (bits + 7) // 8 > head.length:
+        return None
+    body = media[at + 2 : at + 4] + media[at + 6 : at + 6 + (bits + 7) // 8]
+    return checksum(body, 16 + bits) == int.from_bytes(media[at + 4 : at + 6], "big")
+
+
 def _syncsafe(four: bytes) -> int:
     return four[0] << 21 | four[1] << 14 | four[2] << 7 | four[3]
 
@@ -164,7 +173,7 @@ def read_rate_table(frame: bytes, head: Header) -> dict | None:
 def scan(media: bytes, payload: bool = False) -> dict:
     """All that the columns hold; see ``media_columns``. ``payload``: also the bytes that ``store`` put in."""
     tags, note, at, end = read_tags(media)
-    seek, parts, table, first = [], [], None, None
+    seek, parts, table, first, kept = [], [], None, None, None
     samples = skipped = good = bad = unchecked = wire = 0
     synced = False
     while at + 4 <= end:
@@ -172,10 +181,14 @@ def scan(media: bytes, payload: bool = False) -> dict:
         fits = head is not None and at + head.length <= end
         if fits and first is not None:
             fits = (head.version, head.layer, head.rate) == (first.version, first.layer, first.rate)
-        if fits and not synced:  # a sync word in other data is not followed by another header
-            after = media[at + head.length : at + head.length + 4]
-            nxt = read_header(after) if at + head.length + 4 <= end else head
+        if fits and kept is not None:
+            fits = head.guarded == kept.guarded and head.channels == kept.channels
+        if fits:
+            # A sync word in other data is seldom followed by another header. The last frame before a
+            # gap isn't either: in step, a right checksum will do, or that there is none to verify.
+            nxt = read_header(media[at + head.length : at + head.length + 4]) if at + head.length + 4 <= end else head
             fits = nxt is not None and (nxt.version, nxt.layer, nxt.rate) == (head.version, head.layer, head.rate)
+            fits = fits or (synced and _verify(media, at, head) is not False)
         if not fits:
             synced = False
             step = media.find(b"\xff", at + 1, end)
@@ -191,18 +204,9 @@ def scan(media: bytes, payload: bool = False) -> dict:
             if table is not None:
                 at += head.length
                 continue
-        if head.guarded:
-            bits = _guard_bits(head)
-            if bits is None or 6 + (bits + 7) // 8 > len(frame):
-                unchecked += 1
-            else:
-                body = frame[2:4] + frame[6 : 6 + (bits + 7) // 8]
-                if checksum(body, 16 + bits) == int.from_bytes(frame[4:6], "big"):
-                    good += 1
-                else:
-                    bad += 1
-        else:
-            unchecked += 1
+        right = _verify(media, at, head)
+        good, bad, unchecked = good + (right is True), bad + (right is False), unchecked + (right is None)
+        kept = head
         seek.append(at)
         samples += head.samples
         wire += head.length
