@@ -16,10 +16,10 @@ from weft.plans.runtime import ship
 #: Order of kinds at the same start; "format" spans are the automata's.
 KINDS = ("assign", "access", "hex", "format")
 #: Labelled values of each kind, and of none, from which automata are inferred: those of the smallest
-#: hash, and of at most so many characters.
-SAMPLE, SAMPLE_CHARS = 400, 128
+#: hash, and of at most so many characters. What is no credential is more varied.
+SAMPLE, OTHER_SAMPLE, SAMPLE_CHARS = 400, 2000, 128
 #: Confidence of the compatibility test, least visits of a state that it needs, and added mass.
-ALPHA, LEAST_VISITS, MASS = 0.01, 12, 0.05
+ALPHA, LEAST_VISITS, MASS = 0.05, 12, 0.05
 #: Nats by which a candidate's likelihood as a credential must exceed that as anything else.
 MARGIN = 8.0
 
@@ -182,10 +182,11 @@ def all_spans(text: str, formats: Formats | None) -> tuple[list, list]:
     return base, added
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, margin: float = MARGIN) -> Formats:
+def fit(docs: DataFrame, sample: int = SAMPLE, other_sample: int = OTHER_SAMPLE, margin: float = MARGIN) -> Formats:
     """Formats from the base patterns' finds, as labelled credentials, and from candidates they don't touch.
 
-    All texts are searched; automata are inferred from ``sample`` different values of each kind.
+    All texts are searched; automata are inferred from ``sample`` different values of each kind, and
+    from ``other_sample`` of no kind.
     """
     ship(docs.sparkSession)
 
@@ -204,7 +205,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, margin: float = MARGIN) -> Format
     kinds = {}
     picked = None
     for kind in ("assign", "access", "hex", "other"):
-        few = values.filter(F.col("kind") == kind).orderBy("pick", "value").limit(sample).select("kind", "value")
+        few = values.filter(F.col("kind") == kind).orderBy("pick", "value").limit(other_sample if kind == "other" else sample).select("kind", "value")
         picked = few if picked is None else picked.unionByName(few)
     for row in picked.collect():
         kinds.setdefault(row["kind"], []).append(row["value"])
