@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weft.llm import bpe, langid, lines, media, mixing, quality, secrets, sharding, simhash, urls
 from weft.llm.common import table
+from weft.llm.oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES", "public_bpe"]
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,5 +94,3 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
 }
-
-ORACLE_SQL: dict[str, str] = {}
