@@ -115,18 +115,18 @@ def _sorted(frame: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
 
 
 def _near(frame: pd.DataFrame) -> pd.DataFrame:
-    """The keys of a frame's lines that have a neighbour in their unit."""
+    """The codes of a frame that have a neighbour in their unit."""
     frame, unit, codes = _sorted(frame)
     hit = np.zeros(len(frame), bool)
     for a, b in trie_pairs(unit, codes):
         hit[a] = hit[b] = True
-    return frame.loc[hit, ["line_key"]].drop_duplicates("line_key")
+    return pd.DataFrame({"code": np.unique(codes[hit]).view(np.int64)})
 
 
 def _verified(frame: pd.DataFrame) -> pd.DataFrame:
     """A spanning forest of the frame's verified links. Pairs that are connected already aren't compared."""
     frame, unit, codes = _sorted(frame)
-    keys, texts = frame["line_key"].tolist(), frame["norm"].tolist()
+    keys, texts = frame["line_id"].tolist(), frame["norm"].tolist()
     groups = Groups(len(keys))
     links = []
     for a, b in trie_pairs(unit, codes, most=100_000):
@@ -137,7 +137,7 @@ def _verified(frame: pd.DataFrame) -> pd.DataFrame:
             if x != y and similar(texts[i], texts[j]):
                 groups.label[max(x, y)] = min(x, y)
                 links.append((keys[i], keys[j]))
-    return pd.DataFrame(links, columns=["src", "dst"])
+    return pd.DataFrame(links, columns=["src", "dst"], dtype="int64")
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -222,25 +222,29 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def line_groups(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(line_key, keep_doc, keep_line): where the first line of each line's group is.
+    """(line_key, keep_doc, keep_line) of lines that occur again or are linked: where their group's first line is.
 
     Lines link if their SimHashes differ in at most 3 bits and their edit similarity is SIMILARITY or
     more; equal lines are one line from the start. Codes are dealt to bounded units by pigeonhole
-    blocks; lines with neighbours there get their texts, and units of these are verified.
+    blocks; lines whose code several lines have, or has a neighbour, get a number and their texts, are
+    dealt again, and verified.
     """
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
-    lines = cut(rows.groupBy("line_key").agg(F.min(place).alias("first"), F.min("code").alias("code")))
-    near = cut(by_unit(hamming_units(lines.select("line_key", "code")), _near, "line_key binary").distinct())
-    wanted = cut(lines.join(near, "line_key", "left_semi"))
+    lines = rows.groupBy("line_key").agg(F.min(place).alias("first"), F.min("code").alias("code"), F.count("*").alias("times"))
+    lines = cut(lines)
+    codes = cut(lines.groupBy("code").agg(F.count("*").alias("n")))
+    near = by_unit(hamming_units(codes.select("code")), _near, "code long").unionByName(codes.filter("n > 1").select("code"))
+    # Stored with their numbers, so that these can't change.
+    wanted = cut(lines.join(near.distinct(), "code", "left_semi").withColumn("line_id", F.monotonically_increasing_id()))
     texts = _texts_of(docs, wanted.select("first.doc_id", "first.line_no"))
-    items = cut(wanted.select("line_key", "code").join(texts, "line_key"))
-    links = by_unit(hamming_units(items), _verified, "src binary, dst binary", rows=50_000)
-    groups = connected_components(links)
-    named = lines.join(groups, lines["line_key"] == groups["node"], "left").select(
-        "line_key", "first", F.coalesce("component", "line_key").alias("group_key")
-    )
-    firsts = named.groupBy("group_key").agg(F.min("first").alias("keep"))
-    return named.join(firsts, "group_key").select("line_key", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line"))
+    items = cut(wanted.select("line_key", "line_id", "code").join(texts, "line_key").select("line_id", "code", "norm"))
+    links = by_unit(hamming_units(items), _verified, "src long, dst long", rows=50_000)
+    grouped = wanted.select("line_id", "line_key", "first").join(connected_components(links).withColumnRenamed("node", "line_id"), "line_id")
+    firsts = grouped.groupBy("component").agg(F.min("first").alias("keep"))
+    linked = grouped.join(firsts, "component").select(F.col("line_key").alias("linked_key"), "keep")
+    out = lines.join(linked, lines["line_key"] == linked["linked_key"], "left").filter("times > 1 OR keep IS NOT NULL")
+    keep = F.coalesce("keep", "first")
+    return out.select("line_key", keep["doc_id"].alias("keep_doc"), keep["line_no"].alias("keep_line"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -270,7 +274,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     )
     some = F.col("drop_lines").isNotNull() & F.col("text").isNotNull()
     joined = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("drop_id")), "left")
-    breaks = F.length("text") - F.length(F.translate("text", "\n", ""))
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     joined = joined.withColumn("n_lines", F.coalesce(breaks + 1, F.lit(0)).cast("long"))
     joined = joined.withColumn("n_removed", F.when(some, F.size("drop_lines")).otherwise(F.lit(0)).cast("long"))
     joined = joined.withColumn("text", F.when(some, F.array_join(kept, "\n")).otherwise(F.col("text")))
