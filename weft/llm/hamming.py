@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from weft.plans.runtime import cut
 
+#: Codes of a unit up to which its pairs are compared one by one.
+FEW = 256
 #: Codes in a unit, above which the unit is split by further blocks.
 UNIT_LIMIT = 4096
 #: Bits of the blocks that must agree, level by level. After the last level 44 bits agree, so a unit
@@ -168,21 +170,43 @@ def trie_pairs(unit: np.ndarray, codes: np.ndarray, budget: int = 3, most: int =
         stack.append((depth + 1, *(np.concatenate(x) for x in zip(*parts, strict=True))))
 
 
-#: The four bits of a nibble, each in a lane of 16 bits; the lowest bit in the lowest lane.
-LANES = np.array([sum(((v >> b) & 1) << (16 * b) for b in range(4)) for v in range(16)], dtype=np.uint64)
+def near_pairs(unit: np.ndarray, codes: np.ndarray, budget: int = 3, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As ``trie_pairs``, where units of few codes, which a walk doesn't help, are compared outright."""
+    n = len(codes)
+    edges = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1], True])
+    size = np.diff(edges)
+    large = np.repeat(size > FEW, size)
+    if large.any():
+        own = np.flatnonzero(large)
+        for a, b in trie_pairs(unit[own], codes[own], budget, most):
+            yield own[a], own[b]
+    partners = np.where(large, 0, np.repeat(edges[1:], size) - np.arange(n) - 1)
+    sums = np.cumsum(partners)
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + most, side="right")))
+        p = partners[at:to]
+        i = np.repeat(np.arange(at, to), p)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(p) - p, p)
+        near = np.bitwise_count(codes[i] ^ codes[j]) <= budget
+        if near.any():
+            yield i[near], j[near]
+        at = to
+
+
+#: The eight bits of a byte, each in a lane of eight bits; the lowest bit in the lowest lane.
+LANES = np.array([sum(((v >> b) & 1) << (8 * b) for b in range(8)) for v in range(256)], dtype=np.uint64)
+#: Hashes that such lanes can sum.
+LANE_HASHES = 255
 
 
 def lane_sums(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(groups, 64) counts of set bits, bit 0 first, of groups of consecutive hashes.
-
-    Groups aren't empty and have at most 65,535 hashes: sums run in 16-bit lanes, four to a word.
-    """
+    """(groups, 64) counts of set bits, bit 0 first, of groups of 1 to LANE_HASHES consecutive hashes."""
     out = np.empty((len(starts), 64), np.int64)
-    for nibble in range(16):
-        picked = LANES[((hashes >> np.uint64(4 * nibble)) & np.uint64(15)).astype(np.intp)]
-        total = np.add.reduceat(picked, starts)
-        for b in range(4):
-            out[:, 4 * nibble + b] = ((total >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
+    octets = hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
+    for k in range(8):
+        total = np.add.reduceat(LANES[octets[:, k]], starts)
+        out[:, 8 * k : 8 * k + 8] = total.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
     return out
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from weft.llm.common import let
-from weft.llm.hamming import Groups, by_unit, hamming_units, lane_sums, pack_majority, trie_pairs
+from weft.llm.hamming import LANE_HASHES, Groups, by_unit, hamming_units, lane_sums, near_pairs, pack_majority
 from weft.operators.components import connected_components
 from weft.plans.runtime import cut, ship
 
@@ -18,8 +18,8 @@ from weft.plans.runtime import cut, ship
 SIMILARITY = 0.8
 #: Bits of the filter that finds lines with near neighbours again; it only saves work.
 FILTER_BITS = 1 << 22
-#: Characters hashed at once, and words of a line whose bits are summed at once.
-PIECE, LANE_WORDS = 1 << 20, 32_768
+#: Characters hashed at once.
+PIECE = 1 << 20
 
 
 def normal(line: str) -> str:
@@ -65,10 +65,10 @@ def _simhash_some(lines: list[str]) -> np.ndarray:
     hashes ^= hashes >> np.uint64(31)
     counts = np.fromiter((line.count(" ") + 1 for line in lines), np.int64, len(lines))
     firsts = np.cumsum(counts) - counts
-    # 16-bit lanes hold so many words; a longer line is summed in parts.
-    parts = -(-counts // LANE_WORDS)
+    # Lanes hold so many words; a longer line is summed in parts.
+    parts = -(-counts // LANE_HASHES)
     owner = np.repeat(np.arange(len(lines)), parts)
-    starts = firsts[owner] + LANE_WORDS * (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts))
+    starts = firsts[owner] + LANE_HASHES * (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts))
     sums = np.add.reduceat(lane_sums(hashes, starts), np.cumsum(parts) - parts, axis=0)
     return pack_majority(sums, counts)
 
@@ -118,7 +118,7 @@ def _near(frame: pd.DataFrame) -> pd.DataFrame:
     """The codes of a frame that have a neighbour in their unit."""
     frame, unit, codes = _sorted(frame)
     hit = np.zeros(len(frame), bool)
-    for a, b in trie_pairs(unit, codes):
+    for a, b in near_pairs(unit, codes):
         hit[a] = hit[b] = True
     return pd.DataFrame({"code": np.unique(codes[hit]).view(np.int64)})
 
@@ -129,7 +129,7 @@ def _verified(frame: pd.DataFrame) -> pd.DataFrame:
     keys, texts = frame["line_id"].tolist(), frame["norm"].tolist()
     groups = Groups(len(keys))
     links = []
-    for a, b in trie_pairs(unit, codes, most=100_000):
+    for a, b in near_pairs(unit, codes, most=100_000):
         label = groups.root()
         apart = label[a] != label[b]
         for i, j in zip(a[apart].tolist(), b[apart].tolist(), strict=True):

@@ -9,14 +9,12 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weft.llm.hamming import Groups, lane_sums, by_unit, hamming_units, pack_majority, trie_pairs
+from weft.llm.hamming import LANE_HASHES, Groups, lane_sums, by_unit, hamming_units, pack_majority, trie_pairs
 from weft.operators.components import connected_components
 from weft.plans.runtime import cut, ship
 
 #: Bytes of a text that are taken apart at once.
 PIECE = 1 << 20
-#: Hashes whose bits are summed at once (16-bit lanes).
-LANE_HASHES = 32_768
 
 
 def _pieces(raw: bytes) -> Iterator[bytes]:
