@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from weft.queries import ORACLE_SQL, QUERIES
+from weft import queries_more  # noqa: F401  registers its queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
