@@ -198,3 +198,39 @@ def orientation(path, kind, node_id):
     )
     docs = (kind != "code") | low.rlike(r"(^|/)(docs|doc|documentation)(/|$)")
     return F.when(support, "support").when(docs, "documentation").otherwise("production")
+
+
+def suggested_questions(nodes: DataFrame, edges: DataFrame) -> list[str]:
+    """Questions that the graph's own signals raise: its top hub, its rarest bridge, up to two orphan files, its communities."""
+    out = []
+    if hub := god_nodes(nodes, edges, 1).first():
+        out.append(f"Why do {hub['degree']} relations meet in {hub['label']}?")
+    if bridge := surprising_connections(nodes, edges, 1).first():
+        out.append(f"What does {bridge['source_label']} need {bridge['target_label']} for ({bridge['relation']})?")
+    out += [f"Is {r['file']} still used?" for r in orphan_files(nodes, edges).orderBy("file").limit(2).collect()]
+    n = nodes.select("community").filter("community IS NOT NULL").distinct().count()
+    if n > 1:
+        out.append(f"How do the {n} communities depend on each other?")
+    return out
+
+
+def embedding_text(nodes: DataFrame, most: int = 4000) -> DataFrame:
+    """(id, text): what a node's vector is made of, label and docstring or signature, cut to ``most`` bytes between characters."""
+    whole = F.concat_ws("\n", "label", F.coalesce("docstring", "signature"))
+    cut_at = F.substring(F.encode(whole, "UTF-8"), 1, most)
+    # A character that the cut has split is at most three bytes of its end.
+    valid = F.regexp_replace(F.decode(cut_at, "ISO-8859-1"), r"[\xC0-\xFF][\x80-\xBF]{0,3}$", "")
+    short = F.decode(F.encode(valid, "ISO-8859-1"), "UTF-8")
+    return nodes.select("id", F.when(F.octet_length(whole) <= most, whole).otherwise(short).alias("text"))
+
+
+def missing_vectors(nodes: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
+    """Ids of the nodes that have no vector of the model."""
+    return nodes.select("id").join(vectors.filter(F.col("model") == model).select(F.col("node_id").alias("id")), "id", "left_anti")
+
+
+def corpus_mode(nodes: DataFrame, share: float = 0.95) -> DataFrame:
+    """One row: the share of prose among the located nodes, and whether they are mostly documents."""
+    located = nodes.filter(F.coalesce("source_file", F.lit("")) != "")
+    prose = F.avg(F.col("file_type").isin("document", "chunk", "paper").cast("double"))
+    return located.agg(F.coalesce(prose, F.lit(0.0)).alias("prose")).select("prose", (F.col("prose") >= share).alias("docs_majority"))

@@ -84,6 +84,30 @@ def link_weights(edges: DataFrame) -> DataFrame:
     return kept.groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.sum(w).alias("weight"))
 
 
+def hubs(links: DataFrame, floor: int = 12, factor: float = 4.0) -> DataFrame:
+    """(id) of the nodes with so many links, at least ``floor`` and ``factor`` times the mean, that they'd glue communities."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    mean = ends.agg(F.avg("n").alias("mean")).scalar()
+    return ends.filter(F.col("n") >= F.greatest(F.lit(floor), factor * mean)).select("id")
+
+
+def detect_without_hubs(nodes: DataFrame, edges: DataFrame, **how) -> DataFrame:
+    """As ``detect``, of the graph without its hubs; each hub then joins the community that it is tied to most."""
+    links = cut(link_weights(edges))
+    glue = cut(hubs(links))
+    left = edges
+    for side in ("source", "target"):
+        left = left.join(glue.select(F.col("id").alias(side)), side, "left_anti")
+    found = cut(detect(nodes.join(glue, "id", "left_anti"), left, **how))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    pull = both.join(glue.select(F.col("id").alias("a")), "a", "left_semi").join(found.select(F.col("id").alias("b"), "community"), "b")
+    pull = pull.groupBy(F.col("a").alias("id"), "community").agg(F.sum("weight").alias("weight"))
+    tied = pull.groupBy("id").agg(F.min(F.struct((-F.col("weight")).alias("w"), "community"))["community"].alias("community"))
+    alone = glue.join(tied, "id", "left_anti").join(nodes.select("id"), "id", "left_semi")
+    first = (F.coalesce(found.agg(F.max("community").alias("m")).scalar(), F.lit(-1)) + F.row_number().over(Window.orderBy("id"))).cast("long")
+    return found.select("id", F.col("community").cast("long")).unionByName(tied.select("id", F.col("community").cast("long"))).unionByName(alone.select("id", first.alias("community")))
+
+
 def detect(nodes: DataFrame, edges: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
     """(id, community): communities, numbered by their first member in order of ids.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 
@@ -84,6 +86,25 @@ def risk_score(changed: int, impacted: int, complete: bool) -> tuple[int | None,
     return score, "high" if score >= 60 else "medium" if score >= 30 else "low"
 
 
+OUTCOMES = ("useful", "dead_end", "corrected")
+
+
+def save_result(nodes: DataFrame, edges: DataFrame, outcomes: DataFrame, question: str, outcome: str, cited: list[str], most: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The graph and the outcomes with a verdict added: a memory node, and references to cited nodes that exist."""
+    if outcome not in OUTCOMES:
+        raise ValueError(f"outcome is one of {', '.join(OUTCOMES)}")
+    spark = nodes.sparkSession
+    plain = " ".join(question.lower().split())[:200]
+    row = spark.createDataFrame([(plain, outcome)], "question string, outcome string").withColumn("updated_at", F.current_timestamp())
+    outcomes = outcomes.filter(F.col("question") != plain).unionByName(row.select(*outcomes.columns))
+    ident = "memory::" + re.sub(r"[^0-9a-z]+", "_", plain).strip("_")
+    node = spark.createDataFrame([(ident, question[:256], "document", f"memory/{ident[8:]}.md")], "id string, label string, file_type string, source_file string")
+    known = nodes.filter(F.col("id").isin(cited)).select("id").orderBy("id").limit(most)
+    new = known.select(F.lit(ident).alias("source"), F.col("id").alias("target"), F.lit("references").alias("relation"), F.lit("EXTRACTED").alias("confidence"), F.lit(1.0).alias("confidence_score"), F.lit(f"memory/{ident[8:]}.md").alias("source_file"))
+    kept = nodes.filter(F.col("id") != ident).unionByName(node, allowMissingColumns=True)
+    return kept, edges.filter(F.col("source") != ident).unionByName(new, allowMissingColumns=True), outcomes
+
+
 def merge_gate(exists: bool, age_hours: float, covered: bool, health: int, risk: int | None) -> dict[str, bool]:
     """Each check by its name; a merge passes if all do, and an unknown risk fails."""
     return {"graph": exists, "age": age_hours <= 24, "coverage": covered, "health": health >= 60, "risk": risk is not None and risk <= 70}

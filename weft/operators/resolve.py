@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from weft.plans.runtime import cut
+
 
 def bind_unique(wanted: DataFrame, candidates: DataFrame, keys: list[str], rank: str | None = None) -> DataFrame:
     """``wanted`` (edge_id, keys) with the ``target`` of its one candidate; of several, none binds.
@@ -98,12 +100,14 @@ def structural_implements(members: DataFrame, interfaces: DataFrame, most: int =
 
 def inherited_members(receivers: DataFrame, members: DataFrame, parents: DataFrame, depth: int = 6) -> DataFrame:
     """(call, target, level): the member of each call's receiver type, or of its nearest ancestor, if it is one."""
-    left, out = receivers.select("call", "type", "name"), None
+    left, out = cut(receivers.select("call", "type", "name")), None
     for level in range(depth + 1):
         met = left.join(members.select(F.col("owner").alias("type"), "name", "id"), ["type", "name"])
         hit = met.groupBy("call").agg(F.min("id").alias("target"), F.max("id").alias("other"))
         named = hit.select("call", F.when(F.col("target") == F.col("other"), F.col("target")).alias("target"), F.lit(level).alias("level"))
         out = named if out is None else out.unionByName(named)
         left = left.join(hit.select("call"), "call", "left_anti").join(parents.select(F.col("child").alias("type"), "parent"), "type")
-        left = left.select("call", F.col("parent").alias("type"), "name").distinct()
+        left = cut(left.select("call", F.col("parent").alias("type"), "name").distinct())
+        if left.isEmpty():
+            break
     return out.filter("target IS NOT NULL")

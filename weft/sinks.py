@@ -113,3 +113,31 @@ def html_page(nodes: DataFrame, edges: DataFrame, limit: int = 5000) -> str:
 
 def slug(text: str) -> str:
     return re.sub(r"[^a-z0-9]+", "-", text.lower()).strip("-") or "untitled"
+
+
+def svg(nodes: DataFrame, edges: DataFrame, most_nodes: int = 2000, most_edges: int = 6000, labels: int = 30) -> str:
+    """The most connected nodes on arcs by community, and the first edges among them. Top-k reads, laid out on the driver."""
+    import math
+
+    ranked = nodes.join(analytics.degrees(edges).select("id", "degree"), "id", "left").fillna(0, ["degree"])
+    rows = ranked.orderBy(F.desc("degree"), "id").limit(most_nodes).collect()
+    order = sorted(rows, key=lambda r: (r["community"] is None, r["community"] or 0, r["id"]))
+    at = {r["id"]: (500 + 450 * math.cos(2 * math.pi * k / len(order)), 500 + 450 * math.sin(2 * math.pi * k / len(order))) for k, r in enumerate(order)}
+    ids = nodes.sparkSession.createDataFrame([(i,) for i in at], "id string") if at else nodes.select("id").limit(0)
+    inner = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    lines = [f'<line x1="{a[0]:.1f}" y1="{a[1]:.1f}" x2="{b[0]:.1f}" y2="{b[1]:.1f}" stroke="#999"/>' for a, b in (
+        (at[r["source"]], at[r["target"]]) for r in inner.orderBy("source", "target", "relation").limit(most_edges).collect())]
+    dots = [f'<circle cx="{at[r["id"]][0]:.1f}" cy="{at[r["id"]][1]:.1f}" r="3"/>' for r in order]
+    names = [f'<text x="{at[r["id"]][0]:.1f}" y="{at[r["id"]][1]:.1f}" font-size="9">{html.escape(r["label"])}</text>' for r in rows[:labels]]
+    return '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 1000 1000">' + "".join(lines + dots + names) + "</svg>"
+
+
+def vault(nodes: DataFrame, edges: DataFrame, links: int = 50) -> DataFrame:
+    """(name, text): a note for each node with links to its strongest neighbours, for readers of linked Markdown."""
+    both = edges.select("source", "target", "relation").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "relation"))
+    nth = F.row_number().over(Window.partitionBy("source").orderBy("relation", "target"))
+    near = both.distinct().withColumn("nth", nth).filter(F.col("nth") <= links)
+    line = F.concat(F.lit("- "), "relation", F.lit(" [["), "target", F.lit("]]"))
+    grouped = near.groupBy(F.col("source").alias("id")).agg(F.sort_array(F.collect_list(F.struct("nth", line.alias("line")))).alias("lines"))
+    text = F.concat_ws("\n", F.concat(F.lit("# "), "label"), F.col("source_file"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
+    return nodes.join(grouped, "id", "left").select(F.regexp_replace("id", r'[\\/:*?"<>|]', "_").alias("name"), text.alias("text"))

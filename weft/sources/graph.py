@@ -110,6 +110,17 @@ def html_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def html_title(html: Column) -> Column:
+    return html_text(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1))
+
+
+def html_meta(html: Column, name: str) -> Column:
+    """The content of the meta tag of a name or property, in either order of its attributes."""
+    a = F.regexp_extract(html, rf"""(?is)<meta\b[^>]*\b(?:name|property)\s*=\s*["']{name}["'][^>]*\bcontent\s*=\s*["']([^"']*)["']""", 1)
+    b = F.regexp_extract(html, rf"""(?is)<meta\b[^>]*\bcontent\s*=\s*["']([^"']*)["'][^>]*\b(?:name|property)\s*=\s*["']{name}["']""", 1)
+    return html_text(F.when(a != "", a).otherwise(b))
+
+
 def href_edges(pages: DataFrame) -> DataFrame:
     """(source, target) of the links of each page, repeats included."""
     links = F.regexp_extract_all("html", F.lit(r'<a\s[^>]*?href="([^"]*)"'), F.lit(1))
