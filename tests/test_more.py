@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft import cli, sinks
-from weft.operators import analytics, communities, memory
+from weft.operators import analytics, communities, memory, retrieve, traverse
 from weft.sources import graph as tables, office
 from tests.test_graph import graph
 
@@ -71,6 +71,27 @@ def test_results_are_saved_once(spark):
         memory.save_result(nodes, e, outcomes, "q", "great", [])
 
 
+def test_names_resolve_or_say_why_not(spark):
+    nodes = [("src_a::load", "load()", "code", "src/a.py", None), ("load", "load", "stub", "", None), ("x::run", "run()", "code", "src/x.py", None), ("y::run", "run()", "code", "src/y.py", None), ("src_a", "a.py", "code", "src/a.py", None)]
+    n, _ = graph(spark, [], nodes)
+    assert traverse.resolve_seed(n, "load") == "src_a::load" and traverse.resolve_seed(n, "x::run") == "x::run"
+    assert traverse.resolve_seed(n, ".load()") == "src_a::load" and traverse.resolve_seed(n, "a.py") == "src_a" == traverse.resolve_seed(n, "src/a.py")
+    for name in ("run()", "nothing", "run"):
+        with pytest.raises(LookupError):
+            traverse.resolve_seed(n, name)
+
+
+def test_entries_and_confidence(spark):
+    edges = [("app", m, "imports") for m in "abc"] + [("tests/t", m, "imports") for m in "abc"] + [("a", "app2", "imports")]
+    nodes, e = graph(spark, edges, [("tests/t", "t", "code", "tests/t.py", None)])
+    assert retrieve.asks_for_entry(spark, "Where are the entry points?") and not retrieve.asks_for_entry(spark, "domain files")
+    assert [r["id"] for r in retrieve.entry_files(nodes, e).collect()] == ["app"]
+    index = retrieve.lexical_index(graph(spark, [], [("h", "handle message", "code", "h.py", None), ("o", "other", "code", "o.py", None)])[0].withColumn("docstring", F.lit(None).cast("string")))
+    freq = retrieve.document_frequency(index)
+    assert not retrieve.confident(retrieve.score_nodes(index, freq, "zebra quagga okapi gnu handle"))
+    assert retrieve.confident(retrieve.score_nodes(index, freq, "handle message"))
+
+
 def test_page_heads(spark):
     page = "<title>A &amp; B</title><meta content='x' property='og:title'><meta name=\"description\" content=\"d\">"
     row = spark.range(1).select(tables.html_title(F.lit(page)).alias("t"), tables.html_meta(F.lit(page), "og:title").alias("o"), tables.html_meta(F.lit(page), "description").alias("d")).first()

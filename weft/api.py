@@ -39,9 +39,14 @@ class Graph:
         return Graph(self.nodes.drop("community").join(found, "id"), self.edges)
 
     def query(self, question: str, depth: int = 2, seeds: int = 5) -> DataFrame:
-        """Nodes around the best seeds with distance and relevance, the most relevant first; empty without a match."""
+        """Nodes around the best seeds with distance and relevance, the most relevant first; empty without a confident match."""
         index = cut(retrieve.lexical_index(self.nodes))
         scores = cut(retrieve.score_nodes(index, retrieve.document_frequency(index), question))
+        if retrieve.asks_for_entry(self.spark, question):
+            entries = retrieve.entry_files(self.nodes, self.edges)
+            scores = cut(scores.select("id", "label", "score").unionByName(entries).groupBy("id", "label").agg(F.max("score").alias("score")))
+        elif not analytics.corpus_mode(self.nodes).first()["docs_majority"] and not retrieve.confident(scores):
+            scores = scores.limit(0)
         chosen = cut(retrieve.seeds(scores, k=seeds))
         reached = traverse.bfs(chosen, traverse.neighbours(self.edges), depth)
         named = self.nodes.select("id", "label", "file_type", "source_file").join(reached, "id")
@@ -72,13 +77,17 @@ class Graph:
         return analytics.god_nodes(self.nodes, self.edges, k)
 
     def path(self, source: str, target: str, **which) -> DataFrame:
-        return traverse.shortest_path(self.edges, source, target, **which)
+        """The conservative shortest path between two nodes, by any name that says which they are."""
+        return traverse.shortest_path(self.edges, self.node(source), self.node(target), **which)
+
+    def node(self, name: str) -> str:
+        return traverse.resolve_seed(self.nodes, name)
 
     def affected(self, node: str, depth: int = 3, relation: str | None = None) -> DataFrame:
-        return traverse.blast_radius(self.nodes, self.edges, node, depth, relation)
+        return traverse.blast_radius(self.nodes, self.edges, self.node(node), depth, relation)
 
     def explain(self, node: str) -> DataFrame:
-        return traverse.explain(self.nodes, self.edges, node)
+        return traverse.explain(self.nodes, self.edges, self.node(node))
 
     def neighbours(self, node: str, relation: str | None = None) -> DataFrame:
         """Of the node's first twenty neighbours those of a relation."""
@@ -86,7 +95,7 @@ class Graph:
         return found.filter(F.col("relation") == relation) if relation else found
 
     def call_flow(self, node: str, depth: int = 3, direction: str = "out") -> str:
-        return traverse.mermaid(traverse.call_flow(self.edges, node, depth, direction))
+        return traverse.mermaid(traverse.call_flow(self.edges, self.node(node), depth, direction))
 
     def repo_map(self, k: int = 50) -> DataFrame:
         """Files by rank, with the symbols that most others touch."""

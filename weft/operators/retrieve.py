@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from weft.functions.similarity import jaro_winkler
-from weft.functions.text import salient, stem, tokens
+from weft.functions.text import is_test_path, salient, stem, tokens
 
 #: Fixed values of the scores.
 LABEL_EXACT, LABEL_FULL, LABEL_PART, DOC, CHUNK_DOC, PATH_PART, FUZZY, FUZZY_LEAST = 4.0, 2.0, 0.5, 0.35, 1.1, 0.55, 0.15, 0.9
@@ -64,7 +64,7 @@ def score_nodes(index: DataFrame, frequencies: DataFrame, question: str) -> Data
     spark = index.sparkSession
     terms = question_terms(spark, question)
     if not terms:
-        return index.select("id", "label", F.lit(0.0).alias("score")).limit(0)
+        return index.select("id", "label", *[F.lit(0.0).alias(c) for c in ("score", "share", "rare")]).limit(0)
     n = index.count()
     known = {r["stem"]: r["df"] for r in frequencies.filter(F.col("stem").isin([_stem(t) for t in terms])).collect()}
     rarity = {t: 1.0 if not known.get(_stem(t)) else min(1.0, max(IDF_LEAST, math.log(n / known[_stem(t)]) / max(math.log(n), 1.0))) for t in terms}
@@ -96,7 +96,33 @@ def score_nodes(index: DataFrame, frequencies: DataFrame, question: str) -> Data
         .when(chunk, 0.45).when(F.col("file_type") == "document", 0.55).when(F.col("file_type").isin("concept", "entity"), 0.55).otherwise(1.0)
     )
     scored = index.withColumn("score", total * (0.8 + 0.2 * share) * (0.6 + 0.4 * rare) * prior)
-    return scored.filter("score > 0").select("id", "label", "score")
+    scored = scored.withColumn("share", share).withColumn("rare", rare)
+    return scored.filter("score > 0").select("id", "label", "score", "share", "rare")
+
+
+def confident(scores: DataFrame) -> bool:
+    """Whether any node has one of the rarest terms, or any has half of all terms; else hits are incidental words."""
+    row = scores.agg(F.max("rare").alias("rare"), F.max("share").alias("share")).first()
+    return bool(row["rare"]) or (row["share"] or 0) >= 0.5
+
+
+#: Word sequences that ask for the file that execution starts from, and the imports it has at least.
+ENTRY_PHRASES, ENTRY_IMPORTS = (("entry", "point"), ("entrypoint",), ("main", "file"), ("starting", "point")), 3
+
+
+def asks_for_entry(spark: SparkSession, question: str) -> bool:
+    words = [_stem(w) for w in spark.createDataFrame([(question,)], "q string").select(tokens(F.col("q")).alias("t")).first()["t"]]
+    runs = lambda n: {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+    return any(tuple(_stem(w) for w in phrase) in runs(len(phrase)) for phrase in ENTRY_PHRASES)
+
+
+def entry_files(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, label, score) of files that import several modules and that nothing imports; tests aren't entries."""
+    imports = edges.filter("relation = 'imports'")
+    out = imports.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n")).filter(F.col("n") >= ENTRY_IMPORTS)
+    free = out.join(imports.select(F.col("target").alias("id")), "id", "left_anti")
+    located = nodes.filter((F.coalesce("source_file", F.lit("")) != "") & ~is_test_path(F.col("source_file")))
+    return located.join(free, "id").select("id", "label", (LABEL_EXACT + F.log1p("n")).alias("score"))
 
 
 def seeds(scores: DataFrame, semantic: DataFrame | None = None, k: int = 5) -> DataFrame:

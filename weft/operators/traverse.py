@@ -106,6 +106,33 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, seed: str, depth: int = 3,
     return out.select("id", F.coalesce("label", "id").alias("label"), "depth", "relation", "provenance", via.alias("via_file"))
 
 
+def resolve_seed(nodes: DataFrame, name: str, shown: int = 10) -> str:
+    """The id that a name stands for: an id, a label, a bare name, a label in any case, or the end of a path.
+
+    The first of these that any node matches decides; stubs come last in it. Several located nodes of the
+    deciding kind are an error that lists them, as is a name that nothing matches. One read of a few rows.
+    """
+    bare = name.strip().lstrip(".").removesuffix("()").lower()
+    plain = F.lower(F.regexp_replace(F.regexp_replace("label", r"\(\)$", ""), r"^\.+", ""))
+    path = name.replace("\\", "/").lstrip("/")
+    tier = (
+        F.when(F.col("id") == name, 0).when(F.col("label") == name, 1).when(F.lower("id").endswith("::" + bare) | (plain == bare), 2)
+        .when(F.lower("label") == name.lower(), 3).when((F.col("source_file") == path) | F.col("source_file").endswith("/" + path), 4)
+    )
+    stub = (F.col("file_type") == "stub").cast("int")
+    # The node of a file itself stands before what the file contains.
+    found = nodes.withColumn("tier", tier).filter("tier IS NOT NULL").withColumn("stub", stub).withColumn("n", F.length("id"))
+    rows = found.orderBy("stub", "tier", "n", "id").select("id", "tier", "stub", "source_file").limit(shown + 1).collect()
+    if not rows:
+        raise LookupError(f"no node {name!r}")
+    best = [r for r in rows if (r["stub"], r["tier"]) == (rows[0]["stub"], rows[0]["tier"])]
+    if len(best) > 1 and rows[0]["tier"] != 4 and not rows[0]["stub"]:
+        raise LookupError(f"{name!r} is ambiguous: {', '.join(r['id'] for r in best[:shown])}")
+    if rows[0]["tier"] == 4 and len({r["source_file"] for r in best}) > 1:
+        raise LookupError(f"{name!r} is the end of several paths: {', '.join(sorted({r['source_file'] for r in best})[:shown])}")
+    return best[0]["id"]
+
+
 def call_flow(edges: DataFrame, seed: str, depth: int = 3, direction: str = "out", relation: str = "calls") -> DataFrame:
     """(source, target, depth) of the ``relation`` edges that a walk from the seed crosses."""
     calls = edges.filter(F.col("relation") == relation).select("source", "target").distinct()

@@ -434,7 +434,7 @@ def _document_nodes(spark, sf_dir):
 def score_nodes(spark, sf_dir):
     index = retrieve.lexical_index(_document_nodes(spark, sf_dir))
     scores = retrieve.score_nodes(index, retrieve.document_frequency(index), "which public license and rights are reserved")
-    return scores.orderBy(F.desc("score"), "id").limit(20).withColumn("score", _r("score"))
+    return scores.select("id", "label", _r("score").alias("score")).orderBy(F.desc("score"), "id").limit(20)
 
 
 @register("communities")
