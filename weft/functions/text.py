@@ -85,17 +85,16 @@ def tokens(text: Column) -> Column:
 
     Runs of ideographs, kana or hangul, which no dictionary is at hand for, become pairs of characters.
     """
-    cjk = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}"
-    split = F.regexp_replace(text, r"(?<=[\p{L}\p{N}&&[^\p{Lu}]])(?=\p{Lu})", " ")
+    cjk = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}]"
+    split = F.lower(F.regexp_replace(text, r"(?<=[\p{L}\p{N}&&[^\p{Lu}]])(?=\p{Lu})", " "))
     words = F.filter(F.split(split, r"[^\p{L}\p{N}\p{M}]+"), lambda w: w != "")
 
     def pairs(word: Column) -> Column:
         n = F.length(word)
-        return F.when(
-            word.rlike(f"[{cjk}]") & (n > 2), F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(word, i, F.lit(2)))
-        ).otherwise(F.array(word))
+        two = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(word, i, F.lit(2)))
+        return F.when(word.rlike(cjk) & (n > 2), two).otherwise(F.array(word))
 
-    return F.flatten(F.transform(words, lambda w: pairs(F.lower(w))))
+    return F.when(text.rlike(cjk), F.flatten(F.transform(words, pairs))).otherwise(words)
 
 
 def stem(token: Column) -> Column:

@@ -15,18 +15,20 @@ ID_SCOPE, ID_PART, IDF_LEAST = 4.0, 1.0, 0.25
 
 
 def lexical_index(nodes: DataFrame, doc_tokens: int = 400) -> DataFrame:
-    """The token arrays that scores are made of: of label, docstring, id and path."""
+    """The token arrays that scores are made of, of label, docstring, id and path, and their stems without repeats."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return nodes.select(
+    index = nodes.select(
         "id", "label", "file_type", "source_file",
         tokens(text("label")).alias("label_tokens"), F.slice(tokens(text("docstring")), 1, doc_tokens).alias("doc_tokens"),
         tokens(text("id")).alias("id_tokens"), tokens(text("source_file")).alias("path_tokens"),
     )
+    kinds = ("label", "doc", "id", "path")
+    return index.withColumns({f"{k}_stems": F.array_distinct(F.transform(f"{k}_tokens", stem)) for k in kinds})
 
 
 def document_frequency(index: DataFrame) -> DataFrame:
     """(stem, df): nodes that have a stem in their label, docstring or id."""
-    stems = F.array_distinct(F.transform(F.concat("label_tokens", "doc_tokens", "id_tokens"), stem))
+    stems = F.array_distinct(F.concat("label_stems", "doc_stems", "id_stems"))
     return index.select(F.explode(stems).alias("stem")).groupBy("stem").agg(F.count("*").alias("df"))
 
 
@@ -42,8 +44,9 @@ def question_terms(spark: SparkSession, question: str) -> list[str]:
     return row["t"]
 
 
-def _has(words: Column, term: str, stemmed: str) -> Column:
-    return F.exists(words, lambda w: (w == term) | (stem(w) == stemmed)).cast("double")
+def _has(kind: str, stemmed: str) -> Column:
+    """1.0 where a word of that kind has the stem; an equal word has an equal stem."""
+    return F.array_contains(f"{kind}_stems", stemmed).cast("double")
 
 
 def _stem(term: str) -> str:
@@ -75,14 +78,16 @@ def score_nodes(index: DataFrame, frequencies: DataFrame, question: str) -> Data
     parts, matched, rare_matched = [], [], []
     for term in terms:
         s = _stem(term)
-        share = _has(F.col("label_tokens"), term, s) / F.greatest(F.size("label_tokens"), F.lit(1))
+        share = _has("label", s) / F.greatest(F.size("label_tokens"), F.lit(1))
         label = F.when(lowered == term, LABEL_EXACT).when(share >= 1, LABEL_FULL).when(chunk, 0.0).otherwise(LABEL_PART * share * share)
-        doc = _has(F.col("doc_tokens"), term, s) * F.when(chunk, CHUNK_DOC).otherwise(DOC)
+        doc = _has("doc", s) * F.when(chunk, CHUNK_DOC).otherwise(DOC)
         last = F.lower(F.element_at(F.split("id", "::"), -1))
-        own = F.when(last == term, ID_SCOPE).otherwise(_has(F.col("id_tokens"), term, s) * ID_PART / F.greatest(F.size("id_tokens"), F.lit(1)))
-        path = _has(F.col("path_tokens"), term, s) * PATH_PART
+        own = F.when(last == term, ID_SCOPE).otherwise(_has("id", s) * ID_PART / F.greatest(F.size("id_tokens"), F.lit(1)))
+        path = _has("path", s) * PATH_PART
         plain = F.greatest(label, doc) + own + path
-        close = F.when(plain > 0, 0.0).otherwise(F.when(jaro_winkler(lowered, F.lit(term)) > FUZZY_LEAST, FUZZY).otherwise(0.0)) if len(term) > 3 else F.lit(0.0)
+        # Beyond twice the other's length, no label is so similar.
+        comparable = F.when(F.length(lowered).between(len(term) // 2, 2 * len(term)), lowered)
+        close = F.when(plain > 0, 0.0).otherwise(F.when(jaro_winkler(comparable, F.lit(term)) > FUZZY_LEAST, FUZZY).otherwise(0.0)) if len(term) > 3 else F.lit(0.0)
         got = plain + close
         parts.append(got * rarity[term])
         matched.append((got > 0).cast("int"))

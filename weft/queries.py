@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from weft.functions import evidence, similarity, text
 from weft.operators import analytics as an, communities, identity, memory, merge, resolve, retrieve, traverse
 from weft.operators.components import connected_components
+from weft.plans.runtime import cut
 from weft.sources import graph as g
 
 QUERIES: dict = {}
@@ -432,7 +433,7 @@ def _document_nodes(spark, sf_dir):
 
 @register("score_nodes")
 def score_nodes(spark, sf_dir):
-    index = retrieve.lexical_index(_document_nodes(spark, sf_dir))
+    index = cut(retrieve.lexical_index(_document_nodes(spark, sf_dir)))
     scores = retrieve.score_nodes(index, retrieve.document_frequency(index), "which public license and rights are reserved")
     return scores.select("id", "label", _r("score").alias("score")).orderBy(F.desc("score"), "id").limit(20)
 
