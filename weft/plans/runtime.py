@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: (setting, its default, what is set instead) for batches that go to Python.
+BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session; a temporary one only where none is named (tests)."""
     sc = spark.sparkContext
@@ -27,7 +31,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that don't have its folder on their path."""
+    """Make this package importable in Python workers that don't have its folder on their path.
+
+    Also, batches of rows for Python are held to BATCHES, unless the session has limits of its own: a
+    batch of texts is in memory several times, as Arrow, as strings and as results.
+    """
+    for setting, default, smaller in BATCHES:
+        if spark.conf.get(setting, None) == default:
+            spark.conf.set(setting, smaller)
     paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT in paths or os.path.realpath(os.getcwd()) == os.path.realpath(ROOT):
         return
