@@ -14,12 +14,13 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
+from weft.llm.common import frame_udf, series_udf
 from weft.plans.runtime import ship
 
 #: Pre-tokens of up to so many characters are remembered, in two generations of so many each.
-SHORT, REMEMBERED = 64, 350_000
+SHORT, REMEMBERED = 64, 100_000
 #: Pre-tokens joined at once in very long texts.
-BULK = 65_536
+BULK = 16_384
 
 
 class RankQueue:
@@ -188,13 +189,12 @@ def encode_texts(docs: DataFrame, rank_file: str, pattern: str, round_trip: bool
     name = rank_file.replace("\\", "/").rsplit("/", 1)[-1]
     spark.sparkContext.addFile(rank_file)
 
-    @F.pandas_udf("token_ids binary, decoded binary")
     def coded(texts: pd.Series) -> pd.DataFrame:
         own = codec(SparkFiles.get(name), pattern)
         ids = [own.encode(t or "") for t in texts]
         return pd.DataFrame({"token_ids": ids, "decoded": [own.decode(x) if round_trip else None for x in ids]}, dtype=object)
 
-    out = docs.drop("token_ids", "decoded", "bpe_struct").withColumn("bpe_struct", coded(F.col("text")))
+    out = docs.drop("token_ids", "decoded", "bpe_struct").withColumn("bpe_struct", frame_udf(coded, "token_ids binary, decoded binary")(F.col("text")))
     out = out.withColumn("token_ids", F.col("bpe_struct.token_ids"))
     if round_trip:
         out = out.withColumn("decoded", F.col("bpe_struct.decoded"))
@@ -208,9 +208,8 @@ def decode_ids(df: DataFrame, rank_file: str, pattern: str, ids: str = "token_id
     name = rank_file.replace("\\", "/").rsplit("/", 1)[-1]
     spark.sparkContext.addFile(rank_file)
 
-    @F.pandas_udf("binary")
     def decoded(values: pd.Series) -> pd.Series:
         own = codec(SparkFiles.get(name), pattern)
         return pd.Series([None if v is None else own.decode(bytes(v)) for v in values], dtype=object)
 
-    return df.withColumn(into, decoded(F.col(ids)))
+    return df.withColumn(into, series_udf(decoded, "binary")(F.col(ids)))

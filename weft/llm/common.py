@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Fixed value: the characters that separate words, \x20 and \x09-\x0D.
@@ -37,3 +40,34 @@ def hex_fraction(*parts) -> Column:
     """A double in [0, 1) that depends on the parts alone: 13 hex digits of their MD5."""
     digest = F.md5(F.concat_ws("|", *parts))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+
+
+def breathe() -> None:
+    """Give memory that is free in this worker back: workers stay, and others share the executor's limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def series_udf(work: Callable[[pd.Series], pd.Series], kind: str):
+    """A pandas UDF of one column that runs ``work`` on each batch."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield work(batch)
+            breathe()
+
+    return F.pandas_udf(run, kind)
+
+
+def frame_udf(work: Callable[[pd.Series], pd.DataFrame], kind: str):
+    """As ``series_udf``, for a struct of columns."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield work(batch)
+            breathe()
+
+    return F.pandas_udf(run, kind)

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from weft.llm.common import breathe
 from weft.plans.runtime import cut
 
 #: Codes of a unit up to which its pairs are compared one by one.
@@ -80,6 +81,8 @@ def by_unit(units: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], sche
                 yield work(whole.iloc[:edge].reset_index(drop=True))
         if held:
             yield work(pd.concat(held, ignore_index=True))
+        held.clear()
+        breathe()
 
     return units.repartition("unit").sortWithinPartitions("unit").mapInPandas(stream, schema)
 

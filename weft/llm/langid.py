@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from weft.llm.common import breathe, frame_udf
 from weft.plans.runtime import ship
 
 #: Training documents of each language, those of the smallest hash: the model is fitted on this sample.
@@ -22,7 +23,9 @@ SWITCH = 8.0
 #: Least share of a language's training letters that makes a script one of its own.
 SCRIPT_SHARE = 0.01
 #: Characters that are scored at once.
-PIECE = 1 << 21
+PIECE = 1 << 18
+#: Characters whose words are labelled side by side.
+BATCH = 1 << 21
 #: Marks what isn't a candidate.
 NEVER = -1e6
 
@@ -136,11 +139,12 @@ def viterbi(score: np.ndarray, first: np.ndarray, last: np.ndarray, switch: floa
     return label
 
 
-def _bulks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about PIECE characters together; a longer text is one range."""
+def _bulks(texts: list[str], most: int = 0) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` (else PIECE) characters together; a longer text is one range."""
+    most = most or PIECE
     at = n = 0
     for i, text in enumerate(texts):
-        if n and n + len(text) > PIECE:
+        if n and n + len(text) > most:
             yield at, i
             at, n = i, 0
         n += len(text)
@@ -149,28 +153,34 @@ def _bulks(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 def identify(texts: list[str | None], model: Model, switch: float = SWITCH, spans: bool = False) -> list[tuple]:
     """(language, score, spans) of each text; see ``language_columns``."""
-    out = []
     plain = [t or "" for t in texts]
-    for lo, hi in _bulks(plain):
+    scores, knowns, sizes, firsts, n = [], [], [], [np.zeros(1, np.int64)], 0
+    for lo, hi in _bulks(plain):  # the characters' arrays are large, what is kept of the words is small
         words = Words(plain[lo:hi])
         score, known = model.scores(words)
-        label = viterbi(score, words.first[:-1], words.first[1:], switch)
-        weight = words.letters * known
-        which = np.repeat(np.arange(hi - lo), np.diff(words.first))
-        n_labels = len(model.languages)
-        share = np.bincount(which * n_labels + label, weight, (hi - lo) * n_labels).reshape(hi - lo, n_labels)
-        letters = np.bincount(which, words.letters, hi - lo)
-        for i in range(hi - lo):
-            if texts[lo + i] is None or not letters[i]:
-                out.append(("und", 0.0, []))
-                continue
-            a, b = words.first[i], words.first[i + 1]
-            best = int(share[i].argmax()) if share[i].any() else model.common
-            marks = []
-            if spans:
-                edges = np.flatnonzero(np.r_[True, label[a + 1 : b] != label[a : b - 1], True])
-                marks = [(int(s), int(e), model.languages[label[a + s]]) for s, e in zip(edges[:-1], edges[1:], strict=True)]
-            out.append((model.languages[best], float(share[i][best] / letters[i]), marks))
+        scores.append(score)
+        knowns.append(known)
+        sizes.append(words.letters)
+        firsts.append(words.first[1:] + n)
+        n += len(known)
+    score, known, size, first = (np.concatenate(x) for x in (scores, knowns, sizes, firsts))
+    label = viterbi(score, first[:-1], first[1:], switch)
+    which = np.repeat(np.arange(len(texts)), np.diff(first))
+    n_labels = len(model.languages)
+    share = np.bincount(which * n_labels + label, size * known, len(texts) * n_labels).reshape(len(texts), n_labels)
+    letters = np.bincount(which, size, len(texts))
+    out = []
+    for i, text in enumerate(texts):
+        if text is None or not letters[i]:
+            out.append(("und", 0.0, []))
+            continue
+        a, b = first[i], first[i + 1]
+        best = int(share[i].argmax()) if share[i].any() else model.common
+        marks = []
+        if spans:
+            edges = np.flatnonzero(np.r_[True, label[a + 1 : b] != label[a : b - 1], True])
+            marks = [(int(s), int(e), model.languages[label[a + s]]) for s, e in zip(edges[:-1], edges[1:], strict=True)]
+        out.append((model.languages[best], float(share[i][best] / letters[i]), marks))
     return out
 
 
@@ -203,6 +213,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, cells: int = CELL
                     seen = np.flatnonzero(script)
                     what = np.r_[used, -1 - seen, -1000]
                     yield pd.DataFrame({"lang": lang, "what": what, "n": np.r_[tally[used], script[seen], hi - lo]})
+            breathe()
 
     sums = sample.select("lang", "text").mapInPandas(count, "lang string, what long, n long")
     got = sums.groupBy("lang", "what").agg(F.sum("n").alias("n")).toPandas()
@@ -233,16 +244,18 @@ def language_columns(docs: DataFrame, model: Model | None, switch: float = SWITC
     docs = docs.drop("lang_pred", "lang_score", "lang_spans", "lang_struct")
     sent = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, lang_score double, lang_spans array<struct<first:int,end:int,lang:string>>")
     def labelled(texts: pd.Series) -> pd.DataFrame:
         if sent.value is None:
             found = [("und", 0.0, []) for _ in texts]
         else:
-            found = identify(texts.tolist(), sent.value, switch, spans)
+            every = texts.tolist()
+            found = [x for lo, hi in _bulks([t or "" for t in every], BATCH) for x in identify(every[lo:hi], sent.value, switch, spans)]
         rows = [(a, b, [{"first": s, "end": e, "lang": x} for s, e, x in c]) for a, b, c in found]
         return pd.DataFrame(rows, columns=["lang_pred", "lang_score", "lang_spans"])
 
-    out = docs.withColumn("lang_struct", labelled(F.col("text")))
+    # Else a filter on the result would be pushed below it, and texts labelled twice.
+    once = frame_udf(labelled, "lang_pred string, lang_score double, lang_spans array<struct<first:int,end:int,lang:string>>").asNondeterministic()
+    out = docs.withColumn("lang_struct", once(F.col("text")))
     names = ["lang_pred", "lang_score"] + ["lang_spans"] * spans
     return out.select(*[F.col(c) for c in docs.columns], *[F.col(f"lang_struct.{n}").alias(n) for n in names])
 

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from weft.llm.common import let
+from weft.llm.common import breathe, let
 from weft.llm.hamming import LANE_HASHES, Groups, by_unit, hamming_units, lane_sums, near_pairs, pack_majority
 from weft.operators.components import connected_components
 from weft.plans.runtime import cut, ship
@@ -159,6 +159,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
                     ids, numbers, lines, size = [], [], [], 0
             if lines:
                 yield frame(ids, numbers, lines)
+            breathe()
 
     def frame(ids, numbers, lines) -> pd.DataFrame:
         return pd.DataFrame(
@@ -217,6 +218,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             lines = [line for line in dict.fromkeys(lines) if line]
             if lines:
                 yield pd.DataFrame({"line_key": line_keys(lines), "norm": lines})
+            breathe()
 
     return met.select("text", "numbers").mapInPandas(texts, "line_key binary, norm string").dropDuplicates(["line_key"])
 

@@ -10,6 +10,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from weft.llm.common import frame_udf
 from weft.plans.runtime import ship
 
 # Fixed values of the MPEG audio format.
@@ -284,13 +285,12 @@ COLUMNS = (
 def media_struct(media: Column) -> Column:
     """The columns of ``media_columns`` as one struct."""
 
-    @F.pandas_udf(COLUMNS)
     def scanned(values: pd.Series) -> pd.DataFrame:
         rows = [scan(bytes(v)) if v is not None else None for v in values]
         names = [part.split()[0] for part in COLUMNS.split(", ")]
         return pd.DataFrame([{n: (r or {}).get(n) for n in names} for r in rows], columns=names).astype(object)
 
-    return scanned(media)
+    return frame_udf(scanned, COLUMNS)(media)
 
 
 def media_columns(df: DataFrame, media: str = "media", into: str = "audio") -> DataFrame:
@@ -314,7 +314,6 @@ def stored_texts(docs: DataFrame) -> DataFrame:
     """
     ship(docs.sparkSession)
 
-    @F.pandas_udf("n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media binary, feature string")
     def stored(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
@@ -331,4 +330,5 @@ def stored_texts(docs: DataFrame) -> DataFrame:
             rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), media, feature))
         return pd.DataFrame(rows, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media", "feature"])
 
-    return docs.withColumn("stored", stored(F.col("text")))
+    kind = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media binary, feature string"
+    return docs.withColumn("stored", frame_udf(stored, kind)(F.col("text")))

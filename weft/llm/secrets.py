@@ -6,11 +6,11 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from weft.llm.common import frame_udf
 from weft.plans.runtime import ship
 
 #: Order of kinds at the same start; "format" spans are the automata's.
@@ -222,9 +222,7 @@ class _Everything(Formats):
 _EVERYTHING = _Everything({"any": None}, None)
 
 
-@lru_cache(maxsize=1)
-def _columns() -> list[str]:
-    return ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+COLUMNS = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
 
 
 def secret_columns(docs: DataFrame, formats: Formats | None) -> DataFrame:
@@ -238,10 +236,9 @@ def secret_columns(docs: DataFrame, formats: Formats | None) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.drop(*_columns(), "secret_struct")
+    docs = docs.drop(*COLUMNS, "secret_struct")
     sent = spark.sparkContext.broadcast(formats)
 
-    @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
     def scanned(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
@@ -249,7 +246,7 @@ def secret_columns(docs: DataFrame, formats: Formats | None) -> DataFrame:
             name = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in spans)
             n = [sum(k == kind for _, k, _, _ in base) for kind in range(3)]
             rows.append((*n, hashlib.sha256(name(base).encode()).hexdigest(), name(sorted(base + added))))
-        return pd.DataFrame(rows, columns=_columns())
+        return pd.DataFrame(rows, columns=COLUMNS)
 
-    out = docs.withColumn("secret_struct", scanned(F.col("text")))
-    return out.select(*[F.col(c) for c in docs.columns], *[F.col(f"secret_struct.{n}").alias(n) for n in _columns()])
+    out = docs.withColumn("secret_struct", frame_udf(scanned, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string")(F.col("text")))
+    return out.select(*[F.col(c) for c in docs.columns], *[F.col(f"secret_struct.{n}").alias(n) for n in COLUMNS])

@@ -9,6 +9,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from weft.llm.common import series_udf
 from weft.llm.hamming import LANE_HASHES, Groups, lane_sums, by_unit, hamming_units, pack_majority, trie_pairs
 from weft.operators.components import connected_components
 from weft.plans.runtime import cut, ship
@@ -63,11 +64,10 @@ def fingerprint_of(text: str | None, width: int = 3) -> int:
 def fingerprint(text: Column, width: int = 3) -> Column:
     """Long column with the fingerprint's 64 bits (signed); null and empty texts have 0."""
 
-    @F.pandas_udf("long")
     def fingerprints(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint_of(t, width) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return fingerprints(text)
+    return series_udf(fingerprints, "long")(text)
 
 
 def _links(frame: pd.DataFrame) -> pd.DataFrame:
