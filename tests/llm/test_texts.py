@@ -9,6 +9,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -280,6 +281,49 @@ def test_near_duplicates_of_nothing_and_nulls(spark):
     assert simhash.drop_near_duplicates(spark.createDataFrame([(None, "x y z"), (None, "x y z")], DOC)).count() == 1
 
 
+def plain_shingles(text, width=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_similar_texts_match_brute_force(spark):
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(5))
+    texts = []
+    for _ in range(25):  # copies with more and more words replaced, around a similarity of 0.8
+        base = [word() for _ in range(r.randrange(60, 400))]
+        for n in (0, 1, 2, 3, 4, 6, 9):
+            copy = list(base)
+            for k in r.sample(range(len(base)), n):
+                copy[k] = word()
+            texts.append(" ".join(copy))
+    texts += ODD + ["same text of a few words"] * 3
+    rows = [(1000 - k, t) for k, t in enumerate(texts)]
+    sets = [plain_shingles(t) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    far = sum((brute_fingerprint(texts[i]) ^ brute_fingerprint(texts[j])).bit_count() > 3 for i, j in links)
+    assert far > 50  # SimHash within 3 bits misses these
+    near = set(links)
+    roots = groups_of(sets, lambda i, j: (i, j) in near)
+    least = {}
+    for (i, _), root in zip(rows, roots, strict=True):
+        least[root] = min(least.get(root, i), i)
+    got = simhash.drop_similar(spark.createDataFrame(rows, DOC).withColumn("extra", F.lit(1)))
+    assert sorted(x["doc_id"] for x in got.collect()) == sorted(least.values())
+    assert simhash.drop_similar(spark.createDataFrame([], DOC)).count() == 0
+    assert simhash.drop_similar(spark.createDataFrame([(None, "x y z"), (None, "x y z"), (2, None), (1, "")], DOC)).count() == 2
+
+
+def test_pairs_across_components():
+    frame = pd.DataFrame({"unit": [1, 1, 1, 1, 2, 2], "component": [7, 7, 8, 9, 3, 3], "code": [7, 11, 8, 9, 3, 4]})
+    got = pd.concat(simhash._across(frame))
+    assert sorted(zip(got["a"], got["b"], strict=True)) == [(7, 8), (7, 9), (8, 9), (8, 11), (9, 11)]
+
+
 # Lines
 
 def brute_lines(rows):

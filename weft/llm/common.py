@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -42,6 +43,32 @@ def hex_fraction(*parts) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
+#: Bits of the filter that finds wanted rows again; it only saves work.
+FILTER_BITS = 1 << 22
+
+
+def rows_that_may_be_in(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, bits: int = FILTER_BITS) -> DataFrame:
+    """``rows`` less most of those whose key isn't among the wanted keys: what is left can be shuffled.
+
+    A bitmap of hashes: at most bits / 32 numbers reach the driver, whatever the keys.
+    """
+    slot_of = lambda c: F.pmod(F.xxhash64(c), F.lit(bits).cast("long"))
+    words = wanted.select(slot_of(wanted_key).alias("slot")).select(
+        F.floor(F.col("slot") / 32).alias("at"), F.pmod("slot", F.lit(32).cast("long")).cast("int").alias("bit")
+    )
+    got = words.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("word")).toPandas()
+    bitmap = np.zeros(bits // 32, np.int64)
+    bitmap[got["at"].to_numpy()] = got["word"].to_numpy()
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def maybe(slots: pd.Series) -> pd.Series:
+        s = slots.to_numpy()
+        return pd.Series((sent.value[s >> 5] >> (s & 31)) & 1 == 1)
+
+    return rows.filter(maybe(slot_of(key)))
+
+
 def breathe() -> None:
     """Give memory that is free in this worker back: workers stay, and others share the executor's limit."""
     pa.default_memory_pool().release_unused()

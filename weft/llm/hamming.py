@@ -60,8 +60,11 @@ def hamming_units(items: DataFrame, limit: int = UNIT_LIMIT) -> DataFrame:
     return done
 
 
-def by_unit(units: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rows: int = 200_000) -> DataFrame:
-    """``work`` on frames of whole units, in order of the unit, of about ``rows`` rows."""
+def by_unit(units: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame | Iterator[pd.DataFrame]], schema: str, rows: int = 200_000) -> DataFrame:
+    """``work`` on frames of whole units, in order of the unit, of about ``rows`` rows; it returns a frame, or yields some."""
+
+    def frames(out) -> Iterator[pd.DataFrame]:
+        return out if isinstance(out, Iterator) else iter((out,))
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -78,9 +81,9 @@ def by_unit(units: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], sche
             edge = int(np.argmax((whole["unit"] == last).to_numpy()))
             held, n = [whole.iloc[edge:]], len(whole) - edge
             if edge:
-                yield work(whole.iloc[:edge].reset_index(drop=True))
+                yield from frames(work(whole.iloc[:edge].reset_index(drop=True)))
         if held:
-            yield work(pd.concat(held, ignore_index=True))
+            yield from frames(work(pd.concat(held, ignore_index=True)))
         held.clear()
         breathe()
 

@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: fingerprints of word shingles, a binary trie self-join, components."""
+"""Near-duplicates: SimHash fingerprints joined by a binary trie, or Jaccard similarity of word shingles; components."""
 
 from __future__ import annotations
 
@@ -9,13 +9,22 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weft.llm.common import series_udf
+from weft.llm.common import frame_udf, rows_that_may_be_in, series_udf
 from weft.llm.hamming import LANE_HASHES, Groups, lane_sums, by_unit, hamming_units, pack_majority, trie_pairs
 from weft.operators.components import connected_components
 from weft.plans.runtime import cut, ship
 
 #: Bytes of a text that are taken apart at once.
 PIECE = 1 << 20
+#: Of the near-duplicate stage: words of a shingle, and the least Jaccard similarity of linked texts.
+WIDTH, LEAST = 5, 0.8
+#: MinHash bands, each of so many minima, that propose pairs: at a similarity of 0.8 they miss 3 in 100,000.
+BANDS, MINIMA = 20, 4
+_RANDOM = np.random.default_rng(11)
+_TIMES = _RANDOM.integers(0, 1 << 63, BANDS * MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _RANDOM.integers(0, 1 << 63, BANDS * MINIMA, np.uint64)
+#: Pairs given out at once.
+PAIRS = 1_000_000
 
 
 def _pieces(raw: bytes) -> Iterator[bytes]:
@@ -127,7 +136,11 @@ def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     ship(docs.sparkSession)
     coded = docs.withColumn("near_code", fingerprint(F.col("text"), width))
     rows = cut(coded.select("doc_id", F.col("near_code").alias("code")))
-    named = rows.join(fingerprint_components(rows), "code")
+    return _one_each(coded, rows.join(fingerprint_components(rows), "code"))
+
+
+def _one_each(coded: DataFrame, named: DataFrame) -> DataFrame:
+    """The row of ``coded`` (with near_code) that stays for each component of ``named``."""
     kept = (
         named.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("component_code")
@@ -135,3 +148,107 @@ def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     )
     same = (coded["near_code"] == kept["keep_code"]) & coded["doc_id"].eqNullSafe(kept["keep_id"])
     return coded.join(kept, same, "left_semi").dropDuplicates(["near_code", "doc_id"]).drop("near_code")
+
+
+def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The different shingle hashes of a text, sorted; none without words."""
+    parts = list(shingle_hashes((text or "").encode("utf-8", "replace").lower(), width))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def set_code(shingles: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).view(np.int64))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key for each band; two sets share one with a chance of their similarity to the power of MINIMA."""
+    if not len(shingles):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 4096):
+        least = np.minimum(least, (shingles[None, at : at + 4096] * _TIMES[:, None] + _PLUS[:, None]).min(axis=1))
+    rows = least.reshape(BANDS, MINIMA)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def _across(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The pairs of codes in a unit that are in different components, the smaller code first."""
+    frame = frame.sort_values(["unit", "component"], kind="stable")
+    unit, part, codes = (frame[c].to_numpy() for c in ("unit", "component", "code"))
+    n = len(codes)
+    ends = np.flatnonzero(np.r_[unit[1:] != unit[:-1], True]) + 1
+    unit_end = np.repeat(ends, np.diff(np.r_[0, ends]))
+    runs = np.flatnonzero(np.r_[(unit[1:] != unit[:-1]) | (part[1:] != part[:-1]), True]) + 1
+    run_end = np.repeat(runs, np.diff(np.r_[0, runs]))
+    at, sums = 0, np.cumsum(unit_end - run_end)
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + PAIRS, side="right")))
+        p = (unit_end - run_end)[at:to]
+        i = np.repeat(np.arange(at, to), p)
+        j = np.repeat(run_end[at:to], p) + np.arange(len(i)) - np.repeat(np.cumsum(p) - p, p)
+        if len(i):
+            yield pd.DataFrame({"a": np.minimum(codes[i], codes[j]), "b": np.maximum(codes[i], codes[j])})
+        at = to
+
+
+def similar_components(docs: DataFrame, rows: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
+    """(code, component_code, component_id), as ``fingerprint_components``, of sets linked at a Jaccard similarity of ``least``.
+
+    ``rows`` has doc_id, code and bands of each of ``docs``. Equal sets are one from the start. Sets that
+    share a band are compared with the band's smallest one first; then, within each band, with all sets
+    that are not connected to them by then. So a group of near copies costs its size and not its square,
+    and no pair of a band is left out unless it is connected already. Comparisons are exact.
+    """
+    sets = cut(rows.groupBy("code").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands")))
+    keys = sets.select(F.explode("bands").alias("unit"), "code")
+    shared = keys.groupBy("unit").agg(F.count("*").alias("n"), F.min("code").alias("lead")).filter("n > 1")
+    met = cut(keys.join(shared.select("unit", "lead"), "unit"))
+    wanted = cut(met.select("code").distinct().join(sets.select("code", "least_id"), "code"))
+
+    def shingles(texts: pd.Series) -> pd.DataFrame:
+        found = [shingle_set(t, width) for t in texts]
+        return pd.DataFrame({"code": [set_code(x) for x in found], "shingles": [x.view(np.int64) for x in found]})
+
+    few = rows_that_may_be_in(docs.select("doc_id", "text"), F.col("doc_id"), wanted, F.col("least_id"))
+    made = few.select(frame_udf(shingles, "code long, shingles array<long>")(F.col("text")).alias("s")).select("s.code", "s.shingles")
+    arrays = cut(made.join(wanted.select("code"), "code", "left_semi").dropDuplicates(["code"]))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(arrays.select(F.col("code").alias("b"), F.col("shingles").alias("y")), "b")
+        both = both.join(arrays.select(F.col("code").alias("a"), F.col("shingles").alias("x")), "a")
+        both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
+        return cut(both.filter(F.col("i") / (F.col("n") - F.col("i")) >= least).select("a", "b"))
+
+    stars = cut(met.filter("code <> lead").select(F.col("lead").alias("a"), F.col("code").alias("b")).distinct())
+    links = alike(stars)
+    groups = connected_components(links, "a", "b").withColumnRenamed("node", "code")
+    named = cut(met.join(groups, "code", "left").select("unit", "code", F.coalesce("component", "code").alias("component")))
+    mixed = named.groupBy("unit").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    rest = by_unit(named.join(mixed.select("unit"), "unit", "left_semi"), _across, "a long, b long").distinct()
+    links = links.unionByName(alike(rest.join(stars, ["a", "b"], "left_anti")))
+    groups = connected_components(links, "a", "b")
+    out = sets.join(groups, sets["code"] == groups["node"], "left").select("code", F.coalesce("component", "code").alias("component_code"), "least_id")
+    ids = out.groupBy("component_code").agg(F.min("least_id").alias("component_id"))
+    return cut(out.drop("least_id").join(ids, "component_code").select("code", "component_code", "component_id"))
+
+
+def drop_similar(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
+    """``docs`` with one row of each group of texts linked at a Jaccard similarity of ``least`` of their ``width``-word shingles.
+
+    Which row stays is as in ``drop_near_duplicates``. Texts of fewer words are one shingle; null and
+    blank texts are equal. SimHash isn't used here: at a similarity of 0.8 fingerprints differ in some
+    10 bits of 64 and often in 16, a radius at which unrelated texts meet as well.
+    """
+    ship(docs.sparkSession)
+
+    def codes(texts: pd.Series) -> pd.Series:
+        return pd.Series([set_code(shingle_set(t, width)) for t in texts], dtype="int64")
+
+    def keyed(texts: pd.Series) -> pd.DataFrame:
+        found = [shingle_set(t, width) for t in texts]
+        return pd.DataFrame({"code": [set_code(x) for x in found], "bands": [band_keys(x) for x in found]})
+
+    rows = docs.select("doc_id", frame_udf(keyed, "code long, bands array<long>")(F.col("text")).alias("k"))
+    rows = cut(rows.select("doc_id", "k.code", "k.bands"))
+    named = rows.select("doc_id", "code").join(similar_components(docs, rows, width, least), "code")
+    return _one_each(docs.withColumn("near_code", series_udf(codes, "long")(F.col("text"))), named)
