@@ -320,7 +320,7 @@ def test_similar_texts_match_brute_force(spark):
 
 def test_pairs_across_components():
     frame = pd.DataFrame({"unit": [1, 1, 1, 1, 2, 2], "component": [7, 7, 8, 9, 3, 3], "code": [7, 11, 8, 9, 3, 4]})
-    got = pd.concat(simhash._across(frame))
+    got = pd.concat(hamming._across(frame))
     assert sorted(zip(got["a"], got["b"], strict=True)) == [(7, 8), (7, 9), (8, 9), (8, 11), (9, 11)]
 
 
@@ -363,6 +363,32 @@ def test_repeated_rows_lose_the_same_lines(spark):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_wide_line_dedup_against_brute_force(spark):
+    r = random.Random(16)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9)))
+    texts = [word() for _ in range(40)]
+    for n in (1, 1, 2, 2, 3, 5, 8, 10, 10, 15, 20, 20, 30, 40):
+        for _ in range(4):
+            base = [word() for _ in range(n)]
+            texts.append(" ".join(base))
+            for _ in range(3):
+                copy = list(base)
+                for k in r.sample(range(n), max(1, n // 8)):
+                    copy[k] = r.choice([word(), copy[k][1:] + "x", copy[k] + "s"])
+                texts.append(" ".join(copy))
+    texts = list(dict.fromkeys(texts))
+    near = {(i, j) for i in range(len(texts)) for j in range(i) if lines.similar(texts[i], texts[j])}
+    codes = lines.simhash_lines(texts)
+    assert sum(int(codes[i] ^ codes[j]).bit_count() > 3 for i, j in near) > len(near) / 2  # what SimHash doesn't propose
+    roots = groups_of(texts, lambda i, j: (i, j) in near)
+    df = spark.createDataFrame(list(enumerate(texts)), DOC)
+    kept = {x["doc_id"] for x in lines.dedup_lines(df, wide=True).collect() if x["text"]}
+    assert set(roots) <= kept and len(kept) - len(set(roots)) <= 0.02 * len(texts)  # never more than brute force takes
+    short = {i for i, t in enumerate(texts) if len(t) <= lines.SHORT}
+    assert {i for i in kept & short} == {i for i in short if roots[i] == i}
+    assert lines.dedup_lines(df.limit(0), wide=True).count() == 0
+
+
 def test_edit_distance():
     r = random.Random(5)
 

@@ -9,12 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from weft.llm.common import breathe
+from weft.operators.components import connected_components
 from weft.plans.runtime import cut
 
 #: Codes of a unit up to which its pairs are compared one by one.
 FEW = 256
 #: Codes in a unit, above which the unit is split by further blocks.
 UNIT_LIMIT = 4096
+#: Pairs given out at once.
+PAIRS = 1_000_000
 #: Bits of the blocks that must agree, level by level. After the last level 44 bits agree, so a unit
 #: holds at most 2**20 different codes whatever the data.
 BLOCKS = ((16, 16, 16, 16), (12, 12, 12, 12), (9, 9, 9, 9), (7, 7, 7, 6))
@@ -90,6 +93,42 @@ def by_unit(units: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame | Iter
     return units.repartition("unit").sortWithinPartitions("unit").mapInPandas(stream, schema)
 
 
+def _across(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The pairs of codes in a unit that are in different components, the smaller code first."""
+    frame = frame.sort_values(["unit", "component"], kind="stable")
+    unit, part, codes = (frame[c].to_numpy() for c in ("unit", "component", "code"))
+    n = len(codes)
+    ends = np.flatnonzero(np.r_[unit[1:] != unit[:-1], True]) + 1
+    unit_end = np.repeat(ends, np.diff(np.r_[0, ends]))
+    runs = np.flatnonzero(np.r_[(unit[1:] != unit[:-1]) | (part[1:] != part[:-1]), True]) + 1
+    run_end = np.repeat(runs, np.diff(np.r_[0, runs]))
+    at, sums = 0, np.cumsum(unit_end - run_end)
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + PAIRS, side="right")))
+        p = (unit_end - run_end)[at:to]
+        i = np.repeat(np.arange(at, to), p)
+        j = np.repeat(run_end[at:to], p) + np.arange(len(i)) - np.repeat(np.cumsum(p) - p, p)
+        if len(i):
+            yield pd.DataFrame({"a": np.minimum(codes[i], codes[j]), "b": np.maximum(codes[i], codes[j])})
+        at = to
+
+
+def linked_in_units(met: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b) links that connect what all links inside units would; ``alike`` keeps the pairs (a, b) that are links.
+
+    ``met`` has unit, code and lead, the unit's smallest code. Codes are compared with their lead first;
+    then, within each unit, with all codes that are not connected to them by then. So a group of near
+    copies costs its size and not its square, and no pair is left out unless it is connected already.
+    """
+    stars = cut(met.filter("code <> lead").select(F.col("lead").alias("a"), F.col("code").alias("b")).distinct())
+    links = alike(stars)
+    groups = connected_components(links, "a", "b").withColumnRenamed("node", "code")
+    named = cut(met.join(groups, "code", "left").select("unit", "code", F.coalesce("component", "code").alias("component")))
+    mixed = named.groupBy("unit").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    rest = by_unit(named.join(mixed.select("unit"), "unit", "left_semi"), _across, "a long, b long").distinct()
+    return links.unionByName(alike(rest.join(stars, ["a", "b"], "left_anti")))
+
+
 class Groups:
     """Union of index pairs, in bulk; ``root`` gives each index the smallest of its group."""
 

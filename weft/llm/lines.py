@@ -4,20 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from weft.llm.common import breathe, let
-from weft.llm.hamming import LANE_HASHES, Groups, by_unit, hamming_units, lane_sums, near_pairs, pack_majority
+from weft.llm.common import breathe, let, rows_that_may_be_in
+from weft.llm.hamming import LANE_HASHES, Groups, by_unit, hamming_units, lane_sums, linked_in_units, near_pairs, pack_majority
 from weft.operators.components import connected_components
 from weft.plans.runtime import cut, ship
 
 #: Least edit similarity of linked lines: 1 - distance / length of the longer, in characters.
 SIMILARITY = 0.8
-#: Bits of the filter that finds lines with near neighbours again; it only saves work.
-FILTER_BITS = 1 << 22
+#: Characters up to which lines meet by what is left of them without up to two characters: all similar ones do.
+SHORT = 14
+#: Lines of fewer characters meet by runs of five characters, lines of WORDY or more by pairs of words. Similar
+#: lines, whose lengths differ by a fifth at most, are both of the one sort or both of the other.
+LETTERED, WORDY = 75, 48
+#: MinHash bands, each of so many minima, of runs of characters and of pairs of words.
+LETTER_BANDS, WORD_BANDS, MINIMA = 48, 16, 3
+_RANDOM = np.random.default_rng(12)
+_TIMES = _RANDOM.integers(0, 1 << 63, MINIMA * LETTER_BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _RANDOM.integers(0, 1 << 63, MINIMA * LETTER_BANDS, np.uint64)
 #: Characters hashed at once.
 PIECE = 1 << 20
 
@@ -50,7 +60,14 @@ def simhash_lines(lines: list[str]) -> np.ndarray:
     return out
 
 
-def _simhash_some(lines: list[str]) -> np.ndarray:
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    hashes = (hashes ^ (hashes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return hashes ^ (hashes >> np.uint64(31))
+
+
+def _word_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and the number of words of each line."""
     raw = np.frombuffer(" ".join(lines).encode("utf-8", "surrogatepass") + b" ", np.uint8)
     gaps = np.flatnonzero(raw == 32)
     begins = np.r_[0, gaps[:-1] + 1]
@@ -60,10 +77,11 @@ def _simhash_some(lines: list[str]) -> np.ndarray:
     power = np.cumprod(power, dtype=np.uint64)
     offset = np.arange(len(raw)) - np.repeat(begins, sizes + 1)
     hashes = np.add.reduceat((raw.astype(np.uint64) + np.uint64(1)) * power[offset], begins)
-    hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    hashes = (hashes ^ (hashes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    hashes ^= hashes >> np.uint64(31)
-    counts = np.fromiter((line.count(" ") + 1 for line in lines), np.int64, len(lines))
+    return _mixed(hashes), np.fromiter((line.count(" ") + 1 for line in lines), np.int64, len(lines))
+
+
+def _simhash_some(lines: list[str]) -> np.ndarray:
+    hashes, counts = _word_hashes(lines)
     firsts = np.cumsum(counts) - counts
     # Lanes hold so many words; a longer line is summed in parts.
     parts = -(-counts // LANE_HASHES)
@@ -73,6 +91,102 @@ def _simhash_some(lines: list[str]) -> np.ndarray:
     return pack_majority(sums, counts)
 
 
+def _bands(features: np.ndarray, counts: np.ndarray, bands: int) -> np.ndarray:
+    """(groups, bands) keys of the MinHash bands of groups of so many consecutive features."""
+    starts = np.cumsum(counts) - counts
+    out = np.empty((len(counts), bands), np.uint64)
+    for band in range(bands):
+        key = np.full(len(counts), np.uint64(bands << 16 | band))
+        for k in range(MINIMA * band, MINIMA * band + MINIMA):
+            key = _mixed(key + np.minimum.reduceat(features * _TIMES[k] + _PLUS[k], starts))
+        out[:, band] = key
+    return out
+
+
+def _word_bands(lines: list[str]) -> np.ndarray:
+    """Bands of the pairs of neighbouring words, where a line's begin and end count as words."""
+    hashes, counts = _word_hashes(lines)
+    firsts = np.cumsum(counts) - counts
+    before, after = np.insert(hashes, firsts, np.uint64(1)), np.insert(hashes, firsts + counts, np.uint64(2))
+    return _bands(_mixed(before * np.uint64(0x9E3779B97F4A7C15) + after), counts + 1, WORD_BANDS)
+
+
+def _letter_bands(lines: list[str]) -> np.ndarray:
+    """Bands of the runs of five characters, with two before and after the line."""
+    raw = np.frombuffer("".join(f"\0\0{x}\0\0" for x in lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    counts = np.fromiter(map(len, lines), np.int64, len(lines))
+    starts = np.cumsum(counts + 4) - counts - 4
+    at = np.repeat(starts, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    runs = np.zeros(len(at), np.uint64)
+    for k in range(5):
+        runs = _mixed(runs + raw[at + k])
+    return _bands(runs, counts, LETTER_BANDS)
+
+
+def _left_of(line: str) -> set[int]:
+    """Hashes of a short line and of what is left of it without as many characters as may differ."""
+    most = int((1 - SIMILARITY) * len(line) + 1e-9)
+    kept = {"".join(c) for n in range(most + 1) for c in combinations(line, len(line) - n)}
+    return {xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 7) for x in kept}
+
+
+def meeting_places(docs: DataFrame) -> DataFrame:
+    """(unit, code) of where lines meet that may be similar; the code is the hash of a line's key.
+
+    A task gives the places of a line once, so a common line has as many rows as there are tasks at most.
+    """
+
+    def places(lines: list[str]) -> Iterator[pd.DataFrame]:
+        codes = np.array([line_code(k) for k in line_keys(lines)], np.int64)
+        size = np.fromiter(map(len, lines), np.int64, len(lines))
+        for chosen, make in ((size >= WORDY, _word_bands), (size < LETTERED, _letter_bands)):
+            if chosen.any():
+                own = np.flatnonzero(chosen)
+                units = make([lines[k] for k in own.tolist()])
+                yield pd.DataFrame({"unit": units.view(np.int64).ravel(), "code": np.repeat(codes[own], units.shape[1])})
+        units, owners = [], []
+        for k in np.flatnonzero(size <= SHORT).tolist():
+            left = _left_of(lines[k])
+            units += left
+            owners += [codes[k]] * len(left)
+        if units:
+            yield pd.DataFrame({"unit": np.array(units, np.uint64).view(np.int64), "code": np.array(owners, np.int64)})
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for batch in batches:
+            some, size = [], 0
+            for text in batch["text"]:
+                for line in (text or "").split("\n"):
+                    if (line := normal(line)) and (h := hash(line)) not in seen:
+                        seen.add(h)
+                        some.append(line)
+                        size += len(line)
+                if size > PIECE:
+                    yield from places(some)
+                    some, size = [], 0
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+            if some:
+                yield from places(some)
+            breathe()
+
+    return docs.select("text").mapInPandas(rows, "unit long, code long")
+
+
+def line_code(key: bytes) -> int:
+    """What Spark's xxhash64 says of a line key."""
+    code = xxhash.xxh64_intdigest(key, 42)
+    return code - (1 << 64) if code >> 63 else code
+
+
+def _met(frame: pd.DataFrame) -> pd.DataFrame:
+    """(unit, code, lead) of the units of several codes; the lead is the smallest."""
+    frame = frame.drop_duplicates().sort_values(["unit", "code"])
+    frame = frame[frame.duplicated("unit", keep=False)]
+    return frame.assign(lead=frame.groupby("unit")["code"].transform("first"))
+
+
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance by bit vectors: a column of the matrix is one number, a bit per character of ``a``."""
     k = 0
@@ -102,7 +216,7 @@ def edit_distance(a: str, b: str) -> int:
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     longest = max(len(a), len(b))
-    if abs(len(a) - len(b)) > (1 - least) * longest:
+    if abs(len(a) - len(b)) > (1 - least) * longest + 1e-9:
         return False
     return 1 - edit_distance(a, b) / longest >= least
 
@@ -176,19 +290,6 @@ def line_rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def _filter_words(keys: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of hashes of ``keys``: at most bits / 63 numbers reach the driver, whatever the keys."""
-    slot = F.pmod(F.xxhash64("line_key"), F.lit(bits).cast("long"))
-    words = keys.select(slot.alias("slot")).select(
-        F.floor(F.col("slot") / 32).alias("at"), F.pmod("slot", F.lit(32).cast("long")).cast("int").alias("bit")
-    )
-    packed = words.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("word"))
-    out = np.zeros(bits // 32, np.int64)
-    got = packed.toPandas()
-    out[got["at"].to_numpy()] = got["word"].to_numpy()
-    return out
-
-
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(line_key, norm) of the wanted lines, from the document that has each first.
 
@@ -197,16 +298,8 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     out before their texts are shuffled, by a bitmap of the wanted ids.
     """
     numbers = wanted.groupBy("doc_id").agg(F.collect_set("line_no").alias("numbers"))
-    bitmap = _filter_words(wanted.select(F.col("doc_id").alias("line_key")).distinct(), FILTER_BITS)
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS).cast("long"))
-
-    @F.pandas_udf("boolean")
-    def maybe(slots: pd.Series) -> pd.Series:
-        s = slots.to_numpy()
-        return pd.Series((sent.value[s >> 5] >> (s & 31)) & 1 == 1)
-
-    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(maybe(slot))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    few = rows_that_may_be_in(rows, F.col("doc_id"), wanted, F.col("doc_id"))
     met = few.join(numbers.withColumnRenamed("doc_id", "want_id"), F.col("doc_id").eqNullSafe(F.col("want_id")))
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,24 +316,43 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.select("text", "numbers").mapInPandas(texts, "line_key binary, norm string").dropDuplicates(["line_key"])
 
 
-def line_groups(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def _similar_of(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """The pairs (a, b) of line ids whose lines are similar."""
+
+    @F.pandas_udf("boolean")
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([similar(a, b) for a, b in zip(x, y, strict=True)], dtype=bool)
+
+    lines = items.select("line_id", "norm", F.length("norm").alias("size"))
+    both = pairs.join(lines.toDF("b", "y", "m"), "b").join(lines.toDF("a", "x", "n"), "a")
+    # Lines whose lengths tell them apart aren't sent to Python; the exact rule is in similar().
+    both = both.filter(F.abs(F.col("n") - F.col("m")) <= (1 - SIMILARITY) * F.greatest("n", "m") + 1e-6)
+    return cut(both.filter(alike("x", "y")).select("a", "b"))
+
+
+def line_groups(docs: DataFrame, rows: DataFrame, wide: bool = False) -> DataFrame:
     """(line_key, keep_doc, keep_line) of lines that occur again or are linked: where their group's first line is.
 
     Lines link if their SimHashes differ in at most 3 bits and their edit similarity is SIMILARITY or
     more; equal lines are one line from the start. Codes are dealt to bounded units by pigeonhole
-    blocks; lines whose code several lines have, or has a neighbour, get a number and their texts, are
-    dealt again, and verified.
+    blocks; lines whose code several lines have, or has a neighbour, get their texts, are dealt again,
+    and verified. If ``wide``, lines that meet in ``meeting_places`` are verified as well.
     """
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
     lines = rows.groupBy("line_key").agg(F.min(place).alias("first"), F.min("code").alias("code"), F.count("*").alias("times"))
-    lines = cut(lines)
+    lines = cut(lines.withColumn("line_id", F.xxhash64("line_key")))
     codes = cut(lines.groupBy("code").agg(F.count("*").alias("n")))
     near = by_unit(hamming_units(codes.select("code")), _near, "code long").unionByName(codes.filter("n > 1").select("code"))
-    # Stored with their numbers, so that these can't change.
-    wanted = cut(lines.join(near.distinct(), "code", "left_semi").withColumn("line_id", F.monotonically_increasing_id()))
+    found = lines.join(near.distinct(), "code", "left_semi").select("line_id")
+    if wide:
+        met = cut(by_unit(meeting_places(docs), _met, "unit long, code long, lead long"))
+        found = found.unionByName(met.select(F.col("code").alias("line_id")))
+    wanted = cut(lines.join(found.distinct(), "line_id", "left_semi"))
     texts = _texts_of(docs, wanted.select("first.doc_id", "first.line_no"))
     items = cut(wanted.select("line_key", "line_id", "code").join(texts, "line_key").select("line_id", "code", "norm"))
     links = by_unit(hamming_units(items), _verified, "src long, dst long", rows=50_000)
+    if wide:
+        links = links.unionByName(linked_in_units(met, lambda pairs: _similar_of(pairs, items)).toDF("src", "dst"))
     grouped = wanted.select("line_id", "line_key", "first").join(connected_components(links).withColumnRenamed("node", "line_id"), "line_id")
     firsts = grouped.groupBy("component").agg(F.min("first").alias("keep"))
     linked = grouped.join(firsts, "component").select(F.col("line_key").alias("linked_key"), "keep")
@@ -249,18 +361,19 @@ def line_groups(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return out.select("line_key", keep["doc_id"].alias("keep_doc"), keep["line_no"].alias("keep_line"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, wide: bool = False) -> DataFrame:
     """``docs`` whose text lacks repeated lines, with n_lines and n_removed; columns of these names are replaced.
 
     One line of each group stays: the first by doc_id (null last) and line number. Blank lines always
     stay. A null text stays null and has no lines. Rows that repeat a doc_id are taken as one document:
     the same line numbers go from each. A document all of whose lines go has an empty text. Only line
     numbers, keys and codes are shuffled before the one join that brings line numbers to texts.
+    ``wide``: edit similarity decides alone, and not only among lines of like SimHashes.
     """
     ship(docs.sparkSession)
     docs = docs.drop("n_lines", "n_removed", "drop_id", "drop_lines")
     rows = cut(line_rows(docs))
-    keeps = line_groups(docs, rows)
+    keeps = line_groups(docs, rows, wide)
     drops = (
         rows.join(keeps, "line_key")
         .filter(~(F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col("line_no") == F.col("keep_line"))))

@@ -71,7 +71,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    clean = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), wide=True)
     return clean.select("doc_id", "n_lines", "n_removed", "text")
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weft.llm.common import frame_udf, rows_that_may_be_in, series_udf
-from weft.llm.hamming import LANE_HASHES, Groups, lane_sums, by_unit, hamming_units, pack_majority, trie_pairs
+from weft.llm.hamming import LANE_HASHES, Groups, lane_sums, by_unit, hamming_units, linked_in_units, pack_majority, trie_pairs
 from weft.operators.components import connected_components
 from weft.plans.runtime import cut, ship
 
@@ -23,8 +23,6 @@ BANDS, MINIMA = 20, 4
 _RANDOM = np.random.default_rng(11)
 _TIMES = _RANDOM.integers(0, 1 << 63, BANDS * MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RANDOM.integers(0, 1 << 63, BANDS * MINIMA, np.uint64)
-#: Pairs given out at once.
-PAIRS = 1_000_000
 
 
 def _pieces(raw: bytes) -> Iterator[bytes]:
@@ -171,33 +169,11 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
 
 
-def _across(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """The pairs of codes in a unit that are in different components, the smaller code first."""
-    frame = frame.sort_values(["unit", "component"], kind="stable")
-    unit, part, codes = (frame[c].to_numpy() for c in ("unit", "component", "code"))
-    n = len(codes)
-    ends = np.flatnonzero(np.r_[unit[1:] != unit[:-1], True]) + 1
-    unit_end = np.repeat(ends, np.diff(np.r_[0, ends]))
-    runs = np.flatnonzero(np.r_[(unit[1:] != unit[:-1]) | (part[1:] != part[:-1]), True]) + 1
-    run_end = np.repeat(runs, np.diff(np.r_[0, runs]))
-    at, sums = 0, np.cumsum(unit_end - run_end)
-    while at < n:
-        to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + PAIRS, side="right")))
-        p = (unit_end - run_end)[at:to]
-        i = np.repeat(np.arange(at, to), p)
-        j = np.repeat(run_end[at:to], p) + np.arange(len(i)) - np.repeat(np.cumsum(p) - p, p)
-        if len(i):
-            yield pd.DataFrame({"a": np.minimum(codes[i], codes[j]), "b": np.maximum(codes[i], codes[j])})
-        at = to
-
-
 def similar_components(docs: DataFrame, rows: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """(code, component_code, component_id), as ``fingerprint_components``, of sets linked at a Jaccard similarity of ``least``.
 
     ``rows`` has doc_id, code and bands of each of ``docs``. Equal sets are one from the start. Sets that
-    share a band are compared with the band's smallest one first; then, within each band, with all sets
-    that are not connected to them by then. So a group of near copies costs its size and not its square,
-    and no pair of a band is left out unless it is connected already. Comparisons are exact.
+    share a band are compared, exactly.
     """
     sets = cut(rows.groupBy("code").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands")))
     keys = sets.select(F.explode("bands").alias("unit"), "code")
@@ -219,13 +195,7 @@ def similar_components(docs: DataFrame, rows: DataFrame, width: int = WIDTH, lea
         both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
         return cut(both.filter(F.col("i") / (F.col("n") - F.col("i")) >= least).select("a", "b"))
 
-    stars = cut(met.filter("code <> lead").select(F.col("lead").alias("a"), F.col("code").alias("b")).distinct())
-    links = alike(stars)
-    groups = connected_components(links, "a", "b").withColumnRenamed("node", "code")
-    named = cut(met.join(groups, "code", "left").select("unit", "code", F.coalesce("component", "code").alias("component")))
-    mixed = named.groupBy("unit").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    rest = by_unit(named.join(mixed.select("unit"), "unit", "left_semi"), _across, "a long, b long").distinct()
-    links = links.unionByName(alike(rest.join(stars, ["a", "b"], "left_anti")))
+    links = linked_in_units(met, alike)
     groups = connected_components(links, "a", "b")
     out = sets.join(groups, sets["code"] == groups["node"], "left").select("code", F.coalesce("component", "code").alias("component_code"), "least_id")
     ids = out.groupBy("component_code").agg(F.min("least_id").alias("component_id"))
