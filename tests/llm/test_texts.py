@@ -389,6 +389,18 @@ def test_wide_line_dedup_against_brute_force(spark):
     assert lines.dedup_lines(df.limit(0), wide=True).count() == 0
 
 
+def test_rows_of_one_id_or_none_are_told_apart_by_their_texts(spark):
+    rows = [(None, "xxxx\nyyyy"), (None, "pppp\nxxxx"), (None, "pppp\nqqqq"), (7, "aaaa\nbbbb"), (7, "bbbb\ncccc"), (7, "bbbb\ncccc"), (8, "same"), (8, "same"), (9, "same\ndddd")]
+    for wide in (False, True):
+        got = lines.dedup_lines(spark.createDataFrame(rows, DOC), wide=wide).collect()
+        kept = [line for x in got for line in x["text"].split("\n") if line]
+        once = collections.Counter(kept)
+        assert set(kept) == {line for _, t in rows for line in t.split("\n")}  # nothing is lost
+        assert all(once[x] == 1 for x in ("xxxx", "yyyy", "pppp", "qqqq", "aaaa", "dddd")) and once["same"] == 2
+        assert [once["bbbb"], once["cccc"]] in ([1, 2], [2, 2])  # equal rows lose the same lines
+        assert len(got) == len(rows)
+
+
 def test_edit_distance():
     r = random.Random(5)
 

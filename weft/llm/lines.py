@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from weft.llm.common import breathe, let, rows_that_may_be_in
 from weft.llm.hamming import LANE_HASHES, Groups, by_unit, hamming_units, lane_sums, linked_in_units, near_pairs, pack_majority
@@ -254,53 +254,60 @@ def _verified(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["src", "dst"], dtype="int64")
 
 
+def row_hash() -> Column:
+    """What tells rows apart whose doc_id is null or the same: a hash of the id and the whole text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
 def line_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line_key, code) of every line that isn't blank, without its text."""
+    """(doc_id, row_hash, line_no, line_key, code) of every line that isn't blank, without its text."""
     ship(docs.sparkSession)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, numbers, lines, size = [], [], [], 0
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            ids, hashes, numbers, lines, size = [], [], [], [], 0
+            for doc_id, row_hash, text in zip(batch["doc_id"], batch["row_hash"], batch["text"], strict=True):
                 for k, line in enumerate((text or "").split("\n")):
                     if line := normal(line):
                         ids.append(doc_id)
+                        hashes.append(row_hash)
                         numbers.append(k)
                         lines.append(line)
                         size += len(line)
                 if size > 4 * PIECE:
-                    yield frame(ids, numbers, lines)
-                    ids, numbers, lines, size = [], [], [], 0
+                    yield frame(ids, hashes, numbers, lines)
+                    ids, hashes, numbers, lines, size = [], [], [], [], 0
             if lines:
-                yield frame(ids, numbers, lines)
+                yield frame(ids, hashes, numbers, lines)
             breathe()
 
-    def frame(ids, numbers, lines) -> pd.DataFrame:
+    def frame(ids, hashes, numbers, lines) -> pd.DataFrame:
         return pd.DataFrame(
             {
                 "doc_id": pd.array([None if x is None or x != x else int(x) for x in ids], dtype="Int64"),
+                "row_hash": np.array(hashes, np.int64),
                 "line_no": np.array(numbers, np.int64),
                 "line_key": line_keys(lines),
                 "code": simhash_lines(lines).view(np.int64),
             }
         )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        rows, "doc_id long, line_no long, line_key binary, code long"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("row_hash"), "text").mapInPandas(
+        rows, "doc_id long, row_hash long, line_no long, line_key binary, code long"
     )
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(line_key, norm) of the wanted lines, from the document that has each first.
 
-    ``wanted`` has doc_id and line_no. Line numbers meet their documents by a join on doc_id that
-    carries (doc_id, numbers) to the text's side only where there are any: other documents are left
-    out before their texts are shuffled, by a bitmap of the wanted ids.
+    ``wanted`` has row_hash and line_no. Line numbers meet their documents by a join on row_hash that
+    carries (row_hash, numbers) to the text's side only where there are any: other documents are left
+    out before their texts are shuffled, by a bitmap of the wanted hashes.
     """
-    numbers = wanted.groupBy("doc_id").agg(F.collect_set("line_no").alias("numbers"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    few = rows_that_may_be_in(rows, F.col("doc_id"), wanted, F.col("doc_id"))
-    met = few.join(numbers.withColumnRenamed("doc_id", "want_id"), F.col("doc_id").eqNullSafe(F.col("want_id")))
+    numbers = wanted.groupBy(F.col("row_hash").alias("want_hash")).agg(F.collect_set("line_no").alias("numbers"))
+    rows = docs.select(row_hash().alias("row_hash"), "text")
+    few = rows_that_may_be_in(rows, F.col("row_hash"), numbers, F.col("want_hash"))
+    met = few.join(numbers, F.col("row_hash") == F.col("want_hash"))
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -331,14 +338,14 @@ def _similar_of(pairs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def line_groups(docs: DataFrame, rows: DataFrame, wide: bool = False) -> DataFrame:
-    """(line_key, keep_doc, keep_line) of lines that occur again or are linked: where their group's first line is.
+    """(line_key, keep_doc, keep_hash, keep_line) of lines that occur again or are linked: where their group's first line is.
 
     Lines link if their SimHashes differ in at most 3 bits and their edit similarity is SIMILARITY or
     more; equal lines are one line from the start. Codes are dealt to bounded units by pigeonhole
     blocks; lines whose code several lines have, or has a neighbour, get their texts, are dealt again,
     and verified. If ``wide``, lines that meet in ``meeting_places`` are verified as well.
     """
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash", "line_no")
     lines = rows.groupBy("line_key").agg(F.min(place).alias("first"), F.min("code").alias("code"), F.count("*").alias("times"))
     lines = cut(lines.withColumn("line_id", F.xxhash64("line_key")))
     codes = cut(lines.groupBy("code").agg(F.count("*").alias("n")))
@@ -348,7 +355,7 @@ def line_groups(docs: DataFrame, rows: DataFrame, wide: bool = False) -> DataFra
         met = cut(by_unit(meeting_places(docs), _met, "unit long, code long, lead long"))
         found = found.unionByName(met.select(F.col("code").alias("line_id")))
     wanted = cut(lines.join(found.distinct(), "line_id", "left_semi"))
-    texts = _texts_of(docs, wanted.select("first.doc_id", "first.line_no"))
+    texts = _texts_of(docs, wanted.select("first.row_hash", "first.line_no"))
     items = cut(wanted.select("line_key", "line_id", "code").join(texts, "line_key").select("line_id", "code", "norm"))
     links = by_unit(hamming_units(items), _verified, "src long, dst long", rows=50_000)
     if wide:
@@ -358,26 +365,26 @@ def line_groups(docs: DataFrame, rows: DataFrame, wide: bool = False) -> DataFra
     linked = grouped.join(firsts, "component").select(F.col("line_key").alias("linked_key"), "keep")
     out = lines.join(linked, lines["line_key"] == linked["linked_key"], "left").filter("times > 1 OR keep IS NOT NULL")
     keep = F.coalesce("keep", "first")
-    return out.select("line_key", keep["doc_id"].alias("keep_doc"), keep["line_no"].alias("keep_line"))
+    return out.select("line_key", keep["doc_id"].alias("keep_doc"), keep["row_hash"].alias("keep_hash"), keep["line_no"].alias("keep_line"))
 
 
 def dedup_lines(docs: DataFrame, wide: bool = False) -> DataFrame:
     """``docs`` whose text lacks repeated lines, with n_lines and n_removed; columns of these names are replaced.
 
-    One line of each group stays: the first by doc_id (null last) and line number. Blank lines always
-    stay. A null text stays null and has no lines. Rows that repeat a doc_id are taken as one document:
-    the same line numbers go from each. A document all of whose lines go has an empty text. Only line
+    One line of each group stays: the first by doc_id (null last), hash of the row, and line number. Blank
+    lines always stay. A null text stays null and has no lines. Rows of one doc_id, or of none, with
+    different texts are different documents; rows that repeat both are one, and lose the same lines. A document all of whose lines go has an empty text. Only line
     numbers, keys and codes are shuffled before the one join that brings line numbers to texts.
     ``wide``: edit similarity decides alone, and not only among lines of like SimHashes.
     """
     ship(docs.sparkSession)
-    docs = docs.drop("n_lines", "n_removed", "drop_id", "drop_lines")
+    docs = docs.drop("n_lines", "n_removed", "drop_id", "drop_hash", "drop_lines")
     rows = cut(line_rows(docs))
     keeps = line_groups(docs, rows, wide)
     drops = (
         rows.join(keeps, "line_key")
-        .filter(~(F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col("line_no") == F.col("keep_line"))))
-        .groupBy(F.col("doc_id").alias("drop_id"))
+        .filter(~(F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col("row_hash") == F.col("keep_hash")) & (F.col("line_no") == F.col("keep_line"))))
+        .groupBy(F.col("doc_id").alias("drop_id"), F.col("row_hash").alias("drop_hash"))
         .agg(F.array_distinct(F.collect_list("line_no")).alias("drop_lines"))
     )
     kept = let(
@@ -388,7 +395,8 @@ def dedup_lines(docs: DataFrame, wide: bool = False) -> DataFrame:
         ),
     )
     some = F.col("drop_lines").isNotNull() & F.col("text").isNotNull()
-    joined = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("drop_id")), "left")
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("drop_id")) & (row_hash() == F.col("drop_hash"))
+    joined = docs.join(drops, own, "left")
     breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     joined = joined.withColumn("n_lines", F.coalesce(breaks + 1, F.lit(0)).cast("long"))
     joined = joined.withColumn("n_removed", F.when(some, F.size("drop_lines")).otherwise(F.lit(0)).cast("long"))
