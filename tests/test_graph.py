@@ -169,6 +169,29 @@ def test_cliques_are_communities(spark):
     assert round(analytics.modularity(with_c, e).first()["modularity"], 4) == round(2 * (28 / 57 - (57 / 114) ** 2), 4)
 
 
+def test_large_components_are_split_and_merged_as_well(spark):
+    edges = []
+    for k in range(3):
+        ids = [f"{'abc'[k]}{i}" for i in range(6)]
+        edges += [(x, y) for i, x in enumerate(ids) for y in ids[:i]]
+        edges += [(f"{'abc'[k]}0", f"z{k}p", "calls", "AMBIGUOUS"), (f"z{k}p", f"z{k}q")]  # a pair, that has to join
+    edges += [("a5", "b5", "calls", "AMBIGUOUS"), ("b4", "c4", "calls", "AMBIGUOUS")]
+    nodes, e = graph(spark, edges)
+    want = {r["id"]: r["community"] for r in communities.detect(nodes, e).collect()}
+    got = {r["id"]: r["community"] for r in communities.detect(nodes, e, task_links=1).collect()}
+    assert got == want and len(set(want.values())) == 3 and want["z0q"] == want["a0"]
+
+
+def test_large_components_split_what_is_oversized(spark, monkeypatch):
+    calls, plain = [], communities._labels
+    # The first sweep leaves all in one community; the split has to part the cliques.
+    monkeypatch.setattr(communities, "_labels", lambda links: calls.append(1) or (plain(links) if len(calls) > 1 else plain(links).withColumn("lead", F.lit("a0"))))
+    cliques = [(f"{c}{x}", f"{c}{y}") for c in "ab" for x in range(6) for y in range(x)]
+    nodes, e = graph(spark, [*cliques, ("a5", "b5", "calls", "AMBIGUOUS")])
+    got = {r["id"]: r["community"] for r in communities.detect(nodes, e, task_links=1).collect()}
+    assert len(set(got.values())) == 2 and all((got[x] == got["a0"]) == (x[0] == "a") for x in got)
+
+
 def test_promotion_needs_questions_hits_and_a_success(spark):
     rows = [("a", "b", "q1", 2), ("a", "b", "q2", 1), ("a", "c", "q1", 9), ("b", "c", "q3", 2), ("b", "c", "q4", 2)]
     pairs = spark.createDataFrame(rows, "source string, target string, question string, hits long")

@@ -113,7 +113,8 @@ def detect(nodes: DataFrame, edges: DataFrame, task_links: int = TASK_LINKS) ->
 
     Labels move along links only, so components are independent, and each is swept in one task in order
     of its nodes' global ranks. A component of over ``task_links`` links is swept in rounds instead,
-    all nodes at once, where a node only takes a smaller label or a heavier one every other round.
+    all nodes at once, where a node only takes a smaller label or a heavier one every other round; large
+    communities are split and small ones merged there as well. The order of moves can still tell.
     """
     ship(nodes.sparkSession)
     links = cut(link_weights(edges))
@@ -138,7 +139,7 @@ def detect(nodes: DataFrame, edges: DataFrame, task_links: int = TASK_LINKS) ->
     found = small.groupBy("component").applyInPandas(sweep, "id string, lead string")
     big = sizes.filter(F.col("n") > task_links).select("component")
     if not big.isEmpty():
-        found = found.unionByName(_rounds(linked.join(big, "component", "left_semi").select("a", "b", "weight")))
+        found = found.unionByName(_rounds(linked.join(big, "component", "left_semi").select("a", "b", "weight"), n_all))
     alone = nodes.select("id").join(found.select("id"), "id", "left_anti").withColumn("lead", F.col("id"))
     every = cut(found.unionByName(alone))
     # Communities are numbered by their leads: first members in order of ids.
@@ -146,18 +147,63 @@ def detect(nodes: DataFrame, edges: DataFrame, task_links: int = TASK_LINKS) ->
     return every.join(leads.withColumn("community", F.row_number().over(Window.orderBy("lead")) - 1), "lead").select("id", "community")
 
 
-def _rounds(links: DataFrame, rounds: int = 20) -> DataFrame:
+def _labels(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(id, lead) of label propagation in rounds, until no node would move; a community's lead is its first member."""
     both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
     label = both.select(F.col("a").alias("id")).distinct().withColumn("lead", F.col("id"))
     for k in range(rounds):
         tally = both.join(label.select(F.col("id").alias("b"), "lead"), "b").groupBy("a", "lead").agg(F.sum("weight").alias("weight"))
         best = tally.groupBy(F.col("a").alias("id")).agg(F.min(F.struct((-F.col("weight")).alias("w"), "lead")).alias("m"))
-        new = label.join(best, "id").select("id", F.when((F.col("m.lead") < F.col("lead")) | F.lit(k % 2 == 1), F.col("m.lead")).otherwise(F.col("lead")).alias("lead"), F.col("lead").alias("was"))
+        new = label.join(best, "id").select("id", F.when((F.col("m.lead") < F.col("lead")) | F.lit(k % 2 == 1), F.col("m.lead")).otherwise(F.col("lead")).alias("lead"), (F.col("m.lead") != F.col("lead")).alias("pulled"))
         new = cut(new)
         label = new.select("id", "lead")
-        if new.filter("lead <> was").isEmpty():
+        if new.filter("pulled").isEmpty():
             break
-    return label
+    return _led(label)
+
+
+def _led(label: DataFrame) -> DataFrame:
+    firsts = label.groupBy("lead").agg(F.min("id").alias("first"))
+    return cut(label.join(firsts, "lead").select("id", F.col("first").alias("lead")))
+
+
+def _rounds(links: DataFrame, n_all: int) -> DataFrame:
+    """(id, lead) as ``partition`` of components too large for one task: rounds, splits and merges in Spark.
+
+    Several small communities join their neighbours at once: those that come before all small ones next to them.
+    """
+    links = cut(links)
+    label = _labels(links)
+
+    def ends(of: DataFrame) -> DataFrame:
+        """The links with their ends' leads, la and lb."""
+        return links.join(of.toDF("a", "la"), "a").join(of.toDF("b", "lb"), "b")
+
+    for _ in range(SPLIT_PASSES):
+        sizes = label.groupBy("lead").agg(F.count("*").alias("n"))
+        large = cut(sizes.filter((F.col("n") >= SPLIT_LEAST) & (F.col("n") > SPLIT_SHARE * n_all)).select("lead"))
+        if large.isEmpty():
+            break
+        members = label.join(large, "lead", "left_semi")
+        fresh = _labels(ends(members).filter("la = lb").select("a", "b", "weight")).toDF("id", "fresh")
+        split = cut(members.join(fresh, "id", "left").select("id", "lead", F.coalesce("fresh", "id").alias("fresh")))
+        parted = split.groupBy("lead").agg(F.countDistinct("fresh").alias("n")).filter("n > 1")
+        if parted.isEmpty():
+            break
+        label = cut(label.join(split.select("id", "fresh"), "id", "left").select("id", F.coalesce("fresh", "lead").alias("lead")))
+    while True:
+        small = cut(label.groupBy("lead").agg(F.count("*").alias("n")).filter(F.col("n") < LEAST_SIZE).select("lead"))
+        if small.isEmpty():
+            return label
+        across = ends(label).filter("la <> lb")
+        across = across.select(F.col("la").alias("lead"), F.col("lb").alias("other"), "weight").unionByName(across.select(F.col("lb").alias("lead"), F.col("la").alias("other"), "weight"))
+        pull = cut(across.join(small, "lead", "left_semi").groupBy("lead", "other").agg(F.sum("weight").alias("weight")))
+        waits = pull.filter("other < lead").join(small.select(F.col("lead").alias("other")), "other", "left_semi").select("lead").distinct()
+        moves = pull.join(waits, "lead", "left_anti").groupBy("lead").agg(F.min(F.struct((-F.col("weight")).alias("w"), "other"))["other"].alias("to"))
+        moves = cut(moves)
+        if moves.isEmpty():
+            return label
+        label = _led(label.join(moves, "lead", "left").select("id", F.coalesce("to", "lead").alias("lead")))
 
 
 def stable_labels(old: DataFrame, new: DataFrame, labels: DataFrame) -> DataFrame:
