@@ -47,6 +47,12 @@ def test_language_rejects_what_has_no_letters(stages):
     assert stages[1].filter("lang IS NULL").count() == 0 and stages[1].columns == list(cp.COLUMNS)
 
 
+def test_language_rejects_what_is_in_no_learned_script(spark):
+    rows = [*corpus(), (200, "漢字漢字 漢字", None, "s0", 7), (201, "漢字漢字 漢字", "en", "s0", 7)]
+    kept = ids(cp.identify_language(spark, spark.createDataFrame(rows, DOC), None))
+    assert not {200, 201} & set(kept) and len(kept) == len(rows) - 5
+
+
 def test_line_dedup_takes_copies_apart(stages):
     assert set(ids(stages[1])) - set(ids(stages[2])) == {100}
     assert stages[2].filter("doc_id = 101").first()["text"] == "new words here"
