@@ -113,3 +113,16 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main([*store, "stats"]) == 0 and cli.main([*store, "export", "cypher", str(tmp_path / "c")]) == 0
     cli.main([*store, "query", "f"])
     assert "self_loops" in capsys.readouterr().out and list((tmp_path / "c").glob("part-*"))
+
+
+def test_queries_of_retrieval_take_all_rows(spark, tmp_path, monkeypatch):
+    from weft import queries, queries_more
+
+    docs = [(1, "rare words", "en", "s"), (2, "größe words", "de", "s"), (3, "words x1", None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = {r["stem"]: r["df"] for r in queries.QUERIES["idf_nodes"](spark, str(tmp_path)).collect()}
+    assert df["word"] == 3 and df["rare"] == df["größe"] == df["x1"] == 1
+    nodes = spark.createDataFrame([("n", "GERMANY", "nation"), ("c", "germny", "customer")], "id string, label string, source_file string")
+    monkeypatch.setattr(queries_more.g, "entity_nodes", lambda *_: nodes)
+    found = queries.QUERIES["did_you_mean"](spark, "").collect()
+    assert [r["label"] for r in found] == ["germny", "GERMANY"]

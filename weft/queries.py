@@ -431,6 +431,11 @@ def _document_nodes(spark, sf_dir):
     return d.select(F.concat(F.lit("doc:"), "doc_id").alias("id"), text.sanitize_label(first).alias("label"), F.lit("document").alias("file_type"), F.coalesce("source", F.lit("")).alias("source_file"), F.col("text").alias("docstring"))
 
 
+@register("idf_nodes")
+def idf_nodes(spark, sf_dir):
+    return retrieve.document_frequency(retrieve.lexical_index(_document_nodes(spark, sf_dir)))
+
+
 @register("score_nodes")
 def score_nodes(spark, sf_dir):
     index = cut(retrieve.lexical_index(_document_nodes(spark, sf_dir)))

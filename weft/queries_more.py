@@ -213,8 +213,7 @@ def document_chunks(spark, sf_dir):
 
 @register("did_you_mean")
 def did_you_mean(spark, sf_dir):
-    nations = g.entity_nodes(spark, sf_dir).filter("source_file = 'nation'")
-    return retrieve.did_you_mean(nations, "nations of germny and frnce").withColumn("similarity", _r("similarity"))
+    return retrieve.did_you_mean(g.entity_nodes(spark, sf_dir), "nations of germny and frnce").withColumn("similarity", _r("similarity"))
 
 
 @register("health_report")
