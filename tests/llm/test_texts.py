@@ -1,5 +1,6 @@
 """Media columns, BPE, secrets, language ID, near-duplicates and line dedup against plain Python."""
 
+import base64
 import collections
 import hashlib
 import os
@@ -80,7 +81,6 @@ def test_media_columns(spark):
 # BPE
 
 def reference_encoder():
-    import base64
 
     import tiktoken
 
@@ -106,10 +106,48 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode_texts(df.limit(0), *public_bpe()).count() == 0
 
 
-def test_queue_is_empty_after_use():
-    codec = bpe.Codec(*public_bpe())
-    codec.encode("unbelievable zzxxyy " * 5)
-    assert not codec.queue.buckets and not any(codec.queue.low)
+def scanned(ranks, piece):
+    """Brute force: merge the leftmost pair of the smallest rank until none is left."""
+    parts = [bytes([b]) for b in piece]
+    while len(parts) > 1:
+        found = [(ranks[x + y], k) for k, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in ranks]
+        if not found:
+            break
+        k = min(found)[1]
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    return struct.pack(f"<{len(parts)}I", *(ranks[x] for x in parts))
+
+
+def test_bpe_with_ranks_of_any_order(tmp_path):
+    """Ranks that no training gives, where a merge may give a pair of a smaller rank; alone, and in step with others."""
+    r = random.Random(5)
+    for seed in range(4):
+        tokens = sorted({"".join(r.choice("abc") for _ in range(r.randint(2, 6))).encode() for _ in range(200)})
+        r.shuffle(tokens)
+        order = [b"a", b"b", b"c", b" ", *tokens] if seed % 2 else [*tokens, b"a", b"b", b"c", b" "]
+        ranks = {x: 7 * k for k, x in enumerate(order)}
+        path = tmp_path / f"{seed}.tiktoken"
+        path.write_bytes(b"".join(base64.b64encode(x) + b" %d\n" % k for x, k in ranks.items()))
+        codec = bpe.Codec(str(path), r"\S+|\s+")
+        pieces = ["".join(r.choice("abc") for _ in range(r.randint(1, 60))).encode() for _ in range(300)]
+        want = [scanned(ranks, x) for x in pieces]
+        assert codec.merge(pieces) == want
+        assert [codec._merge_one(x).astype("<u4").tobytes() for x in pieces] == want
+        assert codec.encode_all(["", "abc abca  cab"])[1] == b"".join(scanned(ranks, x) for x in (b"abc", b" ", b"abca", b"  ", b"cab"))
+
+
+def test_bpe_of_odd_spaces_long_texts_and_full_memory(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 3000)
+    monkeypatch.setattr(bpe, "BULK", 200)
+    r = random.Random(6)
+    parts = ["a", "aa", "the", " ", " ", "  ", "\n", "\t", "\r\n", "\x85", "\xa0", "\x1c", "\u3000", "é", "1", "'s", " \n ", "word", "漢字", "x" * 70]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 300))) for _ in range(400)] + ["", " ", "   ", " a", "a ", "\n a"]
+    codec, encoder = bpe.Codec(*public_bpe()), reference_encoder()
+    for text, ids in zip(texts, codec.encode_all(texts)):
+        assert memoryview(ids).cast("I").tolist() == encoder.encode_ordinary(text)
+        assert codec.decode(ids) == text.encode()
+        assert codec.decoded_sha256(ids) == hashlib.sha256(text.encode()).hexdigest()
+    assert codec.word_bytes < 40_000 and codec.piece_bytes < 40_000
 
 
 # Secrets

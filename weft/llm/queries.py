@@ -36,12 +36,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_bpe()
-    coded = bpe.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
+    coded = bpe.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern, "sha256")
     return coded.select(
         "doc_id",
         F.expr("octet_length(token_ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "decoded_sha256",
     )
 
 
