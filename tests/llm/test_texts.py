@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, hamming, langid, lines, media, secrets, simhash
+from weft.llm import bpe, edits, hamming, langid, lines, media, secrets, simhash
 from weft.llm.queries import public_bpe
 
 DOC = "doc_id long, text string"
@@ -364,48 +364,44 @@ def test_pairs_across_components():
 
 # Lines
 
+def norm(line):
+    return " ".join(line.lower().split())
+
+
 def brute_lines(rows):
-    norm = lambda s: " ".join(s.lower().split())
+    """Texts by the number of the row: of lines that are similar, the first in order of id, row hash (here: rows in order) and number stays."""
+    order = sorted(range(len(rows)), key=lambda n: (rows[n][0] is None, rows[n][0] or 0))
     first = {}
-    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        for k, line in enumerate((t or "").split("\n")):
+    for n in order:
+        for k, line in enumerate((rows[n][1] or "").split("\n")):
             if norm(line):
-                first.setdefault(norm(line), (i, k))
-    keys = sorted(first, key=lambda x: (first[x][0] is None, first[x][0] or 0, first[x][1]))
-    codes = lines.simhash_lines(keys) if keys else []
-    roots = groups_of(keys, lambda a, b: int(codes[a] ^ codes[b]).bit_count() <= 3 and lines.similar(keys[a], keys[b]))
-    keep = {k: first[keys[r]] for k, r in zip(keys, roots, strict=True)}
-    out = {}
-    for i, t in rows:
-        out[i] = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not norm(x) or keep[norm(x)] == (i, k))
-    return out
+                first.setdefault(norm(line), (n, k))
+    keys = list(first)
+    sims = lines.simhash_lines(keys)
+    near = lambda a, b: lines.similar(keys[a], keys[b]) and (min(len(keys[a]), len(keys[b])) < lines.WORDY or int(sims[a] ^ sims[b]).bit_count() <= lines.BUDGET)
+    keep = {k: first[keys[r]] for k, r in zip(keys, groups_of(keys, near), strict=True)}
+    return [None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not norm(x) or keep[norm(x)] == (n, k)) for n, (_, t) in enumerate(rows)]
 
 
 def test_line_dedup_matches_brute_force(spark):
     r = random.Random(6)
     pool = [" ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 7))) for _ in range(r.randrange(1, 60))) for _ in range(40)]
-    pool += [p + "." for p in pool[:15]] + [p.upper() for p in pool[:5]] + ["", "  ", "a | b | c", "x | y | z"]
+    pool += [p + "." for p in pool[:15]] + [p.upper() for p in pool[:5]] + ["", "  ", "\u3000\x1c", "a | b | c", "x | y | z"]
     rows = [(k, "\n".join(r.choice(pool) for _ in range(r.randrange(1, 12)))) for k in range(60)] + [(100, None), (101, ""), (102, "one\n\n\ntwo"), (None, "one\nthree")]
-    df = spark.createDataFrame(rows, DOC + "").withColumn("n_lines", F.lit("x")).withColumn("extra", F.lit(1))
-    got = lines.dedup_lines(df).collect()
-    want = brute_lines(rows)
-    assert {x["doc_id"]: x["text"] for x in got} == want
-    for x in got:
-        before = dict(rows)[x["doc_id"]]
-        assert x["n_lines"] == (0 if before is None else before.count("\n") + 1)
-
-
-def test_repeated_rows_lose_the_same_lines(spark):
-    df = spark.createDataFrame([(1, "a\nb\na"), (1, "a\nb\na"), (2, "b\nc")], DOC)
-    assert sorted(r["text"] for r in lines.dedup_lines(df).collect()) == ["a\nb", "a\nb", "c"]
-    assert lines.dedup_lines(df.limit(0)).count() == 0
+    df = spark.createDataFrame(rows, DOC).select("*", *[F.lit("x").alias(c) for c in ("n_lines", "extra", "line_doc", "line_hash", "drop_id", "unit", "k1", "may_at")])
+    got = {x["doc_id"]: x for x in lines.dedup_lines(df).collect()}
+    assert [got[i]["text"] for i, _ in rows] == brute_lines(rows)
+    for i, before in rows:
+        assert got[i]["n_lines"] == (0 if before is None else before.count("\n") + 1) and got[i]["line_doc"] == "x"
+        gone = sum(bool(norm(x)) for x in (before or "").split("\n")) - sum(bool(norm(x)) for x in (got[i]["text"] or "").split("\n"))
+        assert got[i]["n_removed"] == gone
 
 
-def test_wide_line_dedup_against_brute_force(spark):
-    r = random.Random(16)
+def changed_lines(r):
+    """Lines of all lengths, with copies whose words were replaced, cut or prolonged."""
     word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9)))
     texts = [word() for _ in range(40)]
-    for n in (1, 1, 2, 2, 3, 5, 8, 10, 10, 15, 20, 20, 30, 40):
+    for n in (1, 1, 2, 2, 3, 5, 8, 10, 10, 15, 20, 20, 30, 40, 80):
         for _ in range(4):
             base = [word() for _ in range(n)]
             texts.append(" ".join(base))
@@ -414,29 +410,64 @@ def test_wide_line_dedup_against_brute_force(spark):
                 for k in r.sample(range(n), max(1, n // 8)):
                     copy[k] = r.choice([word(), copy[k][1:] + "x", copy[k] + "s"])
                 texts.append(" ".join(copy))
-    texts = list(dict.fromkeys(texts))
+    return list(dict.fromkeys(texts))
+
+
+@pytest.mark.parametrize("unit_rows", [2, 256])
+def test_recall_of_similar_lines(spark, monkeypatch, unit_rows):
+    """Against edit similarity by brute force alone: what no unit brings together, or SimHash tells apart, is lost."""
+    monkeypatch.setattr(lines, "UNIT_ROWS", unit_rows)
+    texts = changed_lines(random.Random(16))
     near = {(i, j) for i in range(len(texts)) for j in range(i) if lines.similar(texts[i], texts[j])}
     codes = lines.simhash_lines(texts)
-    assert sum(int(codes[i] ^ codes[j]).bit_count() > 3 for i, j in near) > len(near) / 2  # what SimHash doesn't propose
+    assert sum(int(codes[i] ^ codes[j]).bit_count() > 3 for i, j in near) > len(near) / 2  # what blocks of SimHash bits don't propose
     roots = groups_of(texts, lambda i, j: (i, j) in near)
     df = spark.createDataFrame(list(enumerate(texts)), DOC)
-    kept = {x["doc_id"] for x in lines.dedup_lines(df, wide=True).collect() if x["text"]}
-    assert set(roots) <= kept and len(kept) - len(set(roots)) <= 0.02 * len(texts)  # never more than brute force takes
+    kept = {x["doc_id"] for x in lines.dedup_lines(df).collect() if x["text"]}
+    assert set(roots) <= kept and len(kept) - len(set(roots)) <= 0.03 * len(texts)  # never more than brute force takes
     short = {i for i, t in enumerate(texts) if len(t) <= lines.SHORT}
     assert {i for i in kept & short} == {i for i in short if roots[i] == i}
-    assert lines.dedup_lines(df.limit(0), wide=True).count() == 0
+    assert lines.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_lines_of_the_same_words(spark):
+    """400 lines of cells with one bag of words: they share units and SimHashes, and aren't similar."""
+    r = random.Random(8)
+    cells = ["".join(r.sample("0" * 60 + "1" * 60, 120)) for _ in range(400)]
+    texts = [" ".join(x) for x in cells]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], DOC)
+    got = lines.dedup_lines(df)
+    removed = [x["doc_id"] for x in got.filter("n_removed > 0").collect()]
+    for k in removed:  # chance brings some within a fifth
+        assert any(lines.similar(texts[k], texts[j]) for j in range(len(texts)) if j != k)
 
 
 def test_rows_of_one_id_or_none_are_told_apart_by_their_texts(spark):
-    rows = [(None, "xxxx\nyyyy"), (None, "pppp\nxxxx"), (None, "pppp\nqqqq"), (7, "aaaa\nbbbb"), (7, "bbbb\ncccc"), (7, "bbbb\ncccc"), (8, "same"), (8, "same"), (9, "same\ndddd")]
-    for wide in (False, True):
-        got = lines.dedup_lines(spark.createDataFrame(rows, DOC), wide=wide).collect()
-        kept = [line for x in got for line in x["text"].split("\n") if line]
-        once = collections.Counter(kept)
-        assert set(kept) == {line for _, t in rows for line in t.split("\n")}  # nothing is lost
-        assert all(once[x] == 1 for x in ("xxxx", "yyyy", "pppp", "qqqq", "aaaa", "dddd")) and once["same"] == 2
-        assert [once["bbbb"], once["cccc"]] in ([1, 2], [2, 2])  # equal rows lose the same lines
-        assert len(got) == len(rows)
+    rows = [(None, "xxxx\nyyyy"), (None, "pppp\nxxxx"), (None, "pppp\nqqqq"), (7, "aaaa\nbbbb"), (7, "bbbb\ncccc"), (7, "bbbb\ncccc"), (8, "same\n "), (8, "same\n "), (9, "same\ndddd")]
+    got = lines.dedup_lines(spark.createDataFrame(rows, DOC)).collect()
+    kept = [line for x in got for line in x["text"].split("\n") if line.strip()]
+    assert sorted(kept) == sorted({line for _, t in rows for line in t.split("\n") if line.strip()})  # each once
+    assert len(got) == len(rows) and sum(x["text"] == "\n " for x in got) == 0
+    assert sorted(x["text"] for x in got if x["doc_id"] == 8) == [" ", "same\n "]
+
+
+def test_repeated_rows_keep_one_occurrence(spark):
+    df = spark.createDataFrame([(1, "a\nb\na"), (1, "a\nb\na"), (1, "a\nb\na"), (2, "b\nc")], DOC)
+    got = lines.dedup_lines(df).collect()
+    assert sorted(r["text"] for r in got) == ["", "", "a\nb", "c"]
+    assert sorted(r["n_removed"] for r in got) == [1, 1, 3, 3]
+
+
+def test_very_long_texts_and_lines(spark):
+    """Beyond what is hashed at once: 3 MB of lines, and a line of 2 MB that is near another."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9)))
+    many = [" ".join(word() for _ in range(40)) for _ in range(11_000)]
+    long = [word() for _ in range(300_000)]
+    other = [*long[:1000], "changed", *long[1001:]]
+    rows = [(1, "\n".join(many)), (2, "\n".join(many[::-1] + ["fresh line"])), (3, " ".join(long)), (4, " ".join(other) + "\nkept line")]
+    got = {x["doc_id"]: x for x in lines.dedup_lines(spark.createDataFrame(rows, DOC)).collect()}
+    assert [got[k]["text"] for k in (1, 2, 3, 4)] == [rows[0][1], "fresh line", rows[2][1], "kept line"]
 
 
 def test_edit_distance():
@@ -453,4 +484,27 @@ def test_edit_distance():
 
     for _ in range(500):
         a, b = ("".join(r.choice("ab ") for _ in range(r.randrange(12))) for _ in range(2))
-        assert lines.edit_distance(a, b) == plain(a, b)
+        assert edits.edit_distance(a, b) == plain(a, b)
+
+
+def test_edit_distances_in_step():
+    r = random.Random(2)
+
+    def copy(text, n):
+        text = list(text)
+        for _ in range(n):
+            k = r.randrange(len(text) + 1)
+            text[k : k + r.randrange(2)] = r.choice(["", "a", "é", "漢"])
+        return "".join(text)
+
+    pairs = []
+    for size in (0, 1, 5, 63, 64, 65, 127, 128, 129, 500, 1100) * 12:
+        a = "".join(r.choice("abcd ") for _ in range(size))
+        pairs.append((a, copy(a, r.randrange(size // 2 + 3))))
+        pairs.append((a, "".join(r.choice("abcd ") for _ in range(r.randrange(size + 9)))))
+    a, b = map(list, zip(*pairs))
+    real = np.array([edits.edit_distance(x, y) for x, y in pairs])
+    assert all(edits.at_most(x, y, 10**9) >= d for x, y, d in zip(a, b, real))
+    for more in (-7, -1, 0, 1, 5):
+        limits = np.maximum(real + more, 0)
+        assert (edits.within(a, b, limits) == (real <= limits)).all()

@@ -69,6 +69,20 @@ def rows_that_may_be_in(rows: DataFrame, key: Column, wanted: DataFrame, wanted_
     return rows.filter(maybe(slot_of(key)))
 
 
+def marked(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, name: str, bits: int = FILTER_BITS) -> DataFrame:
+    """``rows`` with a boolean ``name``: false where the key isn't among the wanted keys; true where it is, or rarely else.
+
+    What is false can be left out of a shuffle. A bitmap of hashes of at most bits / 64 rows is broadcast.
+    """
+    slot_of = lambda c: F.pmod(F.xxhash64(c), F.lit(bits).cast("long"))
+    words = wanted.select(slot_of(wanted_key).alias("slot")).select(F.expr("slot div 64").alias("may_at"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bit"))
+    words = words.groupBy("may_at").agg(F.bit_or("bit").alias("may_word"))
+    slotted = rows.withColumn("may_slot", slot_of(key))
+    met = slotted.join(F.broadcast(words), F.expr("may_slot div 64 = may_at"), "left")
+    bit = F.expr("shiftrightunsigned(coalesce(may_word, 0L), cast(may_slot % 64 as int)) & 1L")
+    return met.withColumn(name, bit == 1).drop("may_slot", "may_at", "may_word")
+
+
 def breathe() -> None:
     """Give memory that is free in this worker back: workers stay, and others share the executor's limit."""
     pa.default_memory_pool().release_unused()

@@ -1,35 +1,52 @@
-"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one line of each group."""
+"""Fuzzy line dedup: normalised lines meet in blocks, SimHash and edit similarity decide, one line of each group stays.
+
+Blocks of SimHash bits can't propose lines of an edit similarity of 0.8: their SimHashes differ in 7 of
+64 bits as a rule and in 13 often, and blocks that survive 13 changed bits have four bits each. So the
+blocks that must be equal are of minima of word pairs (MinHash), and SimHash prunes what meets there.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from hashlib import blake2b
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weft.llm.common import breathe, let, rows_that_may_be_in
-from weft.llm.hamming import LANE_HASHES, Groups, by_unit, hamming_units, lane_sums, linked_in_units, near_pairs, pack_majority
+from weft.llm.common import breathe, let, marked
+from weft.llm.edits import within
+from weft.llm.hamming import LANE_HASHES, Groups, by_unit, lane_sums, pack_majority
 from weft.operators.components import connected_components
-from weft.plans.runtime import cut, ship
+from weft.plans.runtime import cut, reclaim, ship, stored
 
 #: Least edit similarity of linked lines: 1 - distance / length of the longer, in characters.
 SIMILARITY = 0.8
+#: SimHash bits in which linked lines of WORDY characters or more may differ: 99.9 % of similar pairs do.
+BUDGET = 22
 #: Characters up to which lines meet by what is left of them without up to two characters: all similar ones do.
 SHORT = 14
 #: Lines of fewer characters meet by runs of five characters, lines of WORDY or more by pairs of words. Similar
 #: lines, whose lengths differ by a fifth at most, are both of the one sort or both of the other.
 LETTERED, WORDY = 75, 48
 #: MinHash bands, each of so many minima, of runs of characters and of pairs of words.
-LETTER_BANDS, WORD_BANDS, MINIMA = 48, 16, 3
+LETTER_BANDS, WORD_BANDS, MINIMA = 24, 10, 3
 _RANDOM = np.random.default_rng(12)
-_TIMES = _RANDOM.integers(0, 1 << 63, MINIMA * LETTER_BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _RANDOM.integers(0, 1 << 63, MINIMA * LETTER_BANDS, np.uint64)
-#: Characters hashed at once.
-PIECE = 1 << 20
+_TIMES = _RANDOM.integers(0, 1 << 31, MINIMA * LETTER_BANDS, np.uint32) * np.uint32(2) + np.uint32(1)
+_PLUS = _RANDOM.integers(0, 1 << 32, MINIMA * LETTER_BANDS, np.uint32)
+#: Characters of lines that are hashed at once.
+PIECE = 1 << 19
+#: Rows of a unit above which it is split into pairs of parts of so many rows.
+UNIT_ROWS = 256
+#: Lines of a frame in which units are compared, and pairs that are compared at once.
+FRAME_ROWS, PAIRS = 4000, 200_000
+#: What str.split() takes for space.
+_BLANKS = r"[\t\n\x0B\f\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+#: Bits of the filter that finds wanted lines again: it only saves work, and its words reach the driver.
+FILTER_BITS = 1 << 24
 
 
 def normal(line: str) -> str:
@@ -37,27 +54,10 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def line_keys(lines: list[str]) -> list[bytes]:
-    """What names each normalised line: 16 bytes of its BLAKE2b."""
-    return [blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest() for line in lines]
-
-
-def simhash_lines(lines: list[str]) -> np.ndarray:
-    """SimHash over the different words of normalised, non-empty lines (which have single spaces).
-
-    A word counts once, lest a line of cells or bullets take the code of what separates them.
-    """
-    lines = [" ".join(dict.fromkeys(line.split(" "))) for line in lines]
-    out = np.zeros(len(lines), np.uint64)
-    at = 0
-    while at < len(lines):
-        to, n = at, 0
-        while to < len(lines) and (to == at or n + len(lines[to]) <= PIECE):
-            n += len(lines[to]) + 1
-            to += 1
-        out[at:to] = _simhash_some(lines[at:to])
-        at = to
-    return out
+def line_keys(lines: list[str]) -> np.ndarray:
+    """(n, 2) numbers that name each normalised line: 128 bits of its XXH3."""
+    raw = b"".join([xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")) for line in lines])
+    return np.frombuffer(raw, "<i8").reshape(-1, 2)
 
 
 def _mixed(hashes: np.ndarray) -> np.ndarray:
@@ -80,25 +80,41 @@ def _word_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _mixed(hashes), np.fromiter((line.count(" ") + 1 for line in lines), np.int64, len(lines))
 
 
-def _simhash_some(lines: list[str]) -> np.ndarray:
-    hashes, counts = _word_hashes(lines)
+def _simhashes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     firsts = np.cumsum(counts) - counts
     # Lanes hold so many words; a longer line is summed in parts.
     parts = -(-counts // LANE_HASHES)
-    owner = np.repeat(np.arange(len(lines)), parts)
+    owner = np.repeat(np.arange(len(counts)), parts)
     starts = firsts[owner] + LANE_HASHES * (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts))
     sums = np.add.reduceat(lane_sums(hashes, starts), np.cumsum(parts) - parts, axis=0)
     return pack_majority(sums, counts)
 
 
+def simhash_lines(lines: list[str]) -> np.ndarray:
+    """SimHash over the words of normalised, non-empty lines (which have single spaces)."""
+    return np.concatenate([_simhashes(*_word_hashes(some)) for some in _bulks(lines)]) if lines else np.zeros(0, np.uint64)
+
+
+def _bulks(lines: list[str]) -> Iterator[list[str]]:
+    at = 0
+    while at < len(lines):
+        to, n = at, 0
+        while to < len(lines) and (to == at or n + len(lines[to]) <= PIECE):
+            n += len(lines[to]) + 1
+            to += 1
+        yield lines[at:to]
+        at = to
+
+
 def _bands(features: np.ndarray, counts: np.ndarray, bands: int) -> np.ndarray:
     """(groups, bands) keys of the MinHash bands of groups of so many consecutive features."""
     starts = np.cumsum(counts) - counts
+    small = (features >> np.uint64(32)).astype(np.uint32)
     out = np.empty((len(counts), bands), np.uint64)
     for band in range(bands):
         key = np.full(len(counts), np.uint64(bands << 16 | band))
         for k in range(MINIMA * band, MINIMA * band + MINIMA):
-            key = _mixed(key + np.minimum.reduceat(features * _TIMES[k] + _PLUS[k], starts))
+            key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(small * _TIMES[k] + _PLUS[k], starts))
         out[:, band] = key
     return out
 
@@ -130,275 +146,325 @@ def _left_of(line: str) -> set[int]:
     return {xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 7) for x in kept}
 
 
-def meeting_places(docs: DataFrame) -> DataFrame:
-    """(unit, code) of where lines meet that may be similar; the code is the hash of a line's key.
+def _units(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The units in which lines meet, one line after the other, and their number for each line."""
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    owners, units = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for chosen, make in ((size >= WORDY, _word_bands), (size < LETTERED, _letter_bands)):
+        if chosen.any():
+            own = np.flatnonzero(chosen)
+            found = np.concatenate([make(some) for some in _bulks([lines[k] for k in own.tolist()])])
+            owners.append(np.repeat(own, found.shape[1]))
+            units.append(found.ravel())
+    for k in np.flatnonzero(size <= SHORT).tolist():
+        left = _left_of(lines[k])
+        owners.append(np.full(len(left), k))
+        units.append(np.fromiter(left, np.uint64, len(left)))
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(units)[order], np.bincount(owner, minlength=len(lines))
 
-    A task gives the places of a line once, so a common line has as many rows as there are tasks at most.
-    """
 
-    def places(lines: list[str]) -> Iterator[pd.DataFrame]:
-        codes = np.array([line_code(k) for k in line_keys(lines)], np.int64)
-        size = np.fromiter(map(len, lines), np.int64, len(lines))
-        for chosen, make in ((size >= WORDY, _word_bands), (size < LETTERED, _letter_bands)):
-            if chosen.any():
-                own = np.flatnonzero(chosen)
-                units = make([lines[k] for k in own.tolist()])
-                yield pd.DataFrame({"unit": units.view(np.int64).ravel(), "code": np.repeat(codes[own], units.shape[1])})
-        units, owners = [], []
-        for k in np.flatnonzero(size <= SHORT).tolist():
-            left = _left_of(lines[k])
-            units += left
-            owners += [codes[k]] * len(left)
-        if units:
-            yield pd.DataFrame({"unit": np.array(units, np.uint64).view(np.int64), "code": np.array(owners, np.int64)})
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
-        for batch in batches:
-            some, size = [], 0
-            for text in batch["text"]:
-                for line in (text or "").split("\n"):
-                    if (line := normal(line)) and (h := hash(line)) not in seen:
-                        seen.add(h)
-                        some.append(line)
-                        size += len(line)
-                if size > PIECE:
-                    yield from places(some)
-                    some, size = [], 0
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-            if some:
-                yield from places(some)
-            breathe()
+def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
+    return bool(alike([a], [b], least)[0])
 
-    return docs.select("text").mapInPandas(rows, "unit long, code long")
-
-
-def line_code(key: bytes) -> int:
-    """What Spark's xxhash64 says of a line key."""
-    code = xxhash.xxh64_intdigest(key, 42)
-    return code - (1 << 64) if code >> 63 else code
-
-
-def _met(frame: pd.DataFrame) -> pd.DataFrame:
-    """(unit, code, lead) of the units of several codes; the lead is the smallest."""
-    frame = frame.drop_duplicates().sort_values(["unit", "code"])
-    frame = frame[frame.duplicated("unit", keep=False)]
-    return frame.assign(lead=frame.groupby("unit")["code"].transform("first"))
-
-
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance by bit vectors: a column of the matrix is one number, a bit per character of ``a``."""
-    k = 0
-    while k < min(len(a), len(b)) and a[k] == b[k]:
-        k += 1
-    a, b = a[k:], b[k:]
-    k = 0
-    while k < min(len(a), len(b)) and a[-1 - k] == b[-1 - k]:
-        k += 1
-    a, b = (a[:-k], b[:-k]) if k else (a, b)
-    if not a or not b:
-        return len(a) + len(b)
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
-    up, down, distance = full, 0, len(a)
-    for c in b:
-        match = where.get(c, 0)
-        zero = (((match & up) + up) ^ up) | match | down
-        rise, fall = down | full & ~(zero | up), zero & up
-        distance += bool(rise & top) - bool(fall & top)
-        rise, fall = (rise << 1 | 1) & full, fall << 1 & full
-        up, down = fall | full & ~(zero | rise), rise & zero
-    return distance
 
-
-def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
-    longest = max(len(a), len(b))
-    if abs(len(a) - len(b)) > (1 - least) * longest + 1e-9:
-        return False
-    return 1 - edit_distance(a, b) / longest >= least
-
-
-def _sorted(frame: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
-    """The frame in order of unit and code, its units and its codes."""
-    unit, codes = frame["unit"].to_numpy(), frame["code"].to_numpy().view(np.uint64)
-    order = np.lexsort((codes, unit))
-    return frame.iloc[order], unit[order], codes[order]
-
-
-def _near(frame: pd.DataFrame) -> pd.DataFrame:
-    """The codes of a frame that have a neighbour in their unit."""
-    frame, unit, codes = _sorted(frame)
-    hit = np.zeros(len(frame), bool)
-    for a, b in near_pairs(unit, codes):
-        hit[a] = hit[b] = True
-    return pd.DataFrame({"code": np.unique(codes[hit]).view(np.int64)})
-
-
-def _verified(frame: pd.DataFrame) -> pd.DataFrame:
-    """A spanning forest of the frame's verified links. Pairs that are connected already aren't compared."""
-    frame, unit, codes = _sorted(frame)
-    keys, texts = frame["line_id"].tolist(), frame["norm"].tolist()
-    groups = Groups(len(keys))
-    links = []
-    for a, b in near_pairs(unit, codes, most=100_000):
-        label = groups.root()
-        apart = label[a] != label[b]
-        for i, j in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
-            x, y = groups.find(i), groups.find(j)
-            if x != y and similar(texts[i], texts[j]):
-                groups.label[max(x, y)] = min(x, y)
-                links.append((keys[i], keys[j]))
-    return pd.DataFrame(links, columns=["src", "dst"], dtype="int64")
+def alike(a: list[str], b: list[str], least: float = SIMILARITY) -> np.ndarray:
+    """Whether each pair of lines has an edit similarity of ``least`` or more."""
+    longest = np.fromiter((max(len(x), len(y)) for x, y in zip(a, b, strict=True)), np.int64, len(a))
+    return within(a, b, np.floor((1 - least) * longest + 1e-9).astype(np.int64))
 
 
 def row_hash() -> Column:
     """What tells rows apart whose doc_id is null or the same: a hash of the id and the whole text."""
-    return F.xxhash64(F.col("doc_id").cast("long"), "text")
-
-
-def line_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, line_no, line_key, code) of every line that isn't blank, without its text."""
-    ship(docs.sparkSession)
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return F.xxhash64(F.col("doc_id"), "text")
+
+
+def _text_lines(texts: pa.Array) -> Iterator[tuple[list[int], list[int], list[str]]]:
+    """(row, line number, normalised line) of lines that aren't blank, as three lists, in bulks."""
+    rows, numbers, lines, size = [], [], [], 0
+    for row, text in enumerate(texts.to_pylist()):
+        for k, line in enumerate(text.split("\n") if text else ()):
+            if line := normal(line):
+                rows.append(row)
+                numbers.append(k)
+                lines.append(line)
+                size += len(line)
+        if size > 4 * PIECE:
+            yield rows, numbers, lines
+            rows, numbers, lines, size = [], [], [], 0
+    if lines:
+        yield rows, numbers, lines
+
+
+def _in_batches(docs: DataFrame, work: Callable[[pa.RecordBatch, set], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``work`` on batches; it gets a set, for lines that the task has had, which is emptied when it is large."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
         for batch in batches:
-            ids, hashes, numbers, lines, size = [], [], [], [], 0
-            for doc_id, row_hash, text in zip(batch["doc_id"], batch["row_hash"], batch["text"], strict=True):
-                for k, line in enumerate((text or "").split("\n")):
-                    if line := normal(line):
-                        ids.append(doc_id)
-                        hashes.append(row_hash)
-                        numbers.append(k)
-                        lines.append(line)
-                        size += len(line)
-                if size > 4 * PIECE:
-                    yield frame(ids, hashes, numbers, lines)
-                    ids, hashes, numbers, lines, size = [], [], [], [], 0
-            if lines:
-                yield frame(ids, hashes, numbers, lines)
+            yield from work(batch, seen)
+            if len(seen) > 200_000:
+                seen.clear()
             breathe()
 
-    def frame(ids, hashes, numbers, lines) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "doc_id": pd.array([None if x is None or x != x else int(x) for x in ids], dtype="Int64"),
-                "row_hash": np.array(hashes, np.int64),
-                "line_no": np.array(numbers, np.int64),
-                "line_key": line_keys(lines),
-                "code": simhash_lines(lines).view(np.int64),
-            }
-        )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("row_hash"), "text").mapInPandas(
-        rows, "doc_id long, row_hash long, line_no long, line_key binary, code long"
-    )
+    return docs.mapInArrow(run, schema)
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line_key, norm) of the wanted lines, from the document that has each first.
+def line_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_hash, line_no, k1, k2, units) of every line that isn't blank, without its text.
 
-    ``wanted`` has row_hash and line_no. Line numbers meet their documents by a join on row_hash that
-    carries (row_hash, numbers) to the text's side only where there are any: other documents are left
-    out before their texts are shuffled, by a bitmap of the wanted hashes.
+    k1 and k2 name the line. ``units`` are where it meets others; null if the task has given them already.
     """
-    numbers = wanted.groupBy(F.col("row_hash").alias("want_hash")).agg(F.collect_set("line_no").alias("numbers"))
-    rows = docs.select(row_hash().alias("row_hash"), "text")
-    few = rows_that_may_be_in(rows, F.col("row_hash"), numbers, F.col("want_hash"))
-    met = few.join(numbers, F.col("row_hash") == F.col("want_hash"))
-
-    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            lines = []
-            for text, numbers in zip(batch["text"], batch["numbers"], strict=True):
-                split = (text or "").split("\n")
-                lines += [normal(split[k]) for k in numbers if k < len(split)]
-            lines = [line for line in dict.fromkeys(lines) if line]
-            if lines:
-                yield pd.DataFrame({"line_key": line_keys(lines), "norm": lines})
-            breathe()
-
-    return met.select("text", "numbers").mapInPandas(texts, "line_key binary, norm string").dropDuplicates(["line_key"])
-
-
-def _similar_of(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """The pairs (a, b) of line ids whose lines are similar."""
-
-    @F.pandas_udf("boolean")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([similar(a, b) for a, b in zip(x, y, strict=True)], dtype=bool)
-
-    lines = items.select("line_id", "norm", F.length("norm").alias("size"))
-    both = pairs.join(lines.toDF("b", "y", "m"), "b").join(lines.toDF("a", "x", "n"), "a")
-    # Lines whose lengths tell them apart aren't sent to Python; the exact rule is in similar().
-    both = both.filter(F.abs(F.col("n") - F.col("m")) <= (1 - SIMILARITY) * F.greatest("n", "m") + 1e-6)
-    return cut(both.filter(alike("x", "y")).select("a", "b"))
-
+    ship(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "row_hash", "line_no", "k1", "k2", "units"]
+
+    def work(batch: pa.RecordBatch, seen: set) -> Iterator[pa.RecordBatch]:
+        for rows, numbers, lines in _text_lines(batch.column(2)):
+            keys = line_keys(lines)
+            new = []
+            for k, key in enumerate(keys[:, 0].tolist()):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(k)
+            units, counts = _units([lines[k] for k in new])
+            sizes = np.zeros(len(lines), np.int64)
+            sizes[new] = counts
+            missing = np.ones(len(lines), bool)
+            missing[new] = False
+            offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32), mask=np.r_[missing, False])
+            lists = pa.ListArray.from_arrays(offsets, pa.array(units.view(np.int64)))
+            at = pa.array(rows)
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    rows = docs.select("doc_id", row_hash().alias("row_hash"), "text")
+    return _in_batches(rows, work, f"doc_id {kind}, row_hash long, line_no long, k1 long, k2 long, units array<long>")
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """(unit, code, lead) of the units of several lines; the code is a line's k1, and the lead the smallest of the unit."""
+    dealt = rows.filter("units IS NOT NULL").select(F.explode("units").alias("unit"), F.col("k1").alias("code")).repartition("unit")
+    ends = dealt.groupBy("unit").agg(F.min("code").alias("lead"), F.max("code").alias("top")).filter("lead <> top").drop("top")
+    return dealt.join(ends.hint("shuffle_hash"), "unit").groupBy("unit", "code").agg(F.first("lead").alias("lead"))
+
+
+def _items(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(code, k2, norm, sim, bands) of the wanted lines, each once: their text, SimHash and word bands, of 32 bits each.
+
+    ``wanted`` has code. Texts are read again, and only lines that may be wanted leave their task, by a
+    bitmap of codes.
+    """
+    spark = docs.sparkSession
+    words = wanted.select((F.shiftrightunsigned("code", 5).bitwiseAND(F.lit(FILTER_BITS // 32 - 1).cast("long"))).alias("at"), F.expr("shiftleft(1L, cast(code & 31 as int))").alias("bit"))
+    got = words.groupBy("at").agg(F.bit_or("bit").alias("word")).toPandas()
+    bitmap = np.zeros(FILTER_BITS // 32, np.uint32)
+    bitmap[got["at"].to_numpy()] = got["word"].to_numpy()
+    sent = spark.sparkContext.broadcast(bitmap)
+
+    def work(batch: pa.RecordBatch, seen: set) -> Iterator[pa.RecordBatch]:
+        for _, _, lines in _text_lines(batch.column(0)):
+            keys = line_keys(lines)
+            code = keys[:, 0].view(np.uint64)
+            hit = np.flatnonzero(sent.value[(code >> np.uint64(5)) & np.uint64(FILTER_BITS // 32 - 1)] >> (code & np.uint64(31)).astype(np.uint32) & np.uint32(1))
+            new = []
+            for k, key in zip(hit.tolist(), keys[hit, 0].tolist(), strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(k)
+            if new:
+                own = [lines[k] for k in new]
+                bands = np.zeros((len(own), WORD_BANDS), np.uint32)
+                wordy = np.array([len(x) >= WORDY for x in own])
+                if wordy.any():
+                    bands[wordy] = np.concatenate([_word_bands(x) for x in _bulks([x for x in own if len(x) >= WORDY])]).astype(np.uint32)
+                packed = pa.array([x.tobytes() if w else None for x, w in zip(bands, wordy, strict=True)], pa.binary())
+                columns = [pa.array(keys[new, 0]), pa.array(keys[new, 1]), pa.array(own, pa.string()), pa.array(simhash_lines(own).view(np.int64)), packed]
+                yield pa.RecordBatch.from_arrays(columns, ["code", "k2", "norm", "sim", "bands"])
+
+    found = _in_batches(docs.select("text"), work, "code long, k2 long, norm string, sim long, bands binary")
+    return found.join(wanted, "code", "left_semi").dropDuplicates(["code"])
+
+
+def _plausible(size_a: np.ndarray, size_b: np.ndarray, sim_a: np.ndarray, sim_b: np.ndarray) -> np.ndarray:
+    """Pairs that their lengths, and if they are long enough their SimHashes, don't tell apart."""
+    longest = np.maximum(size_a, size_b)
+    near = np.bitwise_count(sim_a ^ sim_b) <= BUDGET
+    return (np.abs(size_a - size_b) <= (1 - SIMILARITY) * longest + 1e-9) & (near | (np.minimum(size_a, size_b) < WORDY))
+
+
+def _linked_leads(met: DataFrame, items: DataFrame) -> DataFrame:
+    """(a, b) of lines that are similar to the lead of a unit."""
+    pairs = met.filter("code <> lead").select(F.col("lead").alias("a"), F.col("code").alias("b")).distinct()
+    own = items.select("code", "norm", "sim")
+    both = pairs.join(own.toDF("b", "y", "t"), "b").join(own.toDF("a", "x", "s"), "a").select("a", "b", "x", "y", "s", "t")
+
+    def work(batch: pa.RecordBatch, _: set) -> Iterator[pa.RecordBatch]:
+        x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        s, t = batch.column(4).to_numpy().view(np.uint64), batch.column(5).to_numpy().view(np.uint64)
+        sizes = [np.fromiter(map(len, v), np.int64, len(v)) for v in (x, y)]
+        some = np.flatnonzero(_plausible(*sizes, s, t))
+        good = some[alike([x[k] for k in some.tolist()], [y[k] for k in some.tolist()])]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good)), batch.column(1).take(pa.array(good))], ["a", "b"])
+
+    return _in_batches(both, work, "a long, b long")
+
+
+def _across(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Links (a, b) between lines of a unit that are in different components; connected ones aren't compared.
+
+    A pair that meets in several units of word bands is compared in that of the first band only.
+    """
+    frame = frame.sort_values(["unit", "component"], kind="stable")
+    unit, part, half = (frame[c].to_numpy() for c in ("unit", "component", "half"))
+    band, code, sim = frame["band"].to_numpy(), frame["code"].to_numpy(), frame["sim"].to_numpy().view(np.uint64)
+    texts = frame["norm"].tolist()
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    signed = np.zeros((len(texts), WORD_BANDS), np.uint32)
+    wordy = np.array([x is not None for x in frame["bands"]], bool)
+    if wordy.any():
+        signed[wordy] = np.frombuffer(b"".join(x for x in frame["bands"] if x is not None), np.uint32).reshape(-1, WORD_BANDS)
+    n = len(texts)
+    ends = np.flatnonzero(np.r_[unit[1:] != unit[:-1], True]) + 1
+    unit_end = np.repeat(ends, np.diff(np.r_[0, ends]))
+    runs = np.flatnonzero(np.r_[(unit[1:] != unit[:-1]) | (part[1:] != part[:-1]), True]) + 1
+    run_end = np.repeat(runs, np.diff(np.r_[0, runs]))
+    groups = Groups(n)
+    # Rows of one component are one from the start, in whatever units they are.
+    order = np.argsort(part, kind="stable")
+    begins = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]])
+    groups.label[order] = np.repeat(order[begins], np.diff(np.r_[begins, n]))
+    at, sums = 0, np.cumsum(unit_end - run_end)
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + PAIRS, side="right")))
+        p = (unit_end - run_end)[at:to]
+        i = np.repeat(np.arange(at, to), p)
+        j = np.repeat(run_end[at:to], p) + np.arange(len(i)) - np.repeat(np.cumsum(p) - p, p)
+        at = to
+        ok = _plausible(size[i], size[j], sim[i], sim[j]) & ((half[i] < 0) | (half[i] != half[j]))
+        i, j = i[ok], j[ok]
+        equal = (signed[i] == signed[j]) & (wordy[i] & wordy[j])[:, None]
+        first = np.where(equal.any(axis=1), equal.argmax(axis=1), -1)
+        here = (first < 0) | (signed[i, np.maximum(first, 0)] == (band[i] & 0xFFFFFFFF).astype(np.uint32))
+        i, j = i[here], j[here]
+        for begin in range(0, len(i), 2000):
+            a, b = i[begin : begin + 2000], j[begin : begin + 2000]
+            label = groups.root()
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            good = alike([texts[k] for k in a.tolist()], [texts[k] for k in b.tolist()])
+            if good.any():
+                groups.union(a[good], b[good])
+                yield pd.DataFrame({"a": code[a[good]], "b": code[b[good]]})
+
+
+def _linked_across(met: DataFrame, items: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b) of similar lines that meet in a unit and aren't connected by ``links``.
+
+    Units of over UNIT_ROWS rows are split into parts, and each two parts meet by themselves.
+    """
+    parts = connected_components(links, "a", "b").withColumnRenamed("node", "code")
+    named = met.join(parts, "code", "left").select("unit", "code", F.coalesce("component", "code").alias("component"))
+    mixed = named.groupBy("unit").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high")
+    rest = named.join(mixed.select("unit", F.ceil(F.col("n") / UNIT_ROWS).cast("int").alias("parts")), "unit")
+    rest = rest.withColumn("part", F.pmod(F.xxhash64("code"), F.col("parts").cast("long")).cast("int"))
+    rest = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    rest = rest.select(
+        F.when(F.col("parts") == 1, F.col("unit")).otherwise(F.xxhash64("unit", low, high)).alias("unit"), F.col("unit").alias("band"),
+        # Within a pair of parts, lines of one part don't meet again.
+        F.when(low == high, -1).otherwise(F.col("part")).alias("half"), "code", "component",
+    )
+    return by_unit(rest.join(items.select("code", "norm", "sim", "bands"), "code"), _across, "a long, b long", rows=FRAME_ROWS)
+
+
+def line_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(code, k2, component) of the lines that are linked to another; ``rows`` as of ``line_rows``.
+
+    Lines link if they meet in a unit, their SimHashes differ in at most BUDGET bits, and their edit
+    similarity is SIMILARITY or more. Equal lines are one line from the start. Lines are compared with
+    their units' leads first; and then with what they aren't connected to by then, so that a group of
+    near copies costs its size and not its square.
+    """
+    met = cut(_met(rows))
+    reclaim(docs.sparkSession)
+    items = cut(_items(docs, met.select("code").distinct()))
+    leads = cut(_linked_leads(met, items))
+    links = leads.unionByName(cut(_linked_across(met, items, leads)))
+    parts = connected_components(links, "a", "b").withColumnRenamed("node", "code")
+    return cut(items.select("code", "k2").join(parts, "code"))
+
+
+def _drops(docs: DataFrame) -> DataFrame:
+    """(drop_id, drop_hash, drop_lines, drop_times): by row, the line numbers that go, and how many rows are the same."""
+    with stored(line_rows(docs)) as rows:
+        linked = line_links(docs, rows)
+        reclaim(docs.sparkSession)
+        again = rows.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").select("k1", "k2")
+        groups = again.withColumn("component", F.lit(None).cast("long")).unionByName(linked.select(F.col("code").alias("k1"), "k2", "component"))
+        groups = groups.groupBy("k1", "k2").agg(F.max("component").alias("component"))
+        # A component's number is a k1; a line that is only repeated is a group by its whole name.
+        own = F.struct(F.coalesce("component", "k1").alias("x"), F.when(F.col("component").isNull(), F.col("k2")).alias("y"))
+        place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash", "line_no")
+        placed = cut(rows.drop("units").join(groups, ["k1", "k2"]).select(own.alias("group"), place.alias("place")))
+    firsts = placed.groupBy("group").agg(F.min("place").alias("first"))
+    out = placed.join(firsts, "group").select("place.doc_id", "place.row_hash", "place.line_no", (F.col("place") == F.col("first")).alias("stays"))
+    # Rows that repeat another's id and text have its places, too.
+    out = out.groupBy("doc_id", "row_hash", "line_no").agg(F.first("stays").alias("stays"), F.count("*").cast("int").alias("times"))
+    return out.groupBy(F.col("doc_id").alias("drop_id"), F.col("row_hash").alias("drop_hash")).agg(
+        F.collect_list(F.when(~F.col("stays"), F.col("line_no"))).alias("drop_lines"), F.max("times").alias("drop_times")
+    )
 
-def line_groups(docs: DataFrame, rows: DataFrame, wide: bool = False) -> DataFrame:
-    """(line_key, keep_doc, keep_hash, keep_line) of lines that occur again or are linked: where their group's first line is.
 
-    Lines link if their SimHashes differ in at most 3 bits and their edit similarity is SIMILARITY or
-    more; equal lines are one line from the start. Codes are dealt to bounded units by pigeonhole
-    blocks; lines whose code several lines have, or has a neighbour, get their texts, are dealt again,
-    and verified. If ``wide``, lines that meet in ``meeting_places`` are verified as well.
-    """
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash", "line_no")
-    lines = rows.groupBy("line_key").agg(F.min(place).alias("first"), F.min("code").alias("code"), F.count("*").alias("times"))
-    lines = cut(lines.withColumn("line_id", F.xxhash64("line_key")))
-    codes = cut(lines.groupBy("code").agg(F.count("*").alias("n")))
-    near = by_unit(hamming_units(codes.select("code")), _near, "code long").unionByName(codes.filter("n > 1").select("code"))
-    found = lines.join(near.distinct(), "code", "left_semi").select("line_id")
-    if wide:
-        met = cut(by_unit(meeting_places(docs), _met, "unit long, code long, lead long"))
-        found = found.unionByName(met.select(F.col("code").alias("line_id")))
-    wanted = cut(lines.join(found.distinct(), "line_id", "left_semi"))
-    texts = _texts_of(docs, wanted.select("first.row_hash", "first.line_no"))
-    items = cut(wanted.select("line_key", "line_id", "code").join(texts, "line_key").select("line_id", "code", "norm"))
-    links = by_unit(hamming_units(items), _verified, "src long, dst long", rows=50_000)
-    if wide:
-        links = links.unionByName(linked_in_units(met, lambda pairs: _similar_of(pairs, items)).toDF("src", "dst"))
-    grouped = wanted.select("line_id", "line_key", "first").join(connected_components(links).withColumnRenamed("node", "line_id"), "line_id")
-    firsts = grouped.groupBy("component").agg(F.min("first").alias("keep"))
-    linked = grouped.join(firsts, "component").select(F.col("line_key").alias("linked_key"), "keep")
-    out = lines.join(linked, lines["line_key"] == linked["linked_key"], "left").filter("times > 1 OR keep IS NOT NULL")
-    keep = F.coalesce("keep", "first")
-    return out.select("line_key", keep["doc_id"].alias("keep_doc"), keep["row_hash"].alias("keep_hash"), keep["line_no"].alias("keep_line"))
-
-
-def dedup_lines(docs: DataFrame, wide: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` whose text lacks repeated lines, with n_lines and n_removed; columns of these names are replaced.
 
     One line of each group stays: the first by doc_id (null last), hash of the row, and line number. Blank
     lines always stay. A null text stays null and has no lines. Rows of one doc_id, or of none, with
-    different texts are different documents; rows that repeat both are one, and lose the same lines. A document all of whose lines go has an empty text. Only line
-    numbers, keys and codes are shuffled before the one join that brings line numbers to texts.
-    ``wide``: edit similarity decides alone, and not only among lines of like SimHashes.
+    different texts are different documents. Of rows that repeat both, one keeps what is said above,
+    and the others lose all lines that aren't blank. A document all of whose lines go has an empty
+    text, or its blank lines. Only line numbers, names and units are shuffled before the one join that
+    brings line numbers to texts, which rows without any bypass.
     """
-    ship(docs.sparkSession)
-    docs = docs.drop("n_lines", "n_removed", "drop_id", "drop_hash", "drop_lines")
-    rows = cut(line_rows(docs))
-    keeps = line_groups(docs, rows, wide)
-    drops = (
-        rows.join(keeps, "line_key")
-        .filter(~(F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col("row_hash") == F.col("keep_hash")) & (F.col("line_no") == F.col("keep_line"))))
-        .groupBy(F.col("doc_id").alias("drop_id"), F.col("row_hash").alias("drop_hash"))
-        .agg(F.array_distinct(F.collect_list("line_no")).alias("drop_lines"))
-    )
-    kept = let(
-        F.split(F.col("text"), "\n"),
-        lambda all_lines: F.transform(
-            F.array_except(F.sequence(F.lit(0).cast("long"), F.size(all_lines).cast("long") - 1), F.col("drop_lines")),
-            lambda k: F.get(all_lines, k.cast("int")),
+    spark = docs.sparkSession
+    ship(spark)
+    docs = docs.drop("n_lines", "n_removed")
+    drops = cut(_drops(docs.select("doc_id", "text")))
+    reclaim(spark)
+    doc_id, text = F.col("line_doc.doc_id"), F.col("line_doc.text")
+    whole = docs.select(F.struct(*docs.columns).alias("line_doc"), row_hash().alias("line_hash"))
+    whole = marked(whole, F.col("line_hash"), drops.filter("drop_times > 1 OR size(drop_lines) > 0"), F.col("drop_hash"), "line_may")
+    met = whole.filter("line_may").join(drops, doc_id.eqNullSafe(F.col("drop_id")) & (F.col("line_hash") == F.col("drop_hash")), "left")
+
+    every = F.split(text, "\n")
+    left = let(
+        every,
+        lambda x: F.transform(
+            F.array_except(F.sequence(F.lit(0).cast("long"), F.size(x).cast("long") - 1), F.col("drop_lines")), lambda k: F.get(x, k.cast("int"))
         ),
     )
-    some = F.col("drop_lines").isNotNull() & F.col("text").isNotNull()
-    own = F.col("doc_id").cast("long").eqNullSafe(F.col("drop_id")) & (row_hash() == F.col("drop_hash"))
-    joined = docs.join(drops, own, "left")
-    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
-    joined = joined.withColumn("n_lines", F.coalesce(breaks + 1, F.lit(0)).cast("long"))
-    joined = joined.withColumn("n_removed", F.when(some, F.size("drop_lines")).otherwise(F.lit(0)).cast("long"))
-    joined = joined.withColumn("text", F.when(some, F.array_join(kept, "\n")).otherwise(F.col("text")))
-    return joined.select(*docs.columns, "n_lines", "n_removed")
+    n_drops = F.coalesce(F.when(F.col("drop_lines").isNull(), 0).otherwise(F.size("drop_lines")), F.lit(0))
+    without = F.when(n_drops > 0, F.array_join(left, "\n")).otherwise(text)
+    parts = [
+        whole.filter(~F.col("line_may")).select("line_doc", F.lit(0).alias("line_drops"), text.alias("line_text")),
+        met.filter("drop_times IS NULL OR drop_times = 1").select("line_doc", n_drops.alias("line_drops"), without.alias("line_text")),
+    ]
+    if not drops.filter("drop_times > 1").isEmpty():
+        blanks = F.filter(every, lambda x: F.length(F.regexp_replace(x, _BLANKS, "")) == 0)
+        nth = met.filter("drop_times > 1").withColumn("line_nth", F.expr("row_number() OVER (PARTITION BY drop_id, drop_hash ORDER BY drop_hash)"))
+        first = F.col("line_nth") == 1
+        parts.append(
+            nth.select(
+                "line_doc",
+                F.when(first, n_drops).otherwise(F.size(every) - F.size(blanks)).alias("line_drops"),
+                F.when(first, without).otherwise(F.array_join(blanks, "\n")).alias("line_text"),
+            )
+        )
+    joined = reduce(DataFrame.unionByName, parts)
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    return joined.select(
+        *[F.col("line_text").alias(c) if c == "text" else F.col("line_doc").getField(c).alias(c) for c in docs.columns],
+        F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"),
+        F.col("line_drops").cast("long").alias("n_removed"),
+    )
