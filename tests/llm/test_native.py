@@ -65,9 +65,9 @@ def test_taken_words_come_near_targets(spark):
 
 
 def test_mix_emits_copies_and_keeps_columns(spark):
-    d = docs(spark, some_docs()).withColumn("size", F.lit("mine"))
+    d = docs(spark, some_docs()).select("*", *[F.lit("mine").alias(c) for c in ("size", "target", "rate", "copies", "source_size", "mix_key", "mix_copy", "mix_doc")])
     mixed = mixing.mix_sources(d)
-    assert mixed.columns == d.columns
+    assert mixed.columns == d.columns and {tuple(r)[3:] for r in mixed.collect()} == {("mine",) * 8}
     assert mixed.count() == mixing.plan_mix(d).agg(F.sum("copies")).first()[0]
     assert mixing.mix_sources(docs(spark, [])).count() == 0
     assert mixing.plan_mix(docs(spark, [(1, None, None)])).first()["target"] == 0.0
@@ -102,6 +102,26 @@ def test_shards_are_even_and_gapless(spark, n):
     assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, got), key=repr)
 
 
+def test_one_row_repeated_and_large_texts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "REPEATS", 1000)
+    hot = spark.range(200_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    d = hot.unionByName(spark.createDataFrame([(1, "é" * 5_000_000), (2, None)], "doc_id long, text string"))
+    got = sharding.shard_records(d, ["doc_id", "text"]).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("m"), F.countDistinct("slot").alias("k")).collect()
+    assert len(got) == 40 and {r["n"] for r in got} <= {5000, 5001} and all(r["m"] + 1 == r["n"] == r["k"] for r in got)
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 1 << 20)
+    few = sharding.shuffle_records(d.filter("doc_id < 3"), ["doc_id", "text"])
+    assert sorted(r["place"] for r in few.select("place").collect()) == [0, 1]
+
+
+def test_shards_of_columns_of_any_name(spark):
+    names = ["key", "bucket", "nth", "same", "n", "at", "cards", "deck", "pos", "card", "record", "block", "part"]
+    d = docs(spark, some_docs(50)).select("*", *[F.lit(3).alias(c) for c in names])
+    out = sharding.shard_records(d, d.columns, bucket_rows=8)
+    assert out.columns == [*d.columns, "law", "shard", "slot"]
+    plain = lambda x: sorted((str(r["doc_id"]), str(r["text"]), r["deck"]) for r in x.collect())
+    assert plain(out) == plain(d)
+
+
 def test_shards_are_written_in_order(spark, tmp_path):
     d = docs(spark, [(k, f"t{k}", "s") for k in range(90)])
     sharding.write_shards(d, str(tmp_path / "s"), 4, 16)
@@ -137,6 +157,67 @@ def test_verdicts_spread_over_aliases(spark):
     assert urls.judge_urls(d.limit(0)).count() == 0
 
 
+#: Of RFC 3986, section 5.4, with the base http://a/b/c/d;p?q.
+RESOLVED = {
+    "g:h": "g:h", "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y",
+    "g?y": "http://a/b/c/g?y", "#s": "http://a/b/c/d;p?q#s", "g#s": "http://a/b/c/g#s", ";x": "http://a/b/c/;x", ".": "http://a/b/c/", "./": "http://a/b/c/",
+    "..": "http://a/b/", "../": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../g": "http://a/g", "../../../g": "http://a/g", "/./g": "http://a/g",
+    "/../g": "http://a/g", "g.": "http://a/b/c/g.", "..g": "http://a/b/c/..g", "./../g": "http://a/b/g", "./g/.": "http://a/b/c/g/", "g/../h": "http://a/b/c/h", "g?y/../x": "http://a/b/c/g?y/../x",
+}
+
+
+def test_links_resolve_as_the_standard_says(spark):
+    df = spark.createDataFrame(list(RESOLVED.items()), "link string, want string")
+    got = df.withColumn("got", urls._absolute(F.col("link"), F.lit("http://a/b/c/d;p?q"))).collect()
+    assert [(r["link"], r["got"]) for r in got] == [(r["link"], r["want"]) for r in got]
+
+
+@pytest.mark.parametrize(("html", "link"), [
+    ('<link rel="canonical" href="http://b.com/en/?a=1&amp;b=2">', "http://b.com/en/?a=1&b=2"), ("<link rel=canonical href=/x&#47;y&#x2F;z>", "http://p.q/x/y/z"),
+    ('<link data-href="/no" href=\'/yes"\' rel="alternate canonical">', 'http://p.q/yes"'), ('<link href="/no" rel="canonicals">', None), ('<link data-rel="canonical" href="/no">', None),
+    ('<meta content="5; URL=\'../up\'" http-equiv=Refresh>', "http://p.q/up"), ('<meta http-equiv="refresh" content="5">', None), ('<link rel="canonical" href="/&#xD800;&#0;&#;&copy;">', "http://p.q/&"), ("<link rel=canonical href=''>", None),
+])
+def test_links_of_pages(spark, html, link):
+    page = spark.createDataFrame([("http://p.q/a/b?c", html)], "url string, html string")
+    assert [r["dst"] for r in urls.alias_edges(page).collect()] == ([link] if link else [])
+
+
+def test_verdicts_of_chains_match_brute_force(spark):
+    """Pages with canonical links and refreshes in chains and rings, and columns of clashing names; by search over the graph."""
+    import random
+
+    r = random.Random(4)
+    url = lambda k: f"http://{('a.site', 'b.com', 'example.com', 'c.net', 'd.org')[k % 5]}/{('x', 'en', 'de', 'es')[k % 4]}/{k}"
+    edges, rows = collections.defaultdict(set), []
+    for k in range(150):
+        html, to = "", r.choice([None, None, k - 1, r.randrange(220)])
+        if to is not None and to >= 0:
+            html = r.choice(['<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">']).format(url(to))
+            edges[url(k)].add(url(to))
+            edges[url(to)].add(url(k))
+        rows.append((k, url(k), html))
+
+    def verdict(u):
+        host, path = re.match(r"http://([^/]*)(.*)", u).groups()
+        fit = [x for x in urls.RULES if (host == x[1] or host.endswith("." + x[1])) and path.startswith(x[2])]
+        return max(fit, key=lambda x: len(x[1] + x[2]))[0] if fit else None
+
+    def judged(u):
+        seen, todo = {u}, [u]
+        while todo:
+            for v in edges[todo.pop()] - seen:
+                seen.add(v)
+                todo.append(v)
+        votes = {verdict(v) for v in seen}
+        return verdict(u) or ("allow" if "allow" in votes else "block" if "block" in votes else "allow")
+
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", *[F.lit(1).alias(c) for c in ("own_key", "own_match", "url_node", "url_page", "spread_verdict", "verdict")])
+    got = urls.judge_urls(df)
+    assert got.columns == [*df.columns[:-1], "host", "path", "rule", "verdict"]
+    assert {x["page_id"]: x["verdict"] for x in got.collect()} == {k: judged(u) for k, u, _ in rows}
+    assert sum(judged(u) == "block" and verdict(u) is None for _, u, _ in rows) > 3
+
+
 def brute_quality(text):
     words = WORD.findall(text or "")
     seen = collections.Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))

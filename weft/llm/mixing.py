@@ -18,7 +18,7 @@ def source_targets(
 
     Sources in order of code points, null last, weigh ``weights`` in turn and share ``epochs`` times
     all sizes. A target stops at ``ceiling`` times its source's size; what is above goes to the others
-    by weight until none is above. That is water-filling: with the sources in order of ceiling over
+    by weight until none is above; a source without words has target and rate 0. That is water-filling: with the sources in order of ceiling over
     weight, the level is the remaining budget over the remaining weight at the first source that
     stays below its ceiling. The windows run over one row a source, not over documents.
     """
@@ -51,7 +51,7 @@ def _copies(rate: Column, doc_id: Column, seed: int) -> Column:
 
 
 def plan_mix(docs: DataFrame, seed: int = 7, **shares) -> DataFrame:
-    """``docs`` with size, source_size, target, rate and copies; columns of these names are replaced.
+    """``docs`` with size, source_size, target, rate and copies; columns of these names are replaced, and one named mix_key goes.
 
     A document's copies are floor(rate) of its source plus one with the probability of the fraction,
     drawn from a hash of seed and doc_id: reruns and any partitioning agree, repeated rows are drawn
@@ -72,7 +72,7 @@ def plan_mix(docs: DataFrame, seed: int = 7, **shares) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, seed: int = 7, **shares) -> DataFrame:
-    """The mix itself: every document once per copy, with the columns of ``docs``, see ``plan_mix``."""
-    planned = plan_mix(docs, seed, **shares).filter("copies > 0")
-    names = [c for c in docs.columns]
-    return planned.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
+    """The mix itself: every document once per copy, with the columns of ``docs``, whatever their names; see ``plan_mix``."""
+    whole = docs.select(F.struct(*docs.columns).alias("mix_doc"), "doc_id", "source", "text")
+    planned = plan_mix(whole, seed, **shares).filter("copies > 0")
+    return planned.select("mix_doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("mix_copy")).select("mix_doc.*")

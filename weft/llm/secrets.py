@@ -8,7 +8,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from weft.llm.common import frame_udf
 from weft.plans.runtime import ship
@@ -167,26 +167,43 @@ class Formats:
 
 
 def all_spans(text: str, formats: Formats | None) -> tuple[list, list]:
-    """Base spans, and those that the formats add: candidates that no base span touches."""
+    """Base spans, and those that the formats add, of the candidates that aren't inside a base span."""
     tokens = [m.span() for m in CANDIDATE.finditer(text)]
     base = base_spans(text, tokens)
     added = []
     if formats is not None and formats.kinds:
         at = furthest = 0
         for s, e in tokens:
-            while at < len(base) and base[at][0] < e:
+            while at < len(base) and base[at][0] <= s:
                 furthest = max(furthest, base[at][2])
                 at += 1
-            if furthest <= s and formats.is_secret(text[s:e]):
+            if furthest < e and formats.is_secret(text[s:e]):
                 added.append((s, 3, e, text[s:e]))
     return base, added
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, other_sample: int = OTHER_SAMPLE, margin: float = MARGIN) -> Formats:
+def untouched(text: str) -> tuple[list, list[str]]:
+    """Base spans, and the candidates that none of them touches."""
+    tokens = [m.span() for m in CANDIDATE.finditer(text)]
+    base = base_spans(text, tokens)
+    others, at, furthest = [], 0, 0
+    for s, e in tokens:
+        while at < len(base) and base[at][0] < e:
+            furthest = max(furthest, base[at][2])
+            at += 1
+        if furthest <= s:
+            others.append(text[s:e])
+    return base, others
+
+
+def fit(
+    docs: DataFrame, sample: int = SAMPLE, other_sample: int = OTHER_SAMPLE, margin: float = MARGIN, sample_chars: int = SAMPLE_CHARS
+) -> Formats:
     """Formats from the base patterns' finds, as labelled credentials, and from candidates they don't touch.
 
-    All texts are searched; automata are inferred from ``sample`` different values of each kind, and
-    from ``other_sample`` of no kind.
+    All texts are searched, once; automata are inferred from ``sample`` different values of each kind, and
+    from ``other_sample`` of no kind, of the smallest hashes and of at most ``sample_chars`` characters,
+    which bounds a prefix tree. What is scored later may be longer. Without finds there are no formats.
     """
     ship(docs.sparkSession)
 
@@ -194,34 +211,25 @@ def fit(docs: DataFrame, sample: int = SAMPLE, other_sample: int = OTHER_SAMPLE,
         for batch in batches:
             rows = set()
             for text in batch["text"]:
-                base, others = all_spans(text or "", _EVERYTHING)
-                rows |= {(KINDS[k], v) for _, k, _, v in base if len(v) <= SAMPLE_CHARS}
-                rows |= {("other", v) for _, _, _, v in others if len(v) <= SAMPLE_CHARS}
+                base, others = untouched(text or "")
+                rows |= {(KINDS[k], v) for _, k, _, v in base if len(v) <= sample_chars}
+                rows |= {("other", v) for v in others if len(v) <= sample_chars}
             yield pd.DataFrame(sorted(rows), columns=["kind", "value"])
 
     found = docs.select("text").mapInPandas(finds, "kind string, value string")
-    # Pre-aggregated, and then a bounded number of each kind: a window over hashes alone.
-    values = found.groupBy("kind", "value").agg(F.count("*").alias("n")).withColumn("pick", F.xxhash64("value"))
-    kinds = {}
-    picked = None
-    for kind in ("assign", "access", "hex", "other"):
-        few = values.filter(F.col("kind") == kind).orderBy("pick", "value").limit(other_sample if kind == "other" else sample).select("kind", "value")
-        picked = few if picked is None else picked.unionByName(few)
-    for row in picked.collect():
+    # Pre-aggregated; and then a bounded number of each kind leaves a task.
+    values = found.groupBy("kind", "value").agg(F.count("*").alias("n"))
+    first = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
+    most = F.when(F.col("kind") == "other", other_sample).otherwise(sample)
+    picked = values.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= max(sample, other_sample)).filter(F.col("nth") <= most)
+    kinds: dict[str, list[str]] = {}
+    for row in picked.select("kind", "value").collect():
         kinds.setdefault(row["kind"], []).append(row["value"])
-    automata = {k: infer(v) for k, v in kinds.items()}
+    automata = {k: infer(v) for k, v in sorted(kinds.items())}
     other = automata.pop("other", None)
     return Formats(automata, other, margin)
 
 
-class _Everything(Formats):
-    def is_secret(self, value: str) -> bool:
-        return True
-
-
-_EVERYTHING = _Everything({"any": None}, None)
-
-
 COLUMNS = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
 
 

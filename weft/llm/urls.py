@@ -55,17 +55,59 @@ def url_key(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(scheme, F.lit("://"), url_host(url), url_path(url), query)).otherwise(plain)
 
 
+def _unescaped(text: Column) -> Column:
+    """``text`` with its character references read: numbers, and the five names that attributes need."""
+    parts = F.split(text, "&#")
+    number = r"^(?:[xX]([0-9A-Fa-f]{1,6})|([0-9]{1,7}));?"
+
+    def read(part: Column) -> Column:
+        as_hex, decimal = F.regexp_extract(part, number, 1), F.regexp_extract(part, number, 2)
+        code = F.when(as_hex != "", as_hex).when(decimal != "", F.conv(decimal, 10, 16))
+        known = code.isNotNull() & (F.conv(code, 16, 10).cast("long").between(1, 0x10FFFF)) & ~F.conv(code, 16, 10).cast("long").between(0xD800, 0xDFFF)
+        return F.when(known, F.concat(F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"), F.regexp_replace(part, number, ""))).otherwise(
+            F.concat(F.lit("&#"), part)
+        )
+
+    out = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), read), ""))
+    for name, char in (("quot", '"'), ("apos", "'"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    return out
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, in quotes or without; empty if it has none."""
+    pattern = rf"""(?is)(?<=[\s"'/]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.trim(_unescaped(F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with "/" less its "." and ".." segments; one of these at the end leaves a "/"."""
+    parts = F.slice(F.split(path, "/"), 2, F.size(F.split(path, "/")))
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(
+        parts, none,
+        lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))),
+    )
+    last = F.element_at(parts, -1)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+
+
 def _absolute(link: Column, base: Column) -> Column:
-    """``link`` as an absolute URL; relative links are resolved against the page's own URL."""
+    """``link`` as an absolute URL, resolved against the page's own by the rules of RFC 3986, section 5.2."""
     scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
     origin = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)", 1)
-    folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
+    own_path, own_query = url_path(base), F.regexp_extract(base, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)
+    folder = F.regexp_extract(own_path, r"(?s)^(.*/)", 1)
+    folder = F.when(folder == "", "/").otherwise(folder)
+    path = F.regexp_extract(link, r"(?s)^([^?#]*)", 1)
+    rest = F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
     return (
-        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(origin, link))
-        .otherwise(F.concat(folder, link))
+        .when(link.startswith("/"), F.concat(origin, _without_dots(path), rest))
+        .when(link.startswith("?"), F.concat(origin, own_path, link))
+        .when(link.startswith("#"), F.concat(origin, own_path, own_query, link))
+        .otherwise(F.concat(origin, _without_dots(F.concat(folder, path)), rest))
     )
 
 
@@ -75,16 +117,16 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     canonical = F.transform(
         F.filter(
             F.regexp_extract_all(html, F.lit(r"(?i)(<link\b[^>]*>)"), F.lit(1)),
-            lambda t: t.rlike(r"""(?i)\brel\s*=\s*["']?[^"'>]*\bcanonical\b"""),
+            lambda t: F.lower(_attribute(t, "rel")).rlike(r"(^|\s)canonical(\s|$)"),
         ),
-        lambda t: F.regexp_extract(t, r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1),
+        lambda t: _attribute(t, "href"),
     )
     refresh = F.transform(
         F.filter(
             F.regexp_extract_all(html, F.lit(r"(?i)(<meta\b[^>]*>)"), F.lit(1)),
-            lambda t: t.rlike(r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b"""),
+            lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh",
         ),
-        lambda t: F.regexp_extract(t, r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1),
+        lambda t: F.regexp_extract(_attribute(t, "content"), r"""(?is)^[^;,]*[;,]\s*url\s*=\s*["']?([^"'\s>]+)""", 1),
     )
     linked = pages.filter(url.isNotNull()).select(url.alias("url"), F.explode(F.concat(canonical, refresh)).alias("link"))
     linked = linked.filter(F.col("link") != "")
@@ -117,11 +159,10 @@ def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None
         F.col("node").alias("url_node"),
         F.when(F.col("allows") == 1, "allow").when(F.col("blocks") == 1, "block").alias("spread_verdict"),
     )
-    judged = pages.withColumn("host", url_host(url)).withColumn("path", url_path(url))
-    judged = judged.withColumn("own_match", match_rule(F.col("host"), F.col("path"), rules)).withColumn("own_key", url_key(url))
-    return (
-        judged.join(spread, judged["own_key"] == spread["url_node"], "left")
-        .withColumn("rule", F.col("own_match.rule"))
-        .withColumn("verdict", F.coalesce(F.col("own_match.verdict"), F.col("spread_verdict"), F.lit(default)))
-        .drop("own_match", "own_key", "url_node", "spread_verdict")
-    )
+    judged = pages.select(F.struct(*pages.columns).alias("url_page"), url_host(url).alias("host"), url_path(url).alias("path"), url_key(url).alias("own_key"))
+    judged = judged.withColumn("own_match", match_rule(F.col("host"), F.col("path"), rules))
+    return judged.join(spread, judged["own_key"] == spread["url_node"], "left").select(
+        *[F.col("url_page").getField(c).alias(c) for c in pages.columns], "host", "path",
+        F.col("own_match.rule").alias("rule"),
+        F.coalesce(F.col("own_match.verdict"), F.col("spread_verdict"), F.lit(default)).alias("verdict"),
+    )
