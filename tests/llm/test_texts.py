@@ -502,6 +502,7 @@ def test_edit_distances_in_step():
         a = "".join(r.choice("abcd ") for _ in range(size))
         pairs.append((a, copy(a, r.randrange(size // 2 + 3))))
         pairs.append((a, "".join(r.choice("abcd ") for _ in range(r.randrange(size + 9)))))
+    pairs += [(x := "".join(r.choice("abcd ") for _ in range(r.randrange(300, 320))), copy(x, r.randrange(90))) for _ in range(100)]
     a, b = map(list, zip(*pairs))
     real = np.array([edits.edit_distance(x, y) for x, y in pairs])
     assert all(edits.at_most(x, y, 10**9) >= d for x, y, d in zip(a, b, real))

@@ -7,11 +7,13 @@ from bisect import bisect_left
 import numpy as np
 
 #: Characters of a pattern up to which pairs are taken in step; longer ones by themselves, with one long number.
-IN_STEP = 1024
+IN_STEP = 4096
 #: Bytes of a batch's table of matches, pairs of a batch, and columns after which pairs that are decided leave it.
 TABLE_BYTES, BATCH, COLUMNS = 16_000_000, 2048, 64
 #: Characters from which on a pair is first tried word by word, and words that are skipped at most to go on.
 WORDY, RESUME = 400, 8
+#: Pairs of a batch below which a step costs more than the pairs by themselves.
+FEW = 32
 _ONE = np.uint64(1)
 
 
@@ -77,10 +79,12 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _in_step(a: list[str], b: list[str], limits: np.ndarray) -> np.ndarray:
-    """Whether each pair is within its limit; every ``a`` has a character and IN_STEP at most.
+    """Whether each pair is within its limit; every ``a`` has a character, is no longer than its ``b``, and has IN_STEP at most.
 
     Rows of a column are cut into words of 64 bits. Word w is one column behind word w - 1, so that what
-    that one carried over is known, and all words of all pairs take a step at once.
+    that one carried over is known, and all words of all pairs take a step at once. Only words near the
+    diagonal do: a way through others has more edits than the limit. What lies beyond them is taken for
+    rising by one from cell to cell, which is never too small.
     """
     (x, m), (y, n) = _codes(a), _codes(b)
     size = int(max(x.max(), y.max())) + 1
@@ -88,56 +92,77 @@ def _in_step(a: list[str], b: list[str], limits: np.ndarray) -> np.ndarray:
     used[x] = 1
     number = np.cumsum(used) * used  # 0 for what no pattern has
     kinds, words, pairs = int(used.sum()) + 1, int(-(-m.max() // 64)), len(a)
-    table = np.zeros((pairs, kinds, words), np.uint64)
+    table = np.zeros((pairs, words, kinds), np.uint64)
     row, at = np.repeat(np.arange(pairs), m), np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
-    np.add.at(table, (row, number[x], at >> 6), _ONE << (at & 63).astype(np.uint64))
-    text = np.zeros((pairs, int(n.max()) + 2 * words), np.int64)
+    np.add.at(table.reshape(-1), (row * words + (at >> 6)) * kinds + number[x], _ONE << (at & 63).astype(np.uint64))
+    flat_table, spread = table.reshape(-1), (np.arange(pairs)[:, None] * words + np.arange(words)[None, :]) * kinds
+    text = np.zeros((pairs, int(n.max()) + 2 * words), np.int32)
     text[np.repeat(np.arange(pairs), n), words + np.arange(len(y)) - np.repeat(np.cumsum(n) - n, n)] = number[y]
     last, bit = (m - 1) >> 6, ((m - 1) & 63).astype(np.uint64)
     up, down = np.full((pairs, words), ~np.uint64(0)), np.zeros((pairs, words), np.uint64)
-    rises, falls = np.zeros((pairs, words), np.uint64), np.zeros((pairs, words), np.uint64)
-    score, good = m.copy(), np.zeros(pairs, bool)
-    own, lines, word = np.arange(pairs), np.arange(pairs)[:, None], np.arange(words)[None, :]
-    top = np.uint64(63)
+    rises, falls = np.ones((pairs, words + 1), np.uint64), np.zeros((pairs, words + 1), np.uint64)
+    score, good, own = m.copy(), np.zeros(pairs, bool), np.arange(pairs)
+    # Distances at the end of the lowest word that has begun, now and a step ago.
+    edge = earlier = np.full(pairs, 64)
+    top, widest, begun = np.uint64(63), int(limits.max()), 1
     for step in range(int((n + last).max())):
-        match = table[lines, text[:, step + 1 : step + words + 1][:, ::-1], word]
-        # The first row of the matrix rises in each column; the other words get what the word above had a step ago.
-        plus = np.concatenate([np.ones((len(own), 1), np.uint64), rises[:, :-1]], axis=1)
-        minus = np.concatenate([np.zeros((len(own), 1), np.uint64), falls[:, :-1]], axis=1)
-        both = match | down
-        match = match | minus
-        zero = (((match & up) + up) ^ up) | match
-        rise, fall = down | ~(zero | up), up & zero
-        flat = np.arange(len(own))
+        # Word w is at column step - w, and its rows are 64 w to 64 w + 63.
+        low = max(0, -(-(step - widest - 63) // 65))
+        high = min(words, (step + widest) // 65 + 1, step + 1)
+        if low >= words:
+            break
+        w = slice(low, high)
+        match = flat_table[spread[:, w] + text[:, words + step - high + 1 : words + step - low + 1][:, ::-1]]
+        # What the word above carried a step ago; the row above the first word rises in each column.
+        plus, minus = rises[:, w], falls[:, w]
+        if low:
+            plus, minus = plus.copy(), minus.copy()
+            plus[:, 0], minus[:, 0] = 1, 0
+        own_up, own_down = up[:, w], down[:, w]
+        both = match | own_down
+        match |= minus
+        zero = match & own_up
+        zero += own_up
+        zero ^= own_up
+        zero |= match
+        rise, fall = own_down | ~(zero | own_up), own_up & zero
+        if high > begun:  # a word begins, from where the word above was a step before its last
+            begun = high
+            new = last == high - 1
+            score[new] = earlier[new] + m[new] - 64 * (high - 1)
+            edge = earlier + 64
+        earlier = edge
+        edge = edge + (rise[:, -1] >> top).astype(np.int64) - (fall[:, -1] >> top).astype(np.int64)
         column = step - last
-        counts = (column >= 0) & (column < n)
-        score += counts * (((rise[flat, last] >> bit) & _ONE).astype(np.int64) - ((fall[flat, last] >> bit) & _ONE).astype(np.int64))
+        counts = (column >= 0) & (column < n) & (last >= low) & (last < high)
+        if counts.any():
+            c = np.flatnonzero(counts)
+            k = last[c] - low
+            score[c] += ((rise[c, k] >> bit[c]) & _ONE).astype(np.int64) - ((fall[c, k] >> bit[c]) & _ONE).astype(np.int64)
         new_rises, new_falls = rise >> top, fall >> top
-        rise, fall = rise << _ONE | plus, fall << _ONE | minus
-        new_up, new_down = fall | ~(both | rise), rise & both
-        if step < words:  # a word whose first column is still to come stays as it is
-            begun = word <= step
-            up, down = np.where(begun, new_up, up), np.where(begun, new_down, down)
-            rises, falls = np.where(begun, new_rises, rises), np.where(begun, new_falls, falls)
-        else:
-            up, down, rises, falls = new_up, new_down, new_rises, new_falls
+        rise <<= _ONE
+        rise |= plus
+        fall <<= _ONE
+        fall |= minus
+        up[:, w] = fall | ~(both | rise)
+        down[:, w] = rise & both
+        rises[:, low + 1 : high + 1], falls[:, low + 1 : high + 1] = new_rises, new_falls
         if step % COLUMNS == COLUMNS - 1:
             left = n - 1 - column
-            done = (left <= 0) | (score - left > limits)
+            done = (left <= 0) | (score - left > limits) & (last < begun)
             if 4 * np.count_nonzero(done) >= len(own):
                 good[own[done & (left <= 0) & (score <= limits)]] = True
-                go = ~done
-                if not go.any():
+                go = np.flatnonzero(~done)
+                if not len(go):
                     return good
-                own, m, n, last, bit, score, limits = (v[go] for v in (own, m, n, last, bit, score, limits))
-                table, text, up, down, rises, falls = (v[go] for v in (table, text, up, down, rises, falls))
-                lines = np.arange(len(own))[:, None]
+                own, m, n, last, bit, score, limits, edge, earlier = (v[go] for v in (own, m, n, last, bit, score, limits, edge, earlier))
+                spread, text, up, down, rises, falls = (v[go] for v in (spread, text, up, down, rises, falls))
     good[own[score <= limits]] = True
     return good
 
 
-def within(a: list[str], b: list[str], limits: np.ndarray) -> np.ndarray:
-    """Whether the edit distance of each pair is at most its limit."""
+def within(a: list[str], b: list[str], limits: np.ndarray, likely: bool = True) -> np.ndarray:
+    """Whether the edit distance of each pair is at most its limit. Pairs that likely are tried word by word first."""
     out = np.zeros(len(a), bool)
     left: list[tuple[int, int, str, str]] = []
     for k, (x, y, limit) in enumerate(zip(a, b, limits.tolist(), strict=True)):
@@ -146,7 +171,7 @@ def within(a: list[str], b: list[str], limits: np.ndarray) -> np.ndarray:
         x, y = trimmed(x, y)
         if len(x) > len(y):
             x, y = y, x
-        if len(y) <= limit or len(x) >= WORDY and at_most(x, y, limit) <= limit:
+        if len(y) <= limit or likely and len(x) >= WORDY and at_most(x, y, limit) <= limit:
             out[k] = True
         elif len(x) > IN_STEP:
             out[k] = edit_distance(x, y, limit) <= limit
@@ -166,6 +191,10 @@ def within(a: list[str], b: list[str], limits: np.ndarray) -> np.ndarray:
             to = at + (to - at) // 2
         some = left[at:to]
         own = np.array([k for _, k, _, _ in some])
+        if len(some) < FEW:
+            out[own] = [edit_distance(x, y, int(limits[k])) <= limits[k] for _, k, x, y in some]
+            at = to
+            continue
         out[own] = _in_step([x for _, _, x, _ in some], [y for _, _, _, y in some], limits[own])
         at = to
     return out

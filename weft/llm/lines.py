@@ -25,8 +25,10 @@ from weft.plans.runtime import cut, reclaim, ship, stored
 
 #: Least edit similarity of linked lines: 1 - distance / length of the longer, in characters.
 SIMILARITY = 0.8
-#: SimHash bits in which linked lines of WORDY characters or more may differ: 99.9 % of similar pairs do.
-BUDGET = 22
+#: SimHash bits in which linked lines of WORDY characters or more may differ: 99.8 % of similar pairs do.
+BUDGET = 20
+#: Share of their different words that such lines must have in common; similar ones have 0.7 or more as a rule.
+SHARED = 0.5
 #: Characters up to which lines meet by what is left of them without up to two characters: all similar ones do.
 SHORT = 14
 #: Lines of fewer characters meet by runs of five characters, lines of WORDY or more by pairs of words. Similar
@@ -41,8 +43,8 @@ _PLUS = _RANDOM.integers(0, 1 << 32, MINIMA * LETTER_BANDS, np.uint32)
 PIECE = 1 << 19
 #: Rows of a unit above which it is split into pairs of parts of so many rows.
 UNIT_ROWS = 256
-#: Lines of a frame in which units are compared, and pairs that are compared at once.
-FRAME_ROWS, PAIRS = 4000, 200_000
+#: Lines of a frame in which units are compared, pairs of them that are looked at, and that are compared, at once.
+FRAME_ROWS, PAIRS, COMPARED = 16_000, 1_000_000, 8192
 #: What str.split() takes for space.
 _BLANKS = r"[\t\n\x0B\f\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 #: Bits of the filter that finds wanted lines again: it only saves work, and its words reach the driver.
@@ -169,10 +171,10 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return bool(alike([a], [b], least)[0])
 
 
-def alike(a: list[str], b: list[str], least: float = SIMILARITY) -> np.ndarray:
+def alike(a: list[str], b: list[str], least: float = SIMILARITY, likely: bool = True) -> np.ndarray:
     """Whether each pair of lines has an edit similarity of ``least`` or more."""
     longest = np.fromiter((max(len(x), len(y)) for x, y in zip(a, b, strict=True)), np.int64, len(a))
-    return within(a, b, np.floor((1 - least) * longest + 1e-9).astype(np.int64))
+    return within(a, b, np.floor((1 - least) * longest + 1e-9).astype(np.int64), likely)
 
 
 def row_hash() -> Column:
@@ -180,12 +182,23 @@ def row_hash() -> Column:
     return F.xxhash64(F.col("doc_id"), "text")
 
 
+#: What str.split() takes for space, but for a single space and the line break.
+_OTHER_SPACES = "\t\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def normal_lines(text: str) -> list[str]:
+    """``normal`` of each line of a text; at once where no line has other than single spaces between words."""
+    if any(c in text for c in _OTHER_SPACES) or any(x in text for x in ("  ", " \n", "\n ")) or text[:1] == " " or text[-1:] == " ":
+        return [normal(line) for line in text.split("\n")]
+    return text.lower().split("\n")
+
+
 def _text_lines(texts: pa.Array) -> Iterator[tuple[list[int], list[int], list[str]]]:
     """(row, line number, normalised line) of lines that aren't blank, as three lists, in bulks."""
     rows, numbers, lines, size = [], [], [], 0
     for row, text in enumerate(texts.to_pylist()):
-        for k, line in enumerate(text.split("\n") if text else ()):
-            if line := normal(line):
+        for k, line in enumerate(normal_lines(text) if text else ()):
+            if line:
                 rows.append(row)
                 numbers.append(k)
                 lines.append(line)
@@ -294,6 +307,35 @@ def _plausible(size_a: np.ndarray, size_b: np.ndarray, sim_a: np.ndarray, sim_b:
     return (np.abs(size_a - size_b) <= (1 - SIMILARITY) * longest + 1e-9) & (near | (np.minimum(size_a, size_b) < WORDY))
 
 
+def _share_words(texts: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pairs of lines of which one is short, or that have SHARED of the different words of either in common."""
+    out = np.fromiter((len(x) < WORDY for x in texts), bool, len(texts))
+    out = out[a] | out[b]
+    ask = np.flatnonzero(~out)
+    mark = np.zeros(len(texts), bool)
+    mark[a[ask]] = mark[b[ask]] = True
+    used = np.flatnonzero(mark)
+    words = [np.zeros(0, np.uint64)] * len(texts)
+    at = 0
+    for some in _bulks([texts[k] for k in used.tolist()]):
+        hashes, counts = _word_hashes(some)
+        for part in np.split(hashes, np.cumsum(counts)[:-1]):
+            part = np.sort(part)
+            words[used[at]] = part[np.r_[True, part[1:] != part[:-1]]]
+            at += 1
+    for begin in range(0, len(ask), 4096):
+        own = ask[begin : begin + 4096]
+        left, right = [words[k] for k in a[own].tolist()], [words[k] for k in b[own].tolist()]
+        n, m = (np.fromiter(map(len, x), np.int64, len(own)) for x in (left, right))
+        pair = np.concatenate([np.repeat(np.arange(len(own)), n), np.repeat(np.arange(len(own)), m)])
+        every = np.concatenate(left + right)
+        order = np.lexsort((every, pair))
+        pair, every = pair[order], every[order]
+        same = pair[1:][(pair[1:] == pair[:-1]) & (every[1:] == every[:-1])]
+        out[own] = np.bincount(same, minlength=len(own)) >= SHARED * np.maximum(n, m)
+    return out
+
+
 def _linked_leads(met: DataFrame, items: DataFrame) -> DataFrame:
     """(a, b) of lines that are similar to the lead of a unit."""
     pairs = met.filter("code <> lead").select(F.col("lead").alias("a"), F.col("code").alias("b")).distinct()
@@ -305,6 +347,7 @@ def _linked_leads(met: DataFrame, items: DataFrame) -> DataFrame:
         s, t = batch.column(4).to_numpy().view(np.uint64), batch.column(5).to_numpy().view(np.uint64)
         sizes = [np.fromiter(map(len, v), np.int64, len(v)) for v in (x, y)]
         some = np.flatnonzero(_plausible(*sizes, s, t))
+        some = some[_share_words(x + y, some, some + len(x))]
         good = some[alike([x[k] for k in some.tolist()], [y[k] for k in some.tolist()])]
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good)), batch.column(1).take(pa.array(good))], ["a", "b"])
 
@@ -348,12 +391,17 @@ def _across(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         first = np.where(equal.any(axis=1), equal.argmax(axis=1), -1)
         here = (first < 0) | (signed[i, np.maximum(first, 0)] == (band[i] & 0xFFFFFFFF).astype(np.uint32))
         i, j = i[here], j[here]
-        for begin in range(0, len(i), 2000):
-            a, b = i[begin : begin + 2000], j[begin : begin + 2000]
+        shared = _share_words(texts, i, j)
+        i, j = i[shared], j[shared]
+        # Near SimHashes first: what they link needn't be compared again.
+        order = np.argsort(np.bitwise_count(sim[i] ^ sim[j]), kind="stable")
+        i, j = i[order], j[order]
+        for begin in range(0, len(i), COMPARED):
+            a, b = i[begin : begin + COMPARED], j[begin : begin + COMPARED]
             label = groups.root()
             apart = label[a] != label[b]
             a, b = a[apart], b[apart]
-            good = alike([texts[k] for k in a.tolist()], [texts[k] for k in b.tolist()])
+            good = alike([texts[k] for k in a.tolist()], [texts[k] for k in b.tolist()], likely=False)
             if good.any():
                 groups.union(a[good], b[good])
                 yield pd.DataFrame({"a": code[a[good]], "b": code[b[good]]})
@@ -382,8 +430,8 @@ def _linked_across(met: DataFrame, items: DataFrame, links: DataFrame) -> DataFr
 def line_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(code, k2, component) of the lines that are linked to another; ``rows`` as of ``line_rows``.
 
-    Lines link if they meet in a unit, their SimHashes differ in at most BUDGET bits, and their edit
-    similarity is SIMILARITY or more. Equal lines are one line from the start. Lines are compared with
+    Lines link if they meet in a unit, their SimHashes differ in at most BUDGET bits and they share words
+    (both unless they are short), and their edit similarity is SIMILARITY or more. Equal lines are one line from the start. Lines are compared with
     their units' leads first; and then with what they aren't connected to by then, so that a group of
     near copies costs its size and not its square.
     """
