@@ -15,9 +15,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from weft.llm.common import breathe, let, marked
+from weft.llm.common import breathe, let, marked, row_hash
 from weft.llm.edits import within
 from weft.llm.hamming import LANE_HASHES, Groups, by_unit, lane_sums, pack_majority
 from weft.operators.components import connected_components
@@ -177,11 +177,6 @@ def alike(a: list[str], b: list[str], least: float = SIMILARITY, likely: bool =
     return within(a, b, np.floor((1 - least) * longest + 1e-9).astype(np.int64), likely)
 
 
-def row_hash() -> Column:
-    """What tells rows apart whose doc_id is null or the same: a hash of the id and the whole text."""
-    return F.xxhash64(F.col("doc_id"), "text")
-
-
 #: What str.split() takes for space, but for a single space and the line break.
 _OTHER_SPACES = "\t\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 

@@ -9,10 +9,10 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weft.llm.common import frame_udf, rows_that_may_be_in, series_udf
+from weft.llm.common import frame_udf, marked, row_hash, series_udf
 from weft.llm.hamming import LANE_HASHES, Groups, lane_sums, by_unit, hamming_units, linked_in_units, pack_majority, trie_pairs
 from weft.operators.components import connected_components
-from weft.plans.runtime import cut, ship
+from weft.plans.runtime import cut, reclaim, ship
 
 #: Bytes of a text that are taken apart at once.
 PIECE = 1 << 20
@@ -21,8 +21,8 @@ WIDTH, LEAST = 5, 0.8
 #: MinHash bands, each of so many minima, that propose pairs: at a similarity of 0.8 they miss 3 in 100,000.
 BANDS, MINIMA = 20, 4
 _RANDOM = np.random.default_rng(11)
-_TIMES = _RANDOM.integers(0, 1 << 63, BANDS * MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _RANDOM.integers(0, 1 << 63, BANDS * MINIMA, np.uint64)
+_TIMES = _RANDOM.integers(0, 1 << 31, BANDS * MINIMA, np.uint32) * np.uint32(2) + np.uint32(1)
+_PLUS = _RANDOM.integers(0, 1 << 32, BANDS * MINIMA, np.uint32)
 
 
 def _pieces(raw: bytes) -> Iterator[bytes]:
@@ -127,31 +127,86 @@ def near_duplicate_groups(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id (of the smallest code, if tied).
+    """``docs`` with one row of each component: that of the smallest doc_id (null last; of the smallest row hash, if tied).
 
     Repeated rows of that document are one. A component whose ids are all null keeps one row.
     """
     ship(docs.sparkSession)
-    coded = docs.withColumn("near_code", fingerprint(F.col("text"), width))
-    rows = cut(coded.select("doc_id", F.col("near_code").alias("code")))
-    return _one_each(coded, rows.join(fingerprint_components(rows), "code"))
+    rows = cut(docs.select(row_hash().alias("row_hash"), "doc_id", fingerprint(F.col("text"), width).alias("code")))
+    return _one_each(docs, rows.join(fingerprint_components(rows), "code"))
 
 
-def _one_each(coded: DataFrame, named: DataFrame) -> DataFrame:
-    """The row of ``coded`` (with near_code) that stays for each component of ``named``."""
-    kept = (
-        named.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("component_code")
-        .agg(F.min("code").alias("keep_code"), F.min("component_id").alias("keep_id"))
-    )
-    same = (coded["near_code"] == kept["keep_code"]) & coded["doc_id"].eqNullSafe(kept["keep_id"])
-    return coded.join(kept, same, "left_semi").dropDuplicates(["near_code", "doc_id"]).drop("near_code")
-
+def _one_each(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component_code of ``named`` (row_hash, doc_id, component_code).
 
-def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The different shingle hashes of a text, sorted; none without words."""
-    parts = list(shingle_hashes((text or "").encode("utf-8", "replace").lower(), width))
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    Which rows go is decided without texts; then only rows that may go, or may repeat the one that
+    stays, are shuffled.
+    """
+    named = cut(named.select("row_hash", "component_code", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash").alias("place")))
+    firsts = named.groupBy("component_code").agg(F.min("place")["row_hash"].alias("keep_hash"))
+    hashes = named.join(firsts, "component_code").groupBy("row_hash").agg(
+        F.max(F.col("row_hash") == F.col("keep_hash")).alias("stays"), F.count("*").alias("n")
+    )
+    odd = cut(hashes.filter("NOT stays OR n > 1").select(F.col("row_hash").alias("odd_hash"), "stays"))
+    whole = docs.select(F.struct(*docs.columns).alias("near_doc"), row_hash().alias("near_hash"))
+    whole = marked(whole, F.col("near_hash"), odd, F.col("odd_hash"), "near_may")
+    alone = whole.filter(~F.col("near_may")).select("near_doc")
+    met = whole.filter("near_may").join(odd, F.col("near_hash") == F.col("odd_hash"), "left")
+    rest = met.filter("odd_hash IS NULL").select("near_doc").unionByName(met.filter("stays").dropDuplicates(["near_hash"]).select("near_doc"))
+    return alone.unionByName(rest).select("near_doc.*")
+
+
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[32, *range(9, 14)]] = True
+
+
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    hashes = (hashes ^ (hashes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return hashes ^ (hashes >> np.uint64(31))
+
+
+def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of lower-cased bytes, and where each begins."""
+    space = _IS_SPACE[raw]
+    begins = np.flatnonzero(~space & np.r_[True, space[:-1]])
+    if not len(begins):
+        return np.zeros(0, np.uint64), begins
+    sizes = np.flatnonzero(~space & np.r_[space[1:], True]) + 1 - begins
+    power = np.ones(int(sizes.max()) + 1, np.uint64)
+    power[1:] = np.uint64(0x100000001B3)
+    power = np.cumprod(power, dtype=np.uint64)
+    firsts = np.cumsum(sizes) - sizes
+    offset = np.arange(int(sizes.sum())) - np.repeat(firsts, sizes)
+    return _mixed(np.add.reduceat((raw[~space].astype(np.uint64) + np.uint64(1)) * power[offset], firsts)), begins
+
+
+def shingle_sets(texts: list[str | None], width: int = WIDTH) -> Iterator[np.ndarray]:
+    """The different hashes of each text's shingles, sorted; of the whole text where it has fewer words; none without words."""
+    at = 0
+    while at < len(texts):
+        raws, size = [], 0
+        while at < len(texts) and (not raws or size < PIECE):
+            raws.append((texts[at] or "").encode("utf-8", "replace"))
+            size += len(raws[-1]) + 1
+            at += 1
+        words, begins = _words(_FOLD[np.frombuffer(b" ".join(raws), np.uint8)])
+        edges = np.cumsum([0] + [len(x) + 1 for x in raws])
+        counts = np.diff(np.searchsorted(begins, edges))
+        firsts = np.cumsum(counts) - counts
+        few = np.minimum(counts, width)
+        made = counts - few + (counts > 0)  # shingles of each text
+        owner = np.repeat(np.arange(len(raws)), made)
+        where = np.repeat(firsts, made) + np.arange(len(owner)) - np.repeat(np.cumsum(made) - made, made)
+        hashes, long = np.zeros(len(owner), np.uint64), few[owner]
+        for k in range(width):
+            inside = k < long
+            hashes[inside] = _mixed(hashes[inside] * np.uint64(0x9E3779B97F4A7C15) + words[where[inside] + k])
+        for part in np.split(hashes, np.cumsum(made)[:-1]):
+            part = np.sort(part)
+            yield part[np.r_[True, part[1:] != part[:-1]][: len(part)]]
 
 
 def set_code(shingles: np.ndarray) -> int:
@@ -162,32 +217,34 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     """A key for each band; two sets share one with a chance of their similarity to the power of MINIMA."""
     if not len(shingles):
         return np.zeros(0, np.int64)
-    least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        least = np.minimum(least, (shingles[None, at : at + 4096] * _TIMES[:, None] + _PLUS[:, None]).min(axis=1))
-    rows = least.reshape(BANDS, MINIMA)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
+    small = (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.array([(small * t + p).min() for t, p in zip(_TIMES, _PLUS, strict=True)], np.uint64)
+    rows, keys = least.reshape(BANDS, MINIMA), np.arange(BANDS, dtype=np.uint64)
+    for k in range(MINIMA):
+        keys = _mixed(keys * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
+    return keys.view(np.int64)
 
 
 def similar_components(docs: DataFrame, rows: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
-    """(code, component_code, component_id), as ``fingerprint_components``, of sets linked at a Jaccard similarity of ``least``.
+    """(code, component_code), as ``fingerprint_components``, of sets linked at a Jaccard similarity of ``least``.
 
-    ``rows`` has doc_id, code and bands of each of ``docs``. Equal sets are one from the start. Sets that
+    ``rows`` has row_hash, code and bands of each of ``docs``. Equal sets are one from the start. Sets that
     share a band are compared, exactly.
     """
-    sets = cut(rows.groupBy("code").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands")))
+    sets = cut(rows.groupBy("code").agg(F.min("row_hash").alias("some_hash"), F.first("bands").alias("bands")))
     keys = sets.select(F.explode("bands").alias("unit"), "code")
     shared = keys.groupBy("unit").agg(F.count("*").alias("n"), F.min("code").alias("lead")).filter("n > 1")
     met = cut(keys.join(shared.select("unit", "lead"), "unit"))
-    wanted = cut(met.select("code").distinct().join(sets.select("code", "least_id"), "code"))
+    wanted = cut(met.select("code").distinct().join(sets.select("code", "some_hash"), "code").select("some_hash"))
+    reclaim(docs.sparkSession)
 
     def shingles(texts: pd.Series) -> pd.DataFrame:
-        found = [shingle_set(t, width) for t in texts]
+        found = list(shingle_sets(texts.tolist(), width))
         return pd.DataFrame({"code": [set_code(x) for x in found], "shingles": [x.view(np.int64) for x in found]})
 
-    few = rows_that_may_be_in(docs.select("doc_id", "text"), F.col("doc_id"), wanted, F.col("least_id"))
+    few = marked(docs.select("text", row_hash().alias("row_hash")), F.col("row_hash"), wanted, F.col("some_hash"), "may").filter("may")
     made = few.select(frame_udf(shingles, "code long, shingles array<long>")(F.col("text")).alias("s")).select("s.code", "s.shingles")
-    arrays = cut(made.join(wanted.select("code"), "code", "left_semi").dropDuplicates(["code"]))
+    arrays = cut(made.join(met.select("code").distinct(), "code", "left_semi").dropDuplicates(["code"]))
 
     def alike(pairs: DataFrame) -> DataFrame:
         both = pairs.join(arrays.select(F.col("code").alias("b"), F.col("shingles").alias("y")), "b")
@@ -197,9 +254,7 @@ def similar_components(docs: DataFrame, rows: DataFrame, width: int = WIDTH, lea
 
     links = linked_in_units(met, alike)
     groups = connected_components(links, "a", "b")
-    out = sets.join(groups, sets["code"] == groups["node"], "left").select("code", F.coalesce("component", "code").alias("component_code"), "least_id")
-    ids = out.groupBy("component_code").agg(F.min("least_id").alias("component_id"))
-    return cut(out.drop("least_id").join(ids, "component_code").select("code", "component_code", "component_id"))
+    return cut(sets.join(groups, sets["code"] == groups["node"], "left").select("code", F.coalesce("component", "code").alias("component_code")))
 
 
 def drop_similar(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
@@ -211,14 +266,14 @@ def drop_similar(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> D
     """
     ship(docs.sparkSession)
 
-    def codes(texts: pd.Series) -> pd.Series:
-        return pd.Series([set_code(shingle_set(t, width)) for t in texts], dtype="int64")
-
     def keyed(texts: pd.Series) -> pd.DataFrame:
-        found = [shingle_set(t, width) for t in texts]
-        return pd.DataFrame({"code": [set_code(x) for x in found], "bands": [band_keys(x) for x in found]})
-
-    rows = docs.select("doc_id", frame_udf(keyed, "code long, bands array<long>")(F.col("text")).alias("k"))
-    rows = cut(rows.select("doc_id", "k.code", "k.bands"))
-    named = rows.select("doc_id", "code").join(similar_components(docs, rows, width, least), "code")
-    return _one_each(docs.withColumn("near_code", series_udf(codes, "long")(F.col("text"))), named)
+        codes, bands = [], []
+        for x in shingle_sets(texts.tolist(), width):
+            codes.append(set_code(x))
+            bands.append(band_keys(x))
+        return pd.DataFrame({"code": codes, "bands": bands})
+
+    rows = docs.select(row_hash().alias("row_hash"), "doc_id", frame_udf(keyed, "code long, bands array<long>")(F.col("text")).alias("k"))
+    rows = cut(rows.select("row_hash", "doc_id", "k.code", "k.bands"))
+    named = rows.select("row_hash", "doc_id", "code").join(similar_components(docs, rows, width, least), "code")
+    return _one_each(docs, named)
