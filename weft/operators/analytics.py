@@ -39,14 +39,14 @@ def surprising_connections(nodes: DataFrame, edges: DataFrame, k: int = 25, leas
     """Edges between communities, the rarest bridges of large communities first."""
     assigned = nodes.filter("community IS NOT NULL")
     sizes = assigned.groupBy("community").agg(F.count("*").alias("size"))
-    real = assigned.filter(~F.col("file_type").isin(*SPECULATIVE)).join(F.broadcast(sizes), "community")
+    real = assigned.filter(~F.col("file_type").isin(*SPECULATIVE)).join(sizes, "community")
     end = lambda p: real.select(F.col("id").alias(p), F.col("label").alias(f"{p}_label"), F.col("community").alias(f"{p}_community"), F.col("size").alias(f"{p}_size"))
     met = edges.select("source", "target", "relation").join(end("source"), "source").join(end("target"), "target")
     met = met.filter("source_community <> target_community").withColumns(
         {"lo": F.least("source_community", "target_community"), "hi": F.greatest("source_community", "target_community")}
     )
     between = met.groupBy("lo", "hi").agg(F.count("*").alias("bridges"))
-    scored = met.join(F.broadcast(between), ["lo", "hi"]).filter(F.least("source_size", "target_size") >= least_size)
+    scored = met.join(between, ["lo", "hi"]).filter(F.least("source_size", "target_size") >= least_size)
     scored = scored.withColumn("score", F.least("source_size", "target_size") / F.col("bridges"))
     return scored.orderBy(F.desc("score"), "source", "target", "relation").limit(k).select(
         "source", "source_label", "target", "target_label", "relation", "source_community", "target_community", "score"

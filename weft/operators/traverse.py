@@ -20,19 +20,32 @@ def neighbours(edges: DataFrame, directed: bool = False, least: float = 0.0, flo
     return out if directed else out.unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b"), "relation", "strength"))
 
 
+#: Rows of a frontier up to which it is sent to every executor, so that a hop doesn't shuffle the edges.
+BROADCAST_FRONTIER = 100_000
+
+
+def _light(frontier: DataFrame, n: int) -> DataFrame:
+    """A stored frontier of ``n`` rows, to be broadcast if it is small; a larger one is joined by shuffle."""
+    return F.broadcast(frontier) if n <= BROADCAST_FRONTIER else frontier
+
+
 def bfs(seeds: DataFrame, near: DataFrame, depth: int) -> DataFrame:
     """(id, distance) of what ``near`` (a, b) reaches from the seeds' ``id`` in at most ``depth`` hops.
 
-    Each round joins the last round's nodes alone and leaves out those that were seen.
+    Each round joins the last round's nodes alone and leaves out those that were seen. The edges are
+    computed once.
     """
     seen = cut(seeds.select("id").distinct().withColumn("distance", F.lit(0)))
-    frontier = seen
-    pairs = near.select("a", "b").distinct()
+    frontier, n = seen, seen.count()
+    total = n
+    pairs = cut(near.select("a", "b"))
     for hop in range(1, depth + 1):
-        found = pairs.join(frontier.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
-        frontier = cut(found.join(seen, "id", "left_anti").withColumn("distance", F.lit(hop)))
-        if frontier.isEmpty():
+        found = pairs.join(_light(frontier.select(F.col("id").alias("a")), n), "a").select(F.col("b").alias("id")).distinct()
+        frontier = cut(found.join(_light(seen.select("id"), total), "id", "left_anti").withColumn("distance", F.lit(hop)))
+        n = frontier.count()
+        if not n:
             break
+        total += n
         seen = seen.unionByName(frontier)
     return seen
 
@@ -89,15 +102,18 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, seed: str, depth: int = 3,
     members = edges.filter((F.col("source") == seed) & F.col("relation").isin("contains", "method")).select(F.col("target").alias("id"))
     seen = cut(own.unionByName(members).distinct())
     frontier, hits = seen, None
-    impact = edges.filter(F.col("relation").isin(*allowed)).select("source", "target", "relation", "confidence", "source_file")
+    n = total = seen.count()
+    impact = cut(edges.filter(F.col("relation").isin(*allowed)).select("source", "target", "relation", "confidence", "source_file"))
     for hop in range(1, depth + 1):
-        into = impact.join(frontier.select(F.col("id").alias("target")), "target")
+        into = impact.join(_light(frontier.select(F.col("id").alias("target")), n), "target")
         first = F.min(F.struct("target", "relation", "confidence", "source_file")).alias("e")
-        fresh = into.groupBy(F.col("source").alias("id")).agg(first).join(seen, "id", "left_anti")
+        fresh = into.groupBy(F.col("source").alias("id")).agg(first).join(_light(seen, total), "id", "left_anti")
         fresh = cut(fresh.select("id", F.lit(hop).alias("depth"), "e.relation", F.col("e.confidence").alias("provenance"), F.col("e.source_file").alias("via")))
         hits = fresh if hits is None else hits.unionByName(fresh)
-        if fresh.isEmpty():
+        n = fresh.count()
+        if not n:
             break
+        total += n
         frontier = fresh.select("id")
         seen = seen.unionByName(frontier)
     named = nodes.select("id", "label", "source_file")
@@ -174,6 +190,7 @@ def shortest_path(edges: DataFrame, source: str, target: str, directed: bool = F
     parallel edge. Layer by layer, each node keeps its weakest hop, its route and the number of routes.
     """
     near = neighbours(edges, directed, **which).groupBy("a", "b").agg(F.max("strength").alias("hop")).filter("a <> b")
+    near = cut(near)
     spark = edges.sparkSession
     layer = spark.createDataFrame([(source, 2.0, [source], 1)], "id string, weakest double, path array<string>, routes long")
     seen = layer.select("id")
@@ -202,15 +219,11 @@ def pagerank(weights: DataFrame, vertices: DataFrame, damping: float = 0.85, rou
     if not n:
         return files.select("file", F.lit(0.0).alias("rank"))
     rank = files.withColumn("rank", F.lit(1.0 / n))
-    for k in range(rounds):
+    for _ in range(rounds):
         given = share.join(rank.select(F.col("file").alias("file_a"), "rank"), "file_a").groupBy(F.col("file_b").alias("file")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        loose = rank.filter("linked IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
-        base = (1 - damping) / n
-        new = base + damping * F.col("loose") / n + damping * F.coalesce("got", F.lit(0.0))
-        # ``loose`` is one row.
-        rank = files.join(given, "file", "left").join(F.broadcast(loose)).select("file", "linked", new.alias("rank"))
-        if k % 3 == 2:
-            rank = cut(rank)
+        loose = rank.filter("linked IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        new = F.lit((1 - damping) / n + damping * loose / n) + damping * F.coalesce("got", F.lit(0.0))
+        rank = cut(files.join(given, "file", "left").select("file", "linked", new.alias("rank")))
     return rank.select("file", "rank")
 
 

@@ -20,10 +20,15 @@ BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a temporary one only where none is named (tests)."""
+    """The shared checkpoint folder of the session; a temporary one only where none is named, in local mode.
+
+    On a cluster executors don't share a temporary folder, so that a session without a named one is an error.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if named is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weft-checkpoint-"))
     return sc.getCheckpointDir()
 

@@ -299,7 +299,21 @@ def explain_node(spark, sf_dir):
     return traverse.explain(*_graph(spark, sf_dir), "order:1").withColumn("strength", _r("strength"))
 
 
-@register("conservative_path")
+def _path_sql(source: str, target: str, depth: int) -> str:
+    """Layer after layer, with what was seen before left out."""
+    out = f""", s AS (SELECT source, target, coalesce(confidence_score, CASE confidence WHEN 'EXTRACTED' THEN 0.9 WHEN 'RESOLVED' THEN 0.85 WHEN 'INFERRED' THEN 0.7 END) AS hop FROM edges WHERE source <> target),
+      near AS MATERIALIZED (SELECT a, b, max(hop) AS hop FROM (SELECT source AS a, target AS b, hop FROM s UNION ALL SELECT target, source, hop FROM s) GROUP BY ALL),
+      l0 AS MATERIALIZED (SELECT '{source}' AS id, CAST(2 AS DOUBLE) AS weakest, ['{source}'] AS path, CAST(1 AS BIGINT) AS routes)"""
+    for k in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT id FROM l{j}" for j in range(k))
+        out += f""", l{k} AS MATERIALIZED (SELECT id, m.weakest AS weakest, m.path AS path, routes FROM (
+          SELECT b AS id, min({{'weakest': least(weakest, hop), 'path': list_append(path, b)}}) AS m, CAST(least(sum(routes), 1000000) AS BIGINT) AS routes
+          FROM near JOIN l{k - 1} ON a = id WHERE b NOT IN ({seen}) GROUP BY b))"""
+    found = " UNION ALL ".join(f"SELECT path, {k} AS hops, weakest, routes FROM l{k} WHERE id = '{target}'" for k in range(1, depth + 1))
+    return out + f" SELECT array_to_string(path, ' > ') AS path, CAST(hops AS INT) AS hops, round(weakest, 6) AS weakest, routes FROM ({found}) ORDER BY hops LIMIT 1"
+
+
+@register("conservative_path", _path_sql("supplier:1", "region:1", 6))
 def conservative_path(spark, sf_dir):
     path = traverse.shortest_path(g.entity_edges(spark, sf_dir), "supplier:1", "region:1")
     return path.select(F.array_join("path", " > ").alias("path"), "hops", _r("weakest").alias("weakest"), "routes")
@@ -453,7 +467,13 @@ def merge_entities(spark, sf_dir):
     return identity.merge_map(g.entity_nodes(spark, sf_dir))
 
 
-@register("file_cycles")
+@register("file_cycles", """, dep AS (SELECT source, target FROM edges WHERE relation IN ('references', 'depends_on') AND confidence = 'EXTRACTED'
+    UNION ALL SELECT target, source FROM edges WHERE relation = 'references' AND source LIKE 'nation:%'),
+  own AS (SELECT id, source_file FROM every WHERE file_type NOT IN ('stub', 'reference') AND source_file <> ''),
+  pair AS MATERIALIZED (SELECT DISTINCT x.source_file AS a, y.source_file AS b FROM dep JOIN own x ON x.id = source JOIN own y ON y.id = target WHERE x.source_file <> y.source_file),
+  RECURSIVE reach AS (SELECT a, b FROM pair UNION SELECT reach.a, pair.b FROM reach JOIN pair ON reach.b = pair.a),
+  mate AS (SELECT x.a AS id, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a)
+  SELECT component, count(*) AS size, string_agg(id, ',' ORDER BY id) AS files FROM mate GROUP BY component HAVING count(*) > 1 ORDER BY size DESC, component LIMIT 5""")
 def file_cycles(spark, sf_dir):
     n, e = _graph(spark, sf_dir)
     extra = e.filter("relation = 'references' AND source LIKE 'nation:%'").select(F.col("target").alias("source"), F.col("source").alias("target"), "relation", "confidence", "confidence_score", "source_file")

@@ -195,7 +195,9 @@ def usage_consumers(spark, sf_dir):
     return traverse.consumers(g.entity_edges(spark, sf_dir), seeds, 2).select("id", "depth", _r("weakest").alias("weakest"))
 
 
-@register("catalog_graph")
+@table_sql("catalog_graph", """WITH k(a, b) AS (VALUES ('nation', 'region'), ('customer', 'nation'), ('supplier', 'nation'), ('orders', 'customer'), ('lineitem', 'orders'), ('lineitem', 'part'), ('lineitem', 'supplier')),
+  e AS (SELECT a AS name, 0 AS i, 1 AS o FROM k UNION ALL SELECT b, 1, 0 FROM k)
+  SELECT 'pg_db::' || name AS id, name AS label, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out, count(*) AS degree FROM e GROUP BY name""")
 def catalog_graph(spark, sf_dir):
     names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
     keys = [("nation", "region"), ("customer", "nation"), ("supplier", "nation"), ("orders", "customer"), ("lineitem", "orders"), ("lineitem", "part"), ("lineitem", "supplier")]
@@ -211,12 +213,15 @@ def document_chunks(spark, sf_dir):
     return prose.extract(files).select("file_path", "status", F.size("nodes").cast("long").alias("n_nodes"), F.size("edges").cast("long").alias("n_edges"))
 
 
-@register("did_you_mean")
+@register("did_you_mean", """, t(term) AS (VALUES ('nations'), ('germny'), ('frnce')), l AS (SELECT DISTINCT label FROM nodes),
+  best AS (SELECT label, max(jaro_winkler_similarity(lower(label), term)) AS similarity FROM l, t GROUP BY label)
+  SELECT label, round(similarity, 6) AS similarity FROM best WHERE similarity > 0.6 ORDER BY best.similarity DESC, label LIMIT 3""")
 def did_you_mean(spark, sf_dir):
     return retrieve.did_you_mean(g.entity_nodes(spark, sf_dir), "nations of germny and frnce").withColumn("similarity", _r("similarity"))
 
 
-@register("health_report")
+@register("health_report", """SELECT id, 'dead' AS finding FROM (SELECT id FROM every JOIN deg USING (id) WHERE file_type = 'entity' AND n_in = 0 AND n_out > 0 ORDER BY degree DESC, id LIMIT 15)
+  UNION ALL SELECT id, 'hub' FROM (SELECT id FROM every JOIN deg USING (id) WHERE file_type NOT IN ('stub', 'reference') AND degree >= (SELECT greatest(quantile_disc(degree, 0.95), 10) FROM deg) ORDER BY degree DESC, id LIMIT 5)""")
 def health_report(spark, sf_dir):
     n, e = _graph(spark, sf_dir)
     dead, hubs = an.dead_code(n, e, kind="entity"), an.hub_churn(n, e)
