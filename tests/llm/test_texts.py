@@ -40,6 +40,47 @@ def test_payloads_come_back(n):
     assert all(media.read_header(stored[s : s + 4]) for s in got["seek"])
 
 
+#: (mode, extension, bit rate index, rate index, version bits): stereo, joint and mono frames under each table of layer II.
+LAYER_TWO = [(0, 0, 8, 1, 3), (1, 0, 8, 0, 3), (1, 2, 10, 0, 3), (3, 0, 2, 0, 3), (3, 0, 2, 2, 3), (3, 0, 9, 2, 3), (0, 0, 3, 1, 3), (1, 1, 8, 0, 2), (3, 0, 8, 2, 2)]
+
+
+@pytest.mark.parametrize(("mode", "extension", "rate", "hz", "version"), LAYER_TWO)
+def test_checksums_of_layer_two(mode, extension, rate, hz, version):
+    """Frames whose checksum is made here, bit by bit, from the standard's tables of subbands."""
+    head = bytes([0xFF, 0xE0 | version << 3 | 2 << 1, rate << 4 | hz << 2, mode << 6 | extension << 4])
+    known = media.read_header(head)
+    channels, each = (1 if mode == 3 else 2), known.kbps // (1 if mode == 3 else 2)
+    if version == 2:
+        widths = [4] * 4 + [3] * 7 + [2] * 19
+    elif each < 56:
+        widths = [4, 4] + [3] * (10 if hz == 2 else 6)
+    else:
+        widths = [4] * 11 + [3] * 12 + [2] * (4 if each < 96 or hz == 1 else 7)
+    r = random.Random(rate * 64 + hz * 8 + mode)
+
+    def frame():
+        allocated, used = "", 0
+        for band, width in enumerate(widths):
+            both = mode == 1 and band >= 4 * (extension + 1)
+            for _ in range(1 if both else channels):
+                value = r.choice([0, 1, (1 << width) - 1])
+                allocated += format(value, f"0{width}b")
+                used += (channels if both else 1) * (value > 0)
+        covered = format(int.from_bytes(head[2:], "big"), "016b") + allocated + "".join(r.choice("01") for _ in range(2 * used))
+        crc = 0xFFFF
+        for bit in covered:
+            crc = (crc << 1) & 0xFFFF ^ (0x8005 if (crc >> 15) ^ int(bit) else 0)
+        body = covered[16:]
+        body = int(body.ljust(-(-len(body) // 8) * 8, "1"), 2).to_bytes(-(-len(body) // 8), "big")
+        return (head + crc.to_bytes(2, "big") + body).ljust(known.length, b"\x55")
+
+    stream = b"".join(frame() for _ in range(6))
+    got = media.scan(stream)
+    assert (got["n_frames"], got["crc_bad"], got["crc_none"]) == (6, 0, 0)
+    at = 2 * known.length + 6
+    assert media.scan(stream[:at] + bytes([stream[at] ^ 0x80]) + stream[at + 1 :])["crc_bad"] == 1
+
+
 def test_reader_resynchronises_and_counts_damage():
     stored = bytearray(media.store(b"\0" * 9000))
     clean = media.scan(bytes(stored))
@@ -231,6 +272,16 @@ def test_languages_and_spans(spark):
     assert none is None and {r["lang_pred"] for r in langid.language_columns(d, none).collect()} == {"und"}
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_language_of_held_out_rows(spark):
+    """Accuracy over the labelled rows that aren't learned from."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    named = langid.language_columns(df.select("doc_id", "text"), langid.fit(langid.training_rows(df)))
+    met = named.join(df.filter("lang IS NOT NULL").select("doc_id", "lang"), "doc_id").filter(langid.held_out()).filter("lang_pred <> 'und'")
+    row = met.agg(F.count("*").alias("n"), F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("right")).first()
+    assert row["n"] > 200 and row["right"] >= 0.98
+
+
 def test_viterbi_is_the_best_path():
     r = np.random.default_rng(5)
     for n in (1, 2, 6):

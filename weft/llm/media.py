@@ -88,19 +88,55 @@ def checksum(covered: bytes, bits: int) -> int:
     return value
 
 
-def _guard_bits(head: Header) -> int | None:
-    """Bits after the checksum that it covers; None for layer II, whose allocation tables aren't kept here."""
+#: Of layer II, the widths of the bit allocations, as (subbands, bits) runs, by table.
+ALLOCATIONS = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "lower rates": ((4, 4), (7, 3), (19, 2)),
+}
+
+
+def _allocation_widths(head: Header) -> list[int]:
+    """Bits of each subband's allocation in layer II: by version, rate and bit rate of a channel."""
+    each = head.kbps // head.channels
+    if head.version != 3:
+        name = "lower rates"
+    elif each <= 48:
+        name = "d" if head.rate == 32000 else "c"
+    else:
+        name = "a" if each <= 80 or head.rate == 48000 else "b"
+    return [bits for n, bits in ALLOCATIONS[name] for _ in range(n)]
+
+
+def _guard_bits(head: Header, body: bytes) -> int | None:
+    """Bits after the checksum that it covers; None where ``body``, what follows it, is too short to tell.
+
+    In layer II these are the allocations, of one channel from the joint subbands on, and two bits for
+    each subband that has any.
+    """
     if head.layer == 3:
         return 8 * head.side
+    bound = 4 * (head.extension + 1) if head.mode == 1 else 32
     if head.layer == 1:
-        bound = 4 * (head.extension + 1) if head.mode == 1 else 32
         return 4 * (bound * head.channels + (32 - bound))
-    return None
+    bits, at, used = int.from_bytes(body[:64], "big"), 0, 0
+    size = 8 * len(body[:64])
+    for band, width in enumerate(_allocation_widths(head)):
+        shared = head.channels == 2 and band >= bound
+        for _ in range(1 if shared else head.channels):
+            if at + width > size:
+                return None
+            value = bits >> (size - at - width) & ((1 << width) - 1)
+            at += width
+            used += (head.channels if shared else 1) * (value > 0)
+    return at + 2 * used
 
 
 def _verify(media: bytes, at: int, head: Header) -> bool | None:
-    """Whether a frame's checksum is right; None where there is none, or it can't be computed."""
-    bits = _guard_bits(head) if head.guarded else None
+    """Whether a frame's checksum is right; None where there is none, or the frame is too short for it."""
+    bits = _guard_bits(head, media[at + 6 : at + head.length]) if head.guarded else None
     if bits is None or 6 + (bits + 7) // 8 > head.length:
         return None
     body = media[at + 2 : at + 4] + media[at + 6 : at + 6 + (bits + 7) // 8]
