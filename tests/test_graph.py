@@ -178,7 +178,7 @@ def test_large_components_are_split_and_merged_as_well(spark):
     edges += [("a5", "b5", "calls", "AMBIGUOUS"), ("b4", "c4", "calls", "AMBIGUOUS")]
     nodes, e = graph(spark, edges)
     want = {r["id"]: r["community"] for r in communities.detect(nodes, e).collect()}
-    got = {r["id"]: r["community"] for r in communities.detect(nodes, e, task_links=1).collect()}
+    got = {r["id"]: r["community"] for r in communities.detect(nodes, e.repartition(5)).collect()}
     assert got == want and len(set(want.values())) == 3 and want["z0q"] == want["a0"]
 
 
@@ -188,7 +188,7 @@ def test_large_components_split_what_is_oversized(spark, monkeypatch):
     monkeypatch.setattr(communities, "_labels", lambda links: calls.append(1) or (plain(links) if len(calls) > 1 else plain(links).withColumn("lead", F.lit("a0"))))
     cliques = [(f"{c}{x}", f"{c}{y}") for c in "ab" for x in range(6) for y in range(x)]
     nodes, e = graph(spark, [*cliques, ("a5", "b5", "calls", "AMBIGUOUS")])
-    got = {r["id"]: r["community"] for r in communities.detect(nodes, e, task_links=1).collect()}
+    got = {r["id"]: r["community"] for r in communities.detect(nodes, e).collect()}
     assert len(set(got.values())) == 2 and all((got[x] == got["a0"]) == (x[0] == "a") for x in got)
 
 

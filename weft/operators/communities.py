@@ -2,79 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from weft.functions.evidence import edge_weight
-from weft.operators.components import connected_components
-from weft.plans.runtime import cut, ship
+from weft.plans.runtime import cut
 
 #: Fixed values of the passes.
 ROUNDS, SPLIT_SHARE, SPLIT_LEAST, SPLIT_PASSES, LEAST_SIZE = 100, 0.25, 10, 3, 3
 #: Weights as whole numbers, so that no sum depends on its order.
 SCALE = 1_000_000
-#: Links of a component that one task may hold; a larger one is swept round by round in Spark.
-TASK_LINKS = 2_000_000
-
-
-def _sweep(order: list[str], near: dict[str, dict[str, int]], label: dict[str, int]) -> dict[str, int]:
-    """Each node in turn takes the heaviest label around it, the smallest if tied, until nothing moves."""
-    for _ in range(ROUNDS):
-        moved = False
-        for node in order:
-            tally: dict[int, int] = {}
-            for other, weight in near[node].items():
-                tally[label[other]] = tally.get(label[other], 0) + weight
-            if tally:
-                best = min(tally, key=lambda c: (-tally[c], c))
-                if tally[best] > tally.get(label[node], 0) or (tally[best] == tally.get(label[node], 0) and best < label[node]):
-                    label[node], moved = best, True
-        if not moved:
-            break
-    return label
-
-
-def partition(order: list[str], near: dict[str, dict[str, int]], rank: dict[str, int], n_all: int) -> dict[str, int]:
-    """Labels of one component's nodes: a sweep, splits of what is too large, merges of what is too small."""
-    label = _sweep(order, near, dict(rank))
-    for _ in range(SPLIT_PASSES):
-        groups: dict[int, list[str]] = {}
-        for node in order:
-            groups.setdefault(label[node], []).append(node)
-        large = [g for g in groups.values() if len(g) >= SPLIT_LEAST and len(g) > SPLIT_SHARE * n_all]
-        if not large:
-            break
-        changed = False
-        for group in large:
-            inside = set(group)
-            inner = {v: {u: w for u, w in near[v].items() if u in inside} for v in group}
-            fresh = _sweep(group, inner, {v: rank[v] for v in group})
-            if len(set(fresh.values())) > 1:
-                label.update(fresh)
-                changed = True
-        if not changed:
-            break
-    while True:
-        groups = {}
-        for node in order:
-            groups.setdefault(label[node], []).append(node)
-        moved = False
-        for own, group in sorted(groups.items(), key=lambda g: rank[g[1][0]]):
-            if len(group) >= LEAST_SIZE or len(groups) == 1:
-                continue
-            pull: dict[int, int] = {}
-            for node in group:
-                for other, weight in near[node].items():
-                    if label[other] != own:
-                        pull[label[other]] = pull.get(label[other], 0) + weight
-            if pull:
-                to = min(pull, key=lambda c: (-pull[c], c))
-                for node in group:
-                    label[node] = to
-                moved = True
-                break
-        if not moved:
-            return label
 
 
 def link_weights(edges: DataFrame) -> DataFrame:
@@ -108,43 +44,30 @@ def detect_without_hubs(nodes: DataFrame, edges: DataFrame, **how) -> DataFrame:
     return found.select("id", F.col("community").cast("long")).unionByName(tied.select("id", F.col("community").cast("long"))).unionByName(alone.select("id", first.alias("community")))
 
 
-def detect(nodes: DataFrame, edges: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
+def detect(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, community): communities, numbered by their first member in order of ids.
 
-    Labels move along links only, so components are independent, and each is swept in one task in order
-    of its nodes' global ranks. A component of over ``task_links`` links is swept in rounds instead,
-    all nodes at once, where a node only takes a smaller label or a heavier one every other round; large
-    communities are split and small ones merged there as well. The order of moves can still tell.
+    Labels are propagated in rounds, all nodes at once; a node only takes a smaller label or, every other
+    round, a heavier one. Large communities are split and small ones merged. It is one way at every
+    size: nothing is gathered but a community's number.
     """
-    ship(nodes.sparkSession)
     links = cut(link_weights(edges))
-    groups = cut(connected_components(links, "a", "b"))
-    n_all = nodes.count()
-    linked = links.join(groups.select(F.col("node").alias("a"), "component"), "a")
-    sizes = cut(linked.groupBy("component").agg(F.count("*").alias("n")))
-    small = linked.join(sizes.filter(F.col("n") <= task_links), "component", "left_semi")
-
-    def sweep(frame: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, dict[str, int]] = {}
-        for a, b, w in zip(frame["a"], frame["b"], frame["weight"], strict=True):
-            near.setdefault(a, {})[b] = w
-            near.setdefault(b, {})[a] = w
-        order = sorted(near)
-        label = partition(order, near, {v: k for k, v in enumerate(order)}, n_all)
-        first: dict[int, str] = {}
-        for v in order:
-            first.setdefault(label[v], v)
-        return pd.DataFrame({"id": order, "lead": [first[label[v]] for v in order]})
-
-    found = small.groupBy("component").applyInPandas(sweep, "id string, lead string")
-    big = sizes.filter(F.col("n") > task_links).select("component")
-    if not big.isEmpty():
-        found = found.unionByName(_rounds(linked.join(big, "component", "left_semi").select("a", "b", "weight"), n_all))
+    found = _rounds(links, nodes.count())
     alone = nodes.select("id").join(found.select("id"), "id", "left_anti").withColumn("lead", F.col("id"))
     every = cut(found.unionByName(alone))
     # Communities are numbered by their leads: first members in order of ids.
-    leads = every.select("lead").distinct()
-    return every.join(leads.withColumn("community", F.row_number().over(Window.orderBy("lead")) - 1), "lead").select("id", "community")
+    leads = cut(every.select("lead").distinct())
+    return every.join(_numbered(leads), "lead").select("id", "community")
+
+
+def _numbered(leads: DataFrame) -> DataFrame:
+    """(lead, community): the place of each lead in order, from ranges whose counts are summed first."""
+    dealt = cut(leads.repartitionByRange("lead").withColumn("part", F.spark_partition_id()))
+    counts = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    ahead = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("part", F.coalesce(ahead, F.lit(0)).alias("start"))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("lead"))
+    return dealt.withColumn("nth", nth).join(F.broadcast(starts), "part").select("lead", (F.col("start") + F.col("nth") - 1).cast("int").alias("community"))
 
 
 def _labels(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -168,7 +91,7 @@ def _led(label: DataFrame) -> DataFrame:
 
 
 def _rounds(links: DataFrame, n_all: int) -> DataFrame:
-    """(id, lead) as ``partition`` of components too large for one task: rounds, splits and merges in Spark.
+    """(id, lead) of the linked nodes: a sweep, splits of what is too large, merges of what is too small.
 
     Several small communities join their neighbours at once: those that come before all small ones next to them.
     """
