@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft import cli, sinks
-from weft.operators import analytics, communities, memory, retrieve, traverse
+from weft.operators import analytics, communities, memory, retrieve, stages, traverse
 from weft.sources import graph as tables, office
 from tests.test_graph import graph
 
@@ -126,3 +126,26 @@ def test_queries_of_retrieval_take_all_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(queries_more.g, "entity_nodes", lambda *_: nodes)
     found = queries.QUERIES["did_you_mean"](spark, "").collect()
     assert [r["label"] for r in found] == ["germny", "GERMANY"]
+
+
+def test_labels_of_communities_are_asked_for_once(spark):
+    members = spark.createDataFrame([(f"n{k}", k // 4, f"name {k % 3}") for k in range(14)], "id string, community long, label string")
+    none = spark.createDataFrame([], "community long, member_hash string, summary string, fingerprint string, source string, label string")
+    asked = []
+    answer = lambda summary: asked.append(summary) or (f"about {summary}" if len(asked) != 2 else "")
+    first = stages.label_communities(members, none, "m1", answer)
+    assert len(asked) == 3 and first.count() == 2  # the last community is too small, and one answer failed
+    again = stages.label_communities(members, first, "m1", answer)
+    assert len(asked) == 4 and again.count() == 3
+    assert stages.label_requests(members, again, "m1").count() == 0 and stages.label_requests(members, again, "m2").count() == 3
+    moved = members.filter("id <> 'n0'")
+    assert [r["community"] for r in stages.label_requests(moved, again, "m1").collect()] == [0]
+    assert stages.label_requests(members.limit(0), again, "m1").count() == 0
+
+
+def test_deep_links_need_both_ends(spark):
+    c = spark.createDataFrame([("c1", "x")], "id string, label string")
+    s = spark.createDataFrame([("f", 1, "s1"), ("f", 2, "s2")], "source_file string, nth int, id string")
+    proposed = spark.createDataFrame([("c1", "s1"), ("c1", "s1"), ("s2", "c1"), ("c1", "gone"), ("s1", "s1"), (None, "s1")], "source string, target string")
+    got = stages.deep_links(c, s, proposed).collect()
+    assert sorted((r["source"], r["target"], r["confidence"], r["confidence_score"], r["context"]) for r in got) == [("c1", "s1", "INFERRED", 0.5, "deep"), ("s2", "c1", "INFERRED", 0.5, "deep")]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -51,10 +52,15 @@ def _parameters() -> tuple[np.ndarray, np.ndarray]:
 A, B = _parameters()
 
 
+@lru_cache(maxsize=1 << 16)
+def _trigram_hash(trigram: str) -> int:
+    return fnv1a(trigram.encode())
+
+
 def shingles(label: str) -> np.ndarray:
     """Hashes of the character trigrams without white space; a shorter label is padded on the left."""
     text = "".join(label.split()).rjust(3, "^")
-    return np.array([fnv1a(text[i : i + 3].encode()) for i in range(len(text) - 2)], np.uint64)
+    return np.array([_trigram_hash(text[i : i + 3]) for i in range(len(text) - 2)], np.uint64)
 
 
 def signature(label: str) -> np.ndarray:
@@ -65,13 +71,18 @@ def signature(label: str) -> np.ndarray:
 @F.pandas_udf(ArrayType(LongType()))
 def band_keys(labels: pd.Series) -> pd.Series:
     """The 16 band keys of each label's MinHash signature, as signed longs."""
-    rows = PERMUTATIONS // BANDS
-
-    def keys(label: str) -> list[int]:
-        sig = signature(label).astype("<u8")
-        return [int(np.uint64(fnv1a(sig[k * rows : (k + 1) * rows].tobytes())).astype(np.int64)) for k in range(BANDS)]
-
-    return labels.map(lambda s: None if s is None else keys(s))
+    known = [k for k, s in enumerate(labels) if s is not None]
+    out: list[np.ndarray | None] = [None] * len(labels)
+    if known:
+        sigs = np.array([signature(labels.iloc[k]) for k in known], "<u8")
+        octets = sigs.view(np.uint8).reshape(len(known) * BANDS, -1)
+        # FNV-1a of all bands in step.
+        value = np.full(len(octets), FNV_START, np.uint64)
+        for column in octets.T:
+            value = (value ^ column) * np.uint64(FNV_PRIME)
+        for k, keys in zip(known, value.view(np.int64).reshape(-1, BANDS), strict=True):
+            out[k] = keys
+    return pd.Series(out, dtype=object)
 
 
 def jaro_winkler_of(a: str, b: str) -> float:

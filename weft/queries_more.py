@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weft import sinks
 from weft.functions import evidence, text
-from weft.operators import analytics as an, memory, merge, resolve, retrieve, traverse
+from weft.operators import analytics as an, memory, merge, resolve, retrieve, stages, traverse
 from weft.queries import QUERIES, _graph, _r, register
 from weft.sources import discovery, graph as g
 
@@ -228,4 +228,41 @@ def health_report(spark, sf_dir):
     return dead.select("id", F.lit("dead").alias("finding")).unionByName(hubs.select("id", F.lit("hub").alias("finding")))
 
 
+@register("digest", """, c AS (SELECT CAST(community AS VARCHAR) AS name, count(*) AS size FROM every WHERE community IS NOT NULL GROUP BY community),
+  h AS (SELECT id AS name, CAST(degree AS BIGINT) AS size FROM every JOIN deg USING (id) WHERE file_type NOT IN ('stub', 'reference') AND degree >= (SELECT greatest(quantile_disc(degree, 0.95), 10) FROM deg)),
+  a AS (SELECT 'communities' AS section, * FROM c UNION ALL SELECT 'hubs', * FROM h), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY section ORDER BY size DESC, name) AS INT) AS nth FROM a)
+  SELECT section, nth, name, size FROM r WHERE nth <= 5""")
+def digest(spark, sf_dir):
+    return stages.digest(*_graph(spark, sf_dir))
+
+
+@register("label_requests", """, g AS (SELECT community, count(*) AS size, sha256(string_agg(id || chr(10), '' ORDER BY id)) AS member_hash, list_sort(list(DISTINCT coalesce(label, id))) AS labels FROM every WHERE community IS NOT NULL GROUP BY community)
+  SELECT community, size, member_hash, array_to_string(labels[1:5], ', ') AS summary FROM g WHERE size >= 3 AND community % 2 = 0""")
+def label_requests(spark, sf_dir):
+    n, _ = _graph(spark, sf_dir)
+    every = stages.label_requests(n, spark.createDataFrame([], "community long, member_hash string, summary string, fingerprint string, source string"), "m1")
+    cache = every.select("community", "member_hash", "summary", F.lit("m1").alias("fingerprint"), F.when(F.col("community") % 2 == 1, "llm").otherwise("heuristic").alias("source"))
+    return stages.label_requests(n, cache, "m1")
+
+
+@register("deep_links", """, near AS (SELECT id, count(DISTINCT other) AS near FROM (SELECT source AS id, target AS other FROM edges UNION ALL SELECT target, source FROM edges) GROUP BY id),
+  r AS (SELECT id, row_number() OVER (PARTITION BY source_file ORDER BY coalesce(near, 0) DESC, label, id) AS nth FROM nodes LEFT JOIN near USING (id)), k AS (SELECT id FROM r WHERE nth <= 60)
+  SELECT DISTINCT source, target, 'relates_to' AS relation, 'INFERRED' AS confidence, CAST(0.5 AS DOUBLE) AS confidence_score, 'deep' AS context FROM edges WHERE source <> target AND source IN (FROM k) AND target IN (FROM k)""")
+def deep_links(spark, sf_dir):
+    n, e = g.entity_nodes(spark, sf_dir), g.entity_edges(spark, sf_dir)
+    return stages.deep_links(*stages.deep_link_prompts(n, e), e)
+
+
+@table_sql("cost_report", """SELECT event_type AS stage, CASE WHEN user_id % 2 = 0 THEN 'small' ELSE 'large' END AS model, count(*) AS calls, CAST(sum(event_id % 100) AS BIGINT) AS tokens_in, CAST(sum(event_id % 10) AS BIGINT) AS tokens_out,
+  round(CASE WHEN user_id % 2 = 0 THEN (sum(event_id % 100) * 2.0 + sum(event_id % 10) * 8.0) / 1e6 END, 9) AS cost, CAST(sum(user_id % 5) AS BIGINT) AS seconds FROM events GROUP BY event_type, user_id % 2""")
+def cost_report(spark, sf_dir):
+    e = g.table(spark, sf_dir, "events").selectExpr("event_type AS stage", "CASE WHEN user_id % 2 = 0 THEN 'small' ELSE 'large' END AS model", "event_id % 100 AS tokens_in", "event_id % 10 AS tokens_out", "user_id % 5 AS seconds")
+    return stages.cost_report(e, {"small": (2.0, 8.0)}).withColumn("cost", _r("cost", 9))
+
+
+@table_sql("newest_events", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 20")
+def newest_events(spark, sf_dir):
+    return stages.newest(g.table(spark, sf_dir, "events").select("event_id", "ts"), at="ts")
+
+
 __all__ = ["QUERIES"]
