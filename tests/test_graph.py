@@ -182,10 +182,20 @@ def test_large_components_are_split_and_merged_as_well(spark):
     assert got == want and len(set(want.values())) == 3 and want["z0q"] == want["a0"]
 
 
+def test_resolution_keeps_nodes_that_are_torn(spark):
+    edges = [(f"{c}{i}", f"{c}{j}") for c in "ab" for i in range(4) for j in range(i)] + [("m", "a0"), ("m", "a1"), ("m", "b0")]
+    nodes, e = graph(spark, edges)
+    loose = {r["id"]: r["community"] for r in communities.detect(nodes, e).collect()}
+    assert loose["m"] == loose["a0"] != loose["b0"]
+    # Two of three neighbours are a share of 0.67; a pair that is too small still joins in the end.
+    alone = {r["id"]: r["lead"] for r in communities._labels(communities.link_weights(e), 0.7).collect()}
+    assert alone["m"] == "m"
+
+
 def test_large_components_split_what_is_oversized(spark, monkeypatch):
     calls, plain = [], communities._labels
     # The first sweep leaves all in one community; the split has to part the cliques.
-    monkeypatch.setattr(communities, "_labels", lambda links: calls.append(1) or (plain(links) if len(calls) > 1 else plain(links).withColumn("lead", F.lit("a0"))))
+    monkeypatch.setattr(communities, "_labels", lambda links, r: calls.append(1) or (plain(links, r) if len(calls) > 1 else plain(links, r).withColumn("lead", F.lit("a0"))))
     cliques = [(f"{c}{x}", f"{c}{y}") for c in "ab" for x in range(6) for y in range(x)]
     nodes, e = graph(spark, [*cliques, ("a5", "b5", "calls", "AMBIGUOUS")])
     got = {r["id"]: r["community"] for r in communities.detect(nodes, e).collect()}

@@ -44,15 +44,18 @@ def detect_without_hubs(nodes: DataFrame, edges: DataFrame, **how) -> DataFrame:
     return found.select("id", F.col("community").cast("long")).unionByName(tied.select("id", F.col("community").cast("long"))).unionByName(alone.select("id", first.alias("community")))
 
 
-def detect(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def detect(nodes: DataFrame, edges: DataFrame, resolution: float = 0.0) -> DataFrame:
     """(id, community): communities, numbered by their first member in order of ids.
 
+    A node only takes a label that holds at least ``resolution`` of the weight around it: at 0 the
+    heaviest wins whatever its share, at 1 all neighbours have to agree.
+
     Labels are propagated in rounds, all nodes at once; a node only takes a smaller label or, every other
     round, a heavier one. Large communities are split and small ones merged. It is one way at every
     size: nothing is gathered but a community's number.
     """
     links = cut(link_weights(edges))
-    found = _rounds(links, nodes.count())
+    found = _rounds(links, nodes.count(), resolution)
     alone = nodes.select("id").join(found.select("id"), "id", "left_anti").withColumn("lead", F.col("id"))
     every = cut(found.unionByName(alone))
     # Communities are numbered by their leads: first members in order of ids.
@@ -70,14 +73,16 @@ def _numbered(leads: DataFrame) -> DataFrame:
     return dealt.withColumn("nth", nth).join(F.broadcast(starts), "part").select("lead", (F.col("start") + F.col("nth") - 1).cast("int").alias("community"))
 
 
-def _labels(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def _labels(links: DataFrame, resolution: float = 0.0, rounds: int = ROUNDS) -> DataFrame:
     """(id, lead) of label propagation in rounds, until no node would move; a community's lead is its first member."""
     both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
     label = both.select(F.col("a").alias("id")).distinct().withColumn("lead", F.col("id"))
     for k in range(rounds):
         tally = both.join(label.select(F.col("id").alias("b"), "lead"), "b").groupBy("a", "lead").agg(F.sum("weight").alias("weight"))
-        best = tally.groupBy(F.col("a").alias("id")).agg(F.min(F.struct((-F.col("weight")).alias("w"), "lead")).alias("m"))
-        new = label.join(best, "id").select("id", F.when((F.col("m.lead") < F.col("lead")) | F.lit(k % 2 == 1), F.col("m.lead")).otherwise(F.col("lead")).alias("lead"), (F.col("m.lead") != F.col("lead")).alias("pulled"))
+        best = tally.groupBy(F.col("a").alias("id")).agg(F.min(F.struct((-F.col("weight")).alias("w"), "lead")).alias("m"), F.sum("weight").alias("total"))
+        pulled = (F.col("m.lead") != F.col("lead")) & (-F.col("m.w") >= resolution * F.col("total"))
+        moves = pulled & ((F.col("m.lead") < F.col("lead")) | F.lit(k % 2 == 1))
+        new = label.join(best, "id").select("id", F.when(moves, F.col("m.lead")).otherwise(F.col("lead")).alias("lead"), pulled.alias("pulled"))
         new = cut(new)
         label = new.select("id", "lead")
         if new.filter("pulled").isEmpty():
@@ -90,13 +95,13 @@ def _led(label: DataFrame) -> DataFrame:
     return cut(label.join(firsts, "lead").select("id", F.col("first").alias("lead")))
 
 
-def _rounds(links: DataFrame, n_all: int) -> DataFrame:
+def _rounds(links: DataFrame, n_all: int, resolution: float = 0.0) -> DataFrame:
     """(id, lead) of the linked nodes: a sweep, splits of what is too large, merges of what is too small.
 
     Several small communities join their neighbours at once: those that come before all small ones next to them.
     """
     links = cut(links)
-    label = _labels(links)
+    label = _labels(links, resolution)
 
     def ends(of: DataFrame) -> DataFrame:
         """The links with their ends' leads, la and lb."""
@@ -108,7 +113,7 @@ def _rounds(links: DataFrame, n_all: int) -> DataFrame:
         if large.isEmpty():
             break
         members = label.join(large, "lead", "left_semi")
-        fresh = _labels(ends(members).filter("la = lb").select("a", "b", "weight")).toDF("id", "fresh")
+        fresh = _labels(ends(members).filter("la = lb").select("a", "b", "weight"), resolution).toDF("id", "fresh")
         split = cut(members.join(fresh, "id", "left").select("id", "lead", F.coalesce("fresh", "id").alias("fresh")))
         parted = split.groupBy("lead").agg(F.countDistinct("fresh").alias("n")).filter("n > 1")
         if parted.isEmpty():
