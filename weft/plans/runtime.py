@@ -54,7 +54,8 @@ def stored(df: DataFrame) -> Iterator[DataFrame]:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Dictionaries don't help hashes, which such tables mostly hold.
+    df.write.option("parquet.enable.dictionary", "false").parquet(path)
     try:
         yield spark.read.parquet(path)
     finally:
