@@ -27,8 +27,8 @@ from weft.plans.runtime import cut, reclaim, ship, stored
 SIMILARITY = 0.8
 #: SimHash bits in which linked lines of WORDY characters or more may differ: 99.8 % of similar pairs do.
 BUDGET = 20
-#: Share of their different words that such lines must have in common; similar ones have 0.7 or more as a rule.
-SHARED = 0.5
+#: Share of their different pairs of neighbouring words that such lines must have in common; 99.7 % of similar pairs do.
+SHARED = 0.55
 #: Characters up to which lines meet by what is left of them without up to two characters: all similar ones do.
 SHORT = 14
 #: Lines of fewer characters meet by runs of five characters, lines of WORDY or more by pairs of words. Similar
@@ -38,7 +38,6 @@ LETTERED, WORDY = 75, 48
 LETTER_BANDS, WORD_BANDS, MINIMA = 24, 10, 3
 _RANDOM = np.random.default_rng(12)
 _TIMES = _RANDOM.integers(0, 1 << 31, MINIMA * LETTER_BANDS, np.uint32) * np.uint32(2) + np.uint32(1)
-_PLUS = _RANDOM.integers(0, 1 << 32, MINIMA * LETTER_BANDS, np.uint32)
 #: Characters of lines that are hashed at once.
 PIECE = 1 << 19
 #: Rows of a unit above which it is split into pairs of parts of so many rows.
@@ -116,17 +115,21 @@ def _bands(features: np.ndarray, counts: np.ndarray, bands: int) -> np.ndarray:
     for band in range(bands):
         key = np.full(len(counts), np.uint64(bands << 16 | band))
         for k in range(MINIMA * band, MINIMA * band + MINIMA):
-            key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(small * _TIMES[k] + _PLUS[k], starts))
+            key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(small * _TIMES[k], starts))
         out[:, band] = key
     return out
 
 
-def _word_bands(lines: list[str]) -> np.ndarray:
-    """Bands of the pairs of neighbouring words, where a line's begin and end count as words."""
+def _word_pairs(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the pairs of neighbouring words, where a line's begin and end count as words, and their number by line."""
     hashes, counts = _word_hashes(lines)
     firsts = np.cumsum(counts) - counts
     before, after = np.insert(hashes, firsts, np.uint64(1)), np.insert(hashes, firsts + counts, np.uint64(2))
-    return _bands(_mixed(before * np.uint64(0x9E3779B97F4A7C15) + after), counts + 1, WORD_BANDS)
+    return _mixed(before * np.uint64(0x9E3779B97F4A7C15) + after), counts + 1
+
+
+def _word_bands(lines: list[str]) -> np.ndarray:
+    return _bands(*_word_pairs(lines), WORD_BANDS)
 
 
 def _letter_bands(lines: list[str]) -> np.ndarray:
@@ -303,7 +306,7 @@ def _plausible(size_a: np.ndarray, size_b: np.ndarray, sim_a: np.ndarray, sim_b:
 
 
 def _share_words(texts: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Pairs of lines of which one is short, or that have SHARED of the different words of either in common."""
+    """Pairs of lines of which one is short, or that have SHARED of the different word pairs of either in common."""
     out = np.fromiter((len(x) < WORDY for x in texts), bool, len(texts))
     out = out[a] | out[b]
     ask = np.flatnonzero(~out)
@@ -313,7 +316,7 @@ def _share_words(texts: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     words = [np.zeros(0, np.uint64)] * len(texts)
     at = 0
     for some in _bulks([texts[k] for k in used.tolist()]):
-        hashes, counts = _word_hashes(some)
+        hashes, counts = _word_pairs(some)
         for part in np.split(hashes, np.cumsum(counts)[:-1]):
             part = np.sort(part)
             words[used[at]] = part[np.r_[True, part[1:] != part[:-1]]]
@@ -425,7 +428,7 @@ def _linked_across(met: DataFrame, items: DataFrame, links: DataFrame) -> DataFr
 def line_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(code, k2, component) of the lines that are linked to another; ``rows`` as of ``line_rows``.
 
-    Lines link if they meet in a unit, their SimHashes differ in at most BUDGET bits and they share words
+    Lines link if they meet in a unit, their SimHashes differ in at most BUDGET bits and they share word pairs
     (both unless they are short), and their edit similarity is SIMILARITY or more. Equal lines are one line from the start. Lines are compared with
     their units' leads first; and then with what they aren't connected to by then, so that a group of
     near copies costs its size and not its square.
