@@ -1,5 +1,6 @@
 """Reading trees, prose and code; storing, exporting and streaming."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from weft import sinks
@@ -125,3 +126,20 @@ def test_feedback_stream_counts_once(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     got = feedback.drain(feedback.pair_counts(stream), "pairs", "complete", str(tmp_path / "c")).collect()
     assert [(r["source"], r["hits"]) for r in got] == [("a", 2)]
+
+
+@pytest.mark.parametrize(("lines", "left_out", "kept"), [
+    ("*.log\n!keep.log", ["a.log", "x/y.log"], ["keep.log", "x/keep.log", "a.logs"]), ("/top.py", ["top.py"], ["x/top.py"]), ("gen/", ["gen/a.py", "x/gen/b/c.py"], ["gen", "x/gen.py"]),
+    ("doc/*.txt", ["doc/a.txt"], ["doc/x/a.txt", "x/doc/a.txt"]), ("**/tmp", ["tmp", "a/b/tmp/c"], ["tmpx"]), ("a/**", ["a/b", "a/b/c"], ["a", "b/a/c"]), ("a/**/b", ["a/b", "a/x/y/b"], ["ab"]),
+    ("gen/\n!gen/keep.py", ["gen/keep.py"], []), ("# note\n\n\\#x\n[!ab]?.c", ["#x", "cd.c"], ["ad.c", "# note"]), ("sp\\ ", ["sp "], ["sp"]), ("/*\n!/src", ["x.py", "lib/x.py"], ["src/x.py"]),
+])
+def test_ignore_files(lines, left_out, kept):
+    rules = discovery.ignore_rules(lines)
+    assert [p for p in left_out if not discovery.is_ignored(p, rules)] == [] and [p for p in kept if discovery.is_ignored(p, rules)] == []
+
+
+def test_trees_without_what_is_ignored(spark, tmp_path):
+    for name, text in {".gitignore": "*.gen.py\nold/", "a.py": "x", "b.gen.py": "x", "old/c.py": "x", "sub/.gitignore": "d.py\n!e.gen.py", "sub/d.py": "x", "sub/e.gen.py": "x", "sub/f.py": "x", "d.py": "x"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    assert sorted(r["path"] for r in discovery.read_tree(spark, str(tmp_path)).collect()) == ["a.py", "d.py", "sub/e.gen.py", "sub/f.py"]
