@@ -46,6 +46,8 @@ UNIT_ROWS = 256
 FRAME_ROWS, PAIRS, COMPARED = 16_000, 1_000_000, 8192
 #: What str.split() takes for space.
 _BLANKS = r"[\t\n\x0B\f\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+#: Bytes of batches that are put together to be compared at once.
+GATHERED = 16 << 20
 #: Bits of the filter that finds wanted lines again: it only saves work, and its words reach the driver.
 FILTER_BITS = 1 << 24
 
@@ -208,12 +210,24 @@ def _text_lines(texts: pa.Array) -> Iterator[tuple[list[int], list[int], list[st
         yield rows, numbers, lines
 
 
-def _in_batches(docs: DataFrame, work: Callable[[pa.RecordBatch, set], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``work`` on batches; it gets a set, for lines that the task has had, which is emptied when it is large."""
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have so many rows, or GATHERED bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= rows or sum(x.nbytes for x in held) >= GATHERED:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _in_batches(docs: DataFrame, work: Callable[[pa.RecordBatch, set], Iterator[pa.RecordBatch]], schema: str, rows: int = 1) -> DataFrame:
+    """``work`` on batches of ``rows`` or more; it gets a set, for lines that the task has had, which is emptied when it is large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
-        for batch in batches:
+        for batch in _gathered(batches, rows) if rows > 1 else batches:
             yield from work(batch, seen)
             if len(seen) > 200_000:
                 seen.clear()
@@ -349,7 +363,7 @@ def _linked_leads(met: DataFrame, items: DataFrame) -> DataFrame:
         good = some[alike([x[k] for k in some.tolist()], [y[k] for k in some.tolist()])]
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good)), batch.column(1).take(pa.array(good))], ["a", "b"])
 
-    return _in_batches(both, work, "a long, b long")
+    return _in_batches(both, work, "a long, b long", COMPARED)
 
 
 def _across(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
