@@ -1,6 +1,7 @@
 """Mixing, sharding, URL filters and quality rules against plain Python."""
 
 import collections
+import glob
 import hashlib
 import math
 import re
@@ -131,6 +132,26 @@ def test_shards_are_written_in_order(spark, tmp_path):
     assert order != sorted(order)
 
 
+def test_sharding_query_writes_whole_records(spark, tmp_path):
+    from weft.llm.queries import QUERIES
+    from weft.plans.runtime import checkpoint_dir
+
+    folders = lambda: set(glob.glob(checkpoint_dir(spark).removeprefix("file:") + "/shards-*"))
+    for k, rows in enumerate((some_docs(100), [])):
+        docs(spark, rows).write.parquet(str(tmp_path / str(k) / "documents.parquet"))
+        before = folders()
+        out = QUERIES["op6_sharding"](spark, str(tmp_path / str(k)))
+        (made,) = folders() - before
+        assert dict(out.dtypes) == {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"}
+        back = sharding.read_shards(docs(spark, []), made).collect()
+        key = lambda x: sorted(map(repr, x))
+        assert key((r["doc_id"], r["text"], r["source"]) for r in back) == key(rows)
+        crc = lambda t: (len((t or "").encode()) + 16, zlib.crc32((t or "").encode()))
+        want = [(r["doc_id"], *crc(r["text"]), "rows", r["shard"], r["slot"], None) for r in back]
+        assert key(map(tuple, out.collect())) == key(want)
+        assert len({(r["shard"], r["slot"]) for r in back}) == len(rows)
+
+
 @pytest.mark.parametrize(("url", "host", "path", "rule", "verdict"), [
     ("http://A.Example.COM/en/70?x#y", "a.example.com", "/en/70", "example.com/en/7", "allow"), ("x://shop.com/en/1", "shop.com", "/en/1", "com/en/", "block"),
     ("http://notexample.net/de/8", "notexample.net", "/de/8", "net/de/", "allow"), ("http://example.net/de/81", "example.net", "/de/81", "example.net/de/8", "block"),

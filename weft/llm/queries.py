@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weft.llm import bpe, langid, lines, media, mixing, quality, secrets, sharding, simhash, urls
 from weft.llm.common import table
 from weft.llm.oracles import ORACLE_SQL
+from weft.plans.runtime import checkpoint_dir
 
 __all__ = ["ORACLE_SQL", "QUERIES", "public_bpe"]
 
@@ -46,9 +49,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sharding.record_digest(table(spark, sf_dir, "documents"))
-    sharded = sharding.shard_records(rows, ["doc_id", "size", "text_crc32"])
-    return sharded.withColumn("grown_shard", F.lit(None).cast("int"))
+    docs = table(spark, sf_dir, "documents")
+    path = f"{checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
+    sharding.write_shards(docs, path)
+    # What the result says of a record is read from its shard; the files stay, as the caller reads them.
+    stored = sharding.record_digest(sharding.read_shards(docs, path), "law", "shard", "slot")
+    return stored.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
