@@ -407,6 +407,35 @@ def test_similar_texts_match_brute_force(spark):
     assert simhash.drop_similar(spark.createDataFrame([(None, "x y z"), (None, "x y z"), (2, None), (1, "")], DOC)).count() == 2
 
 
+def test_tries_propose_what_is_compared(spark, monkeypatch):
+    """Pairs come from SimHashes of the shingles, by tries: with no bit to differ, only sets of one SimHash link."""
+    r = random.Random(5)
+    base = [str(r.random()) for _ in range(100)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:-1], "x"])), (3, " ".join([*base[:-2], "y", "z"]))]
+    sets = list(simhash.shingle_sets([t for _, t in rows]))
+    sims = simhash.set_fingerprints([*sets, sets[0][:0], np.tile(sets[0], 9)]).tolist()
+    for x, sim in zip(sets, sims, strict=False):
+        bits = [sum(int(h) >> k & 1 for h in x) * 2 > len(x) for k in range(64)]
+        assert sim == sum(1 << k for k, b in enumerate(bits) if b)
+    assert sims[3] == 0 and sims[4] == sims[0] and len(set(sims[:3])) == 3
+    df = spark.createDataFrame(rows, DOC)
+    assert [x["doc_id"] for x in simhash.drop_similar(df).collect()] == [1]
+    monkeypatch.setattr(simhash, "BUDGET", 0)
+    assert simhash.drop_similar(df).count() == 3
+
+
+def test_tries_across_components():
+    r = np.random.default_rng(4)
+    n = 400
+    sims = np.where(r.random(n) < 0.5, 7, r.integers(0, 1 << 63, n)).astype(np.uint64) ^ (np.uint64(1) << r.integers(0, 40, n).astype(np.uint64))
+    frame = pd.DataFrame({"unit": r.integers(0, 3, n), "component": r.integers(0, 30, n), "code": np.arange(n) * 3, "sim": sims.view(np.int64)})
+    got = pd.concat(hamming._near_across(26)(frame))
+    rows = list(zip(frame["unit"], frame["component"], frame["code"], sims.tolist(), strict=True))
+    want = [(x[2], y[2]) for k, x in enumerate(rows) for y in rows[k + 1 :] if x[0] == y[0] and x[1] != y[1] and (x[3] ^ y[3]).bit_count() <= 26]
+    assert sorted(zip(got["a"], got["b"], strict=True)) == sorted(want) and len(want) > 1000
+    assert not list(hamming._near_across(26)(frame[:0]))
+
+
 def test_pairs_across_components():
     frame = pd.DataFrame({"unit": [1, 1, 1, 1, 2, 2], "component": [7, 7, 8, 9, 3, 3], "code": [7, 11, 8, 9, 3, 4]})
     got = pd.concat(hamming._across(frame))

@@ -85,6 +85,7 @@ def by_unit(units: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame | Iter
             held, n = [whole.iloc[edge:]], len(whole) - edge
             if edge:
                 yield from frames(work(whole.iloc[:edge].reset_index(drop=True)))
+            del whole
         if held:
             yield from frames(work(pd.concat(held, ignore_index=True)))
         held.clear()
@@ -113,19 +114,33 @@ def _across(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         at = to
 
 
-def linked_in_units(met: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _near_across(budget: int) -> Callable[[pd.DataFrame], Iterator[pd.DataFrame]]:
+    """As ``_across``, of codes whose fingerprints (``sim``) differ in at most ``budget`` bits: a trie of each component is joined with the unit's others."""
+
+    def work(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        sims = frame["sim"].to_numpy().view(np.uint64)
+        order = np.lexsort((sims, frame["component"].to_numpy(), frame["unit"].to_numpy()))
+        unit, part, codes, sims = frame["unit"].to_numpy()[order], frame["component"].to_numpy()[order], frame["code"].to_numpy()[order], sims[order]
+        for i, j in trie_pairs(unit, sims, budget, PAIRS, part):
+            yield pd.DataFrame({"a": np.minimum(codes[i], codes[j]), "b": np.maximum(codes[i], codes[j])})
+
+    return work
+
+
+def linked_in_units(met: DataFrame, alike: Callable[[DataFrame], DataFrame], budget: int) -> DataFrame:
     """(a, b) links that connect what all links inside units would; ``alike`` keeps the pairs (a, b) that are links.
 
-    ``met`` has unit, code and lead, the unit's smallest code. Codes are compared with their lead first;
-    then, within each unit, with all codes that are not connected to them by then. So a group of near
-    copies costs its size and not its square, and no pair is left out unless it is connected already.
+    ``met`` has unit, code, sim (the code's fingerprint) and lead, the unit's smallest code. Codes are
+    compared with their lead first; then, within each unit, tries of the fingerprints give the codes
+    that are within ``budget`` bits and not connected by then. So a group of near copies costs its size
+    and not its square, and no such pair is left out unless it is connected already.
     """
     stars = cut(met.filter("code <> lead").select(F.col("lead").alias("a"), F.col("code").alias("b")).distinct())
     links = alike(stars)
     groups = connected_components(links, "a", "b").withColumnRenamed("node", "code")
-    named = cut(met.join(groups, "code", "left").select("unit", "code", F.coalesce("component", "code").alias("component")))
+    named = cut(met.join(groups, "code", "left").select("unit", "code", "sim", F.coalesce("component", "code").alias("component")))
     mixed = named.groupBy("unit").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    rest = by_unit(named.join(mixed.select("unit"), "unit", "left_semi"), _across, "a long, b long").distinct()
+    rest = by_unit(named.join(mixed.select("unit"), "unit", "left_semi"), _near_across(budget), "a long, b long").distinct()
     return links.unionByName(alike(rest.join(stars, ["a", "b"], "left_anti")))
 
 
@@ -160,23 +175,50 @@ class Groups:
             np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
 
 
-def trie_pairs(unit: np.ndarray, codes: np.ndarray, budget: int = 3, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _run_pairs(unit: np.ndarray, part: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(begin, end, begin, end) of two runs of one part in the same unit, for each two, in bulks."""
+    ends = np.flatnonzero(np.r_[(unit[1:] != unit[:-1]) | (part[1:] != part[:-1]), True]) + 1
+    begins = np.r_[0, ends[:-1]]
+    n = len(ends)
+    last = np.flatnonzero(np.r_[unit[begins[1:]] != unit[begins[:-1]], True]) + 1
+    partners = np.repeat(last, np.diff(np.r_[0, last])) - np.arange(n) - 1
+    at, sums = 0, np.cumsum(partners)
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + most, side="right")))
+        p = partners[at:to]
+        i = np.repeat(np.arange(at, to), p)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(p) - p, p)
+        yield begins[i], ends[i], begins[j], ends[j]
+        at = to
+
+
+def trie_pairs(unit: np.ndarray, codes: np.ndarray, budget: int = 3, most: int = 2_000_000, part: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of codes in the same unit with at most ``budget`` differing bits, in bulks.
 
+    With ``part``, by which codes are sorted within units, each part has a trie of its own, which is
+    joined with those of the unit's other parts, and not with itself.
+
     A binary trie over codes that are sorted in each unit, as ranges: a node of depth d is a range
     whose first d bits agree, and its children are the range's zeros and ones. Pairs of nodes go down
     together from each unit's root with itself; a pair whose branches differ has one more error, and
     is dropped beyond the budget. Two leaves are compared outright. The work list is cut into pieces
     of ``most`` pairs, deepest first, so that memory stays bounded.
     """
-    n = len(codes)
+    if not len(codes):
+        return
     edges = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1], True])
     start, end = edges[:-1], edges[1:]
     wide = end - start > 1
     start, end = start[wide], end[wide]
     ones: dict[int, np.ndarray] = {}
-    stack = [(0, start, end, start, end, np.zeros(len(start), np.int8))]
-    while stack:
+    roots = iter([(start, end, start, end)]) if part is None else _run_pairs(unit, part, most)
+    stack = []
+    while True:
+        if not stack:
+            root = next(roots, None)
+            if root is None:
+                return
+            stack.append((0, *root, np.zeros(len(root[0]), np.int8)))
         depth, a0, a1, b0, b1, err = stack.pop()
         if len(a0) > most:
             half = len(a0) // 2
