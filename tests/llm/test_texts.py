@@ -159,6 +159,20 @@ def scanned(ranks, piece):
     return struct.pack(f"<{len(parts)}I", *(ranks[x] for x in parts))
 
 
+def test_idle_workers_hold_no_tables(spark):
+    """Workers are used again, by other stages as well."""
+    df = spark.range(16).select(F.col("id").alias("doc_id"), F.concat(F.lit("some text "), "id").alias("text")).repartition(4)
+    assert bpe.encode_texts(df, *public_bpe(), "sha256").agg(F.sum(F.octet_length("token_ids"))).first()[0] > 0
+
+    def held(batches):
+        from weft.llm import bpe
+
+        for batch in batches:
+            yield pd.DataFrame({"n": [bpe.codec.cache_info().currsize]})
+
+    assert {r["n"] for r in spark.range(0, 64, 1, 16).mapInPandas(held, "n long").collect()} == {0}
+
+
 def test_bpe_with_ranks_of_any_order(tmp_path):
     """Ranks that no training gives, where a merge may give a pair of a smaller rank; alone, and in step with others."""
     r = random.Random(5)

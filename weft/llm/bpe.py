@@ -399,7 +399,8 @@ def encode_texts(docs: DataFrame, rank_file: str, pattern: str, decode: str | No
             found["decoded_sha256"] = [own.decoded_sha256(x) for x in ids]
         return pd.DataFrame(found, dtype=object)
 
-    coder = frame_udf(coded, f"token_ids binary{kinds[decode]}")
+    # Else idle workers would hold tables and words, some 100 MB each, beside whatever stage comes next.
+    coder = frame_udf(coded, f"token_ids binary{kinds[decode]}", codec.cache_clear)
     out = docs.drop("token_ids", "bpe_struct").withColumn("bpe_struct", coder(F.col("text"))).withColumn("token_ids", F.col("bpe_struct.token_ids"))
     if decode:
         added = {"bytes": "decoded", "sha256": "decoded_sha256"}[decode]
@@ -415,4 +416,4 @@ def decode_ids(df: DataFrame, rank_file: str, pattern: str, ids: str = "token_id
         own = codec(SparkFiles.get(name), pattern)
         return pd.Series([None if v is None else own.decode(bytes(v)) for v in values], dtype=object)
 
-    return df.withColumn(into, series_udf(decoded, "binary")(F.col(ids)))
+    return df.withColumn(into, series_udf(decoded, "binary", codec.cache_clear)(F.col(ids)))

@@ -74,23 +74,33 @@ def breathe() -> None:
         pass
 
 
-def series_udf(work: Callable[[pd.Series], pd.Series], kind: str):
-    """A pandas UDF of one column that runs ``work`` on each batch."""
+def series_udf(work: Callable[[pd.Series], pd.Series], kind: str, done: Callable[[], None] | None = None):
+    """A pandas UDF of one column that runs ``work`` on each batch; ``done`` drops what a task has kept, before its worker waits for the next."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield work(batch)
-            breathe()
+        try:
+            for batch in batches:
+                yield work(batch)
+                breathe()
+        finally:
+            if done:
+                done()
+                breathe()
 
     return F.pandas_udf(run, kind)
 
 
-def frame_udf(work: Callable[[pd.Series], pd.DataFrame], kind: str):
+def frame_udf(work: Callable[[pd.Series], pd.DataFrame], kind: str, done: Callable[[], None] | None = None):
     """As ``series_udf``, for a struct of columns."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield work(batch)
-            breathe()
+        try:
+            for batch in batches:
+                yield work(batch)
+                breathe()
+        finally:
+            if done:
+                done()
+                breathe()
 
     return F.pandas_udf(run, kind)

@@ -232,6 +232,8 @@ def _in_batches(docs: DataFrame, work: Callable[[pa.RecordBatch, set], Iterator[
             if len(seen) > 200_000:
                 seen.clear()
             breathe()
+        seen.clear()
+        breathe()
 
     return docs.mapInArrow(run, schema)
 
