@@ -47,7 +47,7 @@ def _repeat_words(words: Column, windows: Column) -> Column:
 
 
 def base_features(docs: DataFrame) -> DataFrame:
-    """``docs`` with words (array of their hashes) and the counted features of the whole text; see ``judge_quality``."""
+    """``docs`` with words (array) and the counted features of the whole text; see ``judge_quality``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.col("words")
     n = F.size(words)
@@ -56,7 +56,7 @@ def base_features(docs: DataFrame) -> DataFrame:
         n >= 3,
         F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))),
     ).otherwise(F.array().cast("array<bigint>"))
-    out = docs.withColumn("words", _hashes(F.col("text"))).withColumn("line_list", lines).withColumn("window_list", windows)
+    out = docs.withColumn("words", words_of(F.col("text"))).withColumn("line_list", lines).withColumn("window_list", windows)
     out = (
         out.withColumn("n_words", n.cast("long"))
         .withColumn("word_chars", F.length(F.translate(text, SPACES, "")).cast("long"))
@@ -68,15 +68,10 @@ def base_features(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", failed).drop("line_list", "window_list")
 
 
-def _hashes(text: Column) -> Column:
-    """A hash of each word: words are compared, and paired, by these."""
-    return F.transform(words_of(text), lambda w: F.xxhash64(w))
-
-
 def _grams(words: Column, buckets: int) -> Column:
-    """Hash buckets of all words and of all pairs of adjacent words, from the words' hashes."""
+    """Hash buckets of all words and of all pairs of adjacent words: a pair is hashed as two words, not as two hashes."""
     n = F.lit(buckets).cast("long")
-    one = F.transform(words, lambda w: F.pmod(w, n).cast("int"))
+    one = F.transform(words, lambda w: F.pmod(F.xxhash64(w), n).cast("int"))
     two = F.transform(
         words, lambda w, i: F.pmod(F.xxhash64(w, F.get(words, i + 1)), n).cast("int")
     )
@@ -94,7 +89,7 @@ def likelihood_model(docs: DataFrame, target_ids: DataFrame, buckets: int = BUCK
     if target_ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     flagged = docs.join(ids, docs["doc_id"] == ids["target_id"], "left").select(
-        F.col("target_id").isNotNull().cast("long").alias("hit"), _hashes(F.col("text")).alias("words")
+        F.col("target_id").isNotNull().cast("long").alias("hit"), words_of(F.col("text")).alias("words")
     )
     counted = (
         flagged.select("hit", F.explode(_grams(F.col("words"), buckets)).alias("bucket"))
