@@ -69,6 +69,19 @@ def test_later_stages(spark, stages):
     assert last.filter(F.sha2(F.encode("text", "UTF-8"), 256) != F.col("decoded_sha256")).count() == 0
 
 
+def test_stages_begin_with_heaps_given_back(spark, stages):
+    """In local mode the driver's collector is the executor's; the two other stages have the driver collected anyway."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+
+    def full():
+        return sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    for k in (0, 3, 4):
+        before = full()
+        cp.STAGES[k][1](spark, stages[k], None)
+        assert full() > before, cp.STAGES[k][0]
+
+
 def test_run_and_queries_are_registered(spark):
     import __spark_entry__
 
