@@ -603,3 +603,24 @@ def test_edit_distances_in_step():
     for more in (-7, -1, 0, 1, 5):
         limits = np.maximum(real + more, 0)
         assert (edits.within(a, b, limits) == (real <= limits)).all()
+
+
+def test_words_of_wanted_lines_are_hashed_once(monkeypatch):
+    """For SimHash and bands alike; and the pairs that lines share are counted as sets have them."""
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["alpha", "beta", "gamma", "délta", "漢字", "\x00x"]) for _ in range(r.randrange(14, 40))) for _ in range(60)] + ["short", "word " * 90_000 + "end"]
+    calls, real = [], lines._word_hashes
+    monkeypatch.setattr(lines, "_word_hashes", lambda some: calls.extend(some) or real(some))
+    sims, bands = lines.signatures(texts)
+    assert calls == texts
+    assert sims.tolist() == lines.simhash_lines(texts).tolist()
+    assert bands.tolist() == np.concatenate([lines._word_bands([x]) for x in texts]).astype(np.uint32).tolist()
+    a, b = (np.array(x) for x in zip(*[(r.randrange(60), r.randrange(60)) for _ in range(5000)], strict=True))
+
+    def pairs(text):
+        w = ["<", *text.split(" "), ">"]
+        return set(zip(w, w[1:], strict=False))
+
+    sets = [pairs(x) for x in texts]
+    brute = [len(texts[i]) < lines.WORDY or len(texts[j]) < lines.WORDY or len(sets[i] & sets[j]) >= lines.SHARED * max(len(sets[i]), len(sets[j])) for i, j in zip(a, b, strict=True)]
+    assert lines._share_words(texts, a, b).tolist() == brute and 0 < sum(brute) < len(brute)

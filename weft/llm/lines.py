@@ -38,12 +38,17 @@ LETTERED, WORDY = 75, 48
 LETTER_BANDS, WORD_BANDS, MINIMA = 24, 10, 3
 _RANDOM = np.random.default_rng(12)
 _TIMES = _RANDOM.integers(0, 1 << 31, MINIMA * LETTER_BANDS, np.uint32) * np.uint32(2) + np.uint32(1)
-#: Characters of lines that are hashed at once.
-PIECE = 1 << 19
+#: A fourth of the characters of lines that are handed on at once, and the characters that are hashed at once.
+PIECE, BULK = 1 << 19, 1 << 17
+#: What a word's bytes are multiplied by powers of, and these powers once they are made.
+_FACTOR = 0x100000001B3
+_KEPT: list[np.ndarray] = []
 #: Rows of a unit above which it is split into pairs of parts of so many rows.
 UNIT_ROWS = 256
 #: Lines of a frame in which units are compared, pairs of them that are looked at, and that are compared, at once.
 FRAME_ROWS, PAIRS, COMPARED = 16_000, 1_000_000, 8192
+#: Bits of the hashes of word pairs that are compared; a bulk has fewer lines of WORDY characters, and a step fewer pairs, than the others can number.
+KEPT_BITS = 50
 #: What str.split() takes for space.
 _BLANKS = r"[\t\n\x0B\f\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 #: Bytes of batches that are put together to be compared at once.
@@ -69,18 +74,33 @@ def _mixed(hashes: np.ndarray) -> np.ndarray:
     return hashes ^ (hashes >> np.uint64(31))
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of a word hash's factor and of its inverse, modulo 2 ** 64; those of a bulk are kept."""
+    if not _KEPT:
+        _KEPT.extend(_powers_of(x, 4 * BULK) for x in (_FACTOR, pow(_FACTOR, -1, 1 << 64)))
+    if n > len(_KEPT[0]):
+        return _powers_of(_FACTOR, n), _powers_of(pow(_FACTOR, -1, 1 << 64), n)
+    return _KEPT[0][:n], _KEPT[1][:n]
+
+
+def _powers_of(factor: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(factor))
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 def _word_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and the number of words of each line."""
-    raw = np.frombuffer(" ".join(lines).encode("utf-8", "surrogatepass") + b" ", np.uint8)
-    gaps = np.flatnonzero(raw == 32)
+    raw = np.frombuffer("\n".join(lines).encode("utf-8", "surrogatepass") + b"\n", np.uint8)
+    last = raw == 10
+    gaps, ends = np.flatnonzero(last | (raw == 32)), np.flatnonzero(last)
     begins = np.r_[0, gaps[:-1] + 1]
-    sizes = gaps - begins
-    power = np.ones(int(sizes.max()) + 2, np.uint64)
-    power[1:] = np.uint64(0x100000001B3)
-    power = np.cumprod(power, dtype=np.uint64)
-    offset = np.arange(len(raw)) - np.repeat(begins, sizes + 1)
-    hashes = np.add.reduceat((raw.astype(np.uint64) + np.uint64(1)) * power[offset], begins)
-    return _mixed(hashes), np.fromiter((line.count(" ") + 1 for line in lines), np.int64, len(lines))
+    # Bytes weigh by their place in all lines; then each word's sum is brought to its begin. UTF-8 has no byte 255.
+    power, inverse = _powers(len(raw))
+    raw = raw + np.uint8(1)
+    raw[ends] = 33  # as after other words
+    hashes = np.add.reduceat(raw * power, begins) * inverse[begins]
+    return _mixed(hashes), np.diff(np.r_[-1, np.searchsorted(gaps, ends)])
 
 
 def _simhashes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -102,7 +122,7 @@ def _bulks(lines: list[str]) -> Iterator[list[str]]:
     at = 0
     while at < len(lines):
         to, n = at, 0
-        while to < len(lines) and (to == at or n + len(lines[to]) <= PIECE):
+        while to < len(lines) and (to == at or n + len(lines[to]) <= BULK):
             n += len(lines[to]) + 1
             to += 1
         yield lines[at:to]
@@ -122,14 +142,27 @@ def _bands(features: np.ndarray, counts: np.ndarray, bands: int) -> np.ndarray:
     return out
 
 
-def _word_pairs(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _pairs_of(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the pairs of neighbouring words, where a line's begin and end count as words, and their number by line."""
-    hashes, counts = _word_hashes(lines)
     firsts = np.cumsum(counts) - counts
     before, after = np.insert(hashes, firsts, np.uint64(1)), np.insert(hashes, firsts + counts, np.uint64(2))
     return _mixed(before * np.uint64(0x9E3779B97F4A7C15) + after), counts + 1
 
 
+def _word_pairs(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return _pairs_of(*_word_hashes(lines))
+
+
+def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """SimHashes and word bands, of 32 bits each, of normalised, non-empty lines, whose words are hashed once for both."""
+    sims, bands = [np.zeros(0, np.uint64)], [np.zeros((0, WORD_BANDS), np.uint32)]
+    for some in _bulks(lines):
+        hashes, counts = _word_hashes(some)
+        sims.append(_simhashes(hashes, counts))
+        bands.append(_bands(*_pairs_of(hashes, counts), WORD_BANDS).astype(np.uint32))
+    return np.concatenate(sims), np.concatenate(bands)
+
+
 def _word_bands(lines: list[str]) -> np.ndarray:
     return _bands(*_word_pairs(lines), WORD_BANDS)
 
@@ -188,9 +221,10 @@ _OTHER_SPACES = "\t\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u200
 
 def normal_lines(text: str) -> list[str]:
     """``normal`` of each line of a text; at once where no line has other than single spaces between words."""
-    if any(c in text for c in _OTHER_SPACES) or any(x in text for x in ("  ", " \n", "\n ")) or text[:1] == " " or text[-1:] == " ":
+    lines = text.lower().split("\n")
+    if "  " in text or any(c in text for c in _OTHER_SPACES) or any(x[:1] == " " or x[-1:] == " " for x in lines):
         return [normal(line) for line in text.split("\n")]
-    return text.lower().split("\n")
+    return lines
 
 
 def _text_lines(texts: pa.Array) -> Iterator[tuple[list[int], list[int], list[str]]]:
@@ -302,12 +336,9 @@ def _items(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     new.append(k)
             if new:
                 own = [lines[k] for k in new]
-                bands = np.zeros((len(own), WORD_BANDS), np.uint32)
-                wordy = np.array([len(x) >= WORDY for x in own])
-                if wordy.any():
-                    bands[wordy] = np.concatenate([_word_bands(x) for x in _bulks([x for x in own if len(x) >= WORDY])]).astype(np.uint32)
-                packed = pa.array([x.tobytes() if w else None for x, w in zip(bands, wordy, strict=True)], pa.binary())
-                columns = [pa.array(keys[new, 0]), pa.array(keys[new, 1]), pa.array(own, pa.string()), pa.array(simhash_lines(own).view(np.int64)), packed]
+                sims, bands = signatures(own)
+                packed = pa.array([x.tobytes() if len(line) >= WORDY else None for x, line in zip(bands, own, strict=True)], pa.binary())
+                columns = [pa.array(keys[new, 0]), pa.array(keys[new, 1]), pa.array(own, pa.string()), pa.array(sims.view(np.int64)), packed]
                 yield pa.RecordBatch.from_arrays(columns, ["code", "k2", "norm", "sim", "bands"])
 
     found = _in_batches(docs.select("text"), work, "code long, k2 long, norm string, sim long, bands binary")
@@ -329,24 +360,28 @@ def _share_words(texts: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     mark = np.zeros(len(texts), bool)
     mark[a[ask]] = mark[b[ask]] = True
     used = np.flatnonzero(mark)
-    words = [np.zeros(0, np.uint64)] * len(texts)
+    # Each line's different pairs, by KEPT_BITS of their hashes, below its number, so that one sort is of all lines.
+    kept, sizes, low = [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64), np.uint64(64 - KEPT_BITS)
     at = 0
     for some in _bulks([texts[k] for k in used.tolist()]):
         hashes, counts = _word_pairs(some)
-        for part in np.split(hashes, np.cumsum(counts)[:-1]):
-            part = np.sort(part)
-            words[used[at]] = part[np.r_[True, part[1:] != part[:-1]]]
-            at += 1
+        keys = np.repeat(np.arange(len(some), dtype=np.uint64) << np.uint64(KEPT_BITS), counts) | hashes >> low
+        keys.sort()
+        keys = keys[np.r_[True, keys[1:] != keys[:-1]]]
+        sizes[used[at : at + len(some)]] = np.bincount((keys >> np.uint64(KEPT_BITS)).view(np.int64), minlength=len(some))
+        kept.append(keys & np.uint64((1 << KEPT_BITS) - 1))
+        at += len(some)
+    every, starts = np.concatenate(kept), np.cumsum(sizes) - sizes
     for begin in range(0, len(ask), 4096):
         own = ask[begin : begin + 4096]
-        left, right = [words[k] for k in a[own].tolist()], [words[k] for k in b[own].tolist()]
-        n, m = (np.fromiter(map(len, x), np.int64, len(own)) for x in (left, right))
-        pair = np.concatenate([np.repeat(np.arange(len(own)), n), np.repeat(np.arange(len(own)), m)])
-        every = np.concatenate(left + right)
-        order = np.lexsort((every, pair))
-        pair, every = pair[order], every[order]
-        same = pair[1:][(pair[1:] == pair[:-1]) & (every[1:] == every[:-1])]
-        out[own] = np.bincount(same, minlength=len(own)) >= SHARED * np.maximum(n, m)
+        line = np.concatenate([a[own], b[own]])
+        n = sizes[line]
+        where = np.repeat(starts[line] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        pair = np.arange(len(own), dtype=np.uint64) << np.uint64(KEPT_BITS)
+        keys = np.repeat(np.concatenate([pair, pair]), n) | every[where]
+        keys.sort()
+        same = (keys[1:][keys[1:] == keys[:-1]] >> np.uint64(KEPT_BITS)).view(np.int64)
+        out[own] = np.bincount(same, minlength=len(own)) >= SHARED * np.maximum(n[: len(own)], n[len(own) :])
     return out
 
 
