@@ -7,6 +7,7 @@ import os
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -605,6 +606,70 @@ def test_edit_distances_in_step():
         assert (edits.within(a, b, limits) == (real <= limits)).all()
 
 
+def test_units_are_dealt_and_meet():
+    r = np.random.default_rng(3)
+    units, codes = r.integers(0, 300, 2000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), r.integers(-30, 30, 2000)
+    short = units & np.uint64(lines.BUCKETS * 2**32 - 1)
+    used, low, own = lines._dealt(units, codes)
+    back = [(b << 32 | int(u), int(c)) for b, x, y in zip(used.tolist(), low.to_pylist(), own.to_pylist(), strict=True) for u, c in zip(np.frombuffer(x, np.uint32), np.frombuffer(y, np.int64), strict=True)]
+    assert sorted(back) == sorted(zip(short.tolist(), codes.tolist(), strict=True))
+    short[-3:], codes[-3:] = (1, 2, 2), (5, 6, 6)  # a unit of one line, and one of a line that is given twice
+    sets = collections.defaultdict(set)
+    for u, c in zip(short.tolist(), codes.tolist(), strict=True):
+        sets[u].add(c)
+    want = sorted((u, c, min(x)) for u, x in sets.items() if len(x) > 1 for c in x)
+    assert list(zip(*(x.tolist() for x in lines._meetings(short, codes)), strict=True)) == want
+    assert [len(x) for x in lines._meetings(short[:0], codes[:0])] == [0, 0, 0]
+
+
+def test_files_of_line_links_go(spark, monkeypatch):
+    """Disk of shuffles is given back before the next step begins, and a few links leave few files whatever the partitions."""
+    from weft.operators import components
+    from weft.plans import runtime
+
+    def shuffles():
+        dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for d in dirs for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+
+    runtime.reclaim(spark)
+    before = shuffles()
+    kept = runtime.cut(spark.range(1000).repartition("id").groupBy((F.col("id") % 7).alias("k")).count())
+    assert shuffles() - before
+    runtime.reclaim(spark)
+    for _ in range(20):  # files go a little later; without a second collection, not at all
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert kept.count() == 7
+    settings = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    tasks = []
+    monkeypatch.setattr(components, "cut", lambda df: tasks.append((out := runtime.cut(df)).rdd.getNumPartitions()) or out)
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        pairs = spark.createDataFrame([(k, k + 1) for k in range(1, 40) if k % 10], "a long, b long")
+        got = components.connected_components(pairs, "a", "b").collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert {x["node"]: x["component"] for x in got} == {k: (k - 1) // 10 * 10 + 1 for k in range(1, 41)}
+    assert max(tasks[1:]) <= spark.sparkContext.defaultParallelism
+
+
+def test_rows_in_question_are_those_of_plausible_pairs():
+    r = np.random.default_rng(5)
+    n = 500
+    sims = np.where(r.random(n) < 0.5, 7, r.integers(0, 1 << 63, n)).astype(np.uint64)
+    frame = pd.DataFrame({"unit": r.integers(0, 60, n), "component": r.integers(0, 40, n), "code": np.arange(n), "half": r.integers(-1, 2, n), "size": r.integers(50, 90, n), "sim": sims.view(np.int64)})
+    frame["band"], frame["bands"] = frame["unit"], None
+    near = lambda x, y: x.unit == y.unit and x.component != y.component and (x.half < 0 or x.half != y.half) and abs(x.size_ - y.size_) <= 0.2 * max(x.size_, y.size_) and (x.sim ^ y.sim).bit_count() <= lines.BUDGET
+    rows = sorted(frame.rename(columns={"size": "size_"}).itertuples(), key=lambda x: (x.unit, x.component))
+    want = {z.code for k, x in enumerate(rows) for y in rows[k + 1 :] if near(x, y) for z in (x, y)}
+    assert set(lines._in_question(frame)["code"]) == want and 20 < len(want) < n
+
+
 def test_words_of_wanted_lines_are_hashed_once(monkeypatch):
     """For SimHash and bands alike; and the pairs that lines share are counted as sets have them."""
     r = random.Random(8)

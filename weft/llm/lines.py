@@ -21,7 +21,7 @@ from weft.llm.common import breathe, let, marked, row_hash
 from weft.llm.edits import within
 from weft.llm.hamming import LANE_HASHES, Groups, by_unit, lane_sums, pack_majority
 from weft.operators.components import connected_components
-from weft.plans.runtime import cut, reclaim, ship, stored
+from weft.plans.runtime import as_planned, cut, reclaim, ship, stored
 
 #: Least edit similarity of linked lines: 1 - distance / length of the longer, in characters.
 SIMILARITY = 0.8
@@ -51,6 +51,9 @@ FRAME_ROWS, PAIRS, COMPARED = 16_000, 1_000_000, 8192
 KEPT_BITS = 50
 #: What str.split() takes for space.
 _BLANKS = r"[\t\n\x0B\f\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+#: Units have so many bits: those of BUCKETS, by which they are dealt out, and 32 that are sent. A few more lines than
+#: share a band meet so, and are compared. A task sends, and looks at, so many units at once.
+BUCKETS, HELD = 1 << 12, 1 << 20
 #: Bytes of batches that are put together to be compared at once.
 GATHERED = 16 << 20
 #: Bits of the filter that finds wanted lines again: it only saves work, and its words reach the driver.
@@ -187,7 +190,7 @@ def _left_of(line: str) -> set[int]:
 
 
 def _units(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The units in which lines meet, one line after the other, and their number for each line."""
+    """The units in which lines meet, and for each the number of its line."""
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     owners, units = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for chosen, make in ((size >= WORDY, _word_bands), (size < LETTERED, _letter_bands)):
@@ -200,9 +203,7 @@ def _units(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         left = _left_of(lines[k])
         owners.append(np.full(len(left), k))
         units.append(np.fromiter(left, np.uint64, len(left)))
-    owner = np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    return np.concatenate(units)[order], np.bincount(owner, minlength=len(lines))
+    return np.concatenate(units), np.concatenate(owners)
 
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
@@ -272,47 +273,122 @@ def _in_batches(docs: DataFrame, work: Callable[[pa.RecordBatch, set], Iterator[
     return docs.mapInArrow(run, schema)
 
 
+def _dealt(units: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Buckets, and for each the 32 low bits of its units, and their lines' codes, as bytes."""
+    bucket = (units >> np.uint64(32)).astype(np.uint16) & np.uint16(BUCKETS - 1)
+    order = np.argsort(bucket, kind="stable")
+    counts = np.bincount(bucket, minlength=BUCKETS)
+    used = np.flatnonzero(counts)
+    ends = np.r_[0, np.cumsum(counts[used])]
+    packed = [
+        pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+        for x in (units.astype(np.uint32)[order], codes[order])
+    ]
+    return used, *packed
+
+
 def line_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, line_no, k1, k2, units) of every line that isn't blank, without its text.
+    """(doc_id, row_hash, line_no, k1, k2) of every line that isn't blank, without its text, and rows of units.
 
-    k1 and k2 name the line. ``units`` are where it meets others; null if the task has given them already.
+    k1 and k2 name the line. Rows with a bucket have no line, but ``units`` in which lines meet others and
+    ``codes``, the k1 of each unit's line; a task gives those of a line once, as a rule.
     """
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "row_hash", "line_no", "k1", "k2", "units"]
 
-    def work(batch: pa.RecordBatch, seen: set) -> Iterator[pa.RecordBatch]:
-        for rows, numbers, lines in _text_lines(batch.column(2)):
-            keys = line_keys(lines)
-            new = []
-            for k, key in enumerate(keys[:, 0].tolist()):
-                if key not in seen:
-                    seen.add(key)
-                    new.append(k)
-            units, counts = _units([lines[k] for k in new])
-            sizes = np.zeros(len(lines), np.int64)
-            sizes[new] = counts
-            missing = np.ones(len(lines), bool)
-            missing[new] = False
-            offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32), mask=np.r_[missing, False])
-            lists = pa.ListArray.from_arrays(offsets, pa.array(units.view(np.int64)))
-            at = pa.array(rows)
-            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists]
-            yield pa.RecordBatch.from_arrays(columns, names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        schema = None
+
+        def given() -> pa.RecordBatch:
+            used, units, codes = _dealt(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+            none = [pa.nulls(len(used), schema.field(k).type) for k in range(5)]
+            return pa.RecordBatch.from_arrays([*none, pa.array(used, pa.int32()), units, codes], schema=schema)
+
+        for batch in batches:
+            for rows, numbers, lines in _text_lines(batch.column(2)):
+                keys = line_keys(lines)
+                new = []
+                for k, key in enumerate(keys[:, 0].tolist()):
+                    if key not in seen:
+                        seen.add(key)
+                        new.append(k)
+                units, owner = _units([lines[k] for k in new])
+                if len(units):
+                    held.append((units, keys[new, 0][owner]))
+                at = pa.array(rows)
+                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])]
+                columns += [pa.nulls(len(lines), pa.int32()), pa.nulls(len(lines), pa.binary()), pa.nulls(len(lines), pa.binary())]
+                out = pa.RecordBatch.from_arrays(columns, ["doc_id", "row_hash", "line_no", "k1", "k2", "bucket", "units", "codes"])
+                schema = out.schema
+                yield out
+                if sum(len(x) for x, _ in held) >= HELD:
+                    yield given()
+            if len(seen) > 200_000:
+                seen.clear()
+            breathe()
+        if held:
+            yield given()
+        seen.clear()
+        breathe()
 
     rows = docs.select("doc_id", row_hash().alias("row_hash"), "text")
-    return _in_batches(rows, work, f"doc_id {kind}, row_hash long, line_no long, k1 long, k2 long, units array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, row_hash long, line_no long, k1 long, k2 long, bucket int, units binary, codes binary")
+
+
+def _meetings(units: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit, code, lead), each once, of the units of several codes; the lead is the smallest code of the unit."""
+    order = np.argsort(units)
+    same, hit = units[order[1:]] == units[order[:-1]], np.zeros(len(units), bool)
+    hit[1:] = same
+    hit[:-1] |= same
+    own = order[hit]
+    own = own[np.lexsort((codes[own], units[own]))]
+    u, c = units[own], codes[own]
+    new = np.r_[True, u[1:] != u[:-1]] if len(u) else np.zeros(0, bool)
+    other = new | np.r_[True, c[1:] != c[:-1]] if len(u) else new
+    u, c, new = u[other], c[other], new[other]
+    begins = np.flatnonzero(new)
+    size = np.diff(np.r_[begins, len(u)])
+    lead, several = np.repeat(c[begins], size), np.repeat(size > 1, size)
+    return u[several], c[several], lead[several]
 
 
 def _met(rows: DataFrame) -> DataFrame:
     """(unit, code, lead) of the units of several lines; the code is a line's k1, and the lead the smallest of the unit."""
-    dealt = rows.filter("units IS NOT NULL").select(F.explode("units").alias("unit"), F.col("k1").alias("code")).repartition("unit")
-    ends = dealt.groupBy("unit").agg(F.min("code").alias("lead"), F.max("code").alias("top")).filter("lead <> top").drop("top")
-    return dealt.join(ends.hint("shuffle_hash"), "unit").groupBy("unit", "code").agg(F.first("lead").alias("lead"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units: list[np.ndarray] = []
+        codes: list[np.ndarray] = []
+        n, last = 0, -1
+
+        def found() -> pa.RecordBatch:
+            got = _meetings(np.concatenate(units), np.concatenate(codes))
+            units.clear()
+            codes.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in got], ["unit", "code", "lead"])
+
+        for batch in batches:
+            for bucket, low, own in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if bucket != last and n >= HELD:  # whole buckets only
+                    yield found()
+                    n = 0
+                last = bucket
+                units.append(np.frombuffer(low, np.uint32) | np.uint64(bucket << 32))
+                codes.append(np.frombuffer(own, np.int64))
+                n += len(codes[-1])
+        if n:
+            yield found()
+        breathe()
+
+    dealt = rows.filter("bucket IS NOT NULL").select("bucket", "units", "codes").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "unit long, code long, lead long")
 
 
 def _items(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(code, k2, norm, sim, bands) of the wanted lines, each once: their text, SimHash and word bands, of 32 bits each.
+    """(code, k2, norm, size, sim, bands) of the wanted lines, each once: their text, its characters, SimHash and word bands, of 32 bits each.
 
     ``wanted`` has code. Texts are read again, and only lines that may be wanted leave their task, by a
     bitmap of codes.
@@ -338,10 +414,11 @@ def _items(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 own = [lines[k] for k in new]
                 sims, bands = signatures(own)
                 packed = pa.array([x.tobytes() if len(line) >= WORDY else None for x, line in zip(bands, own, strict=True)], pa.binary())
-                columns = [pa.array(keys[new, 0]), pa.array(keys[new, 1]), pa.array(own, pa.string()), pa.array(sims.view(np.int64)), packed]
-                yield pa.RecordBatch.from_arrays(columns, ["code", "k2", "norm", "sim", "bands"])
+                size = pa.array(np.fromiter(map(len, own), np.int64, len(own)))
+                columns = [pa.array(keys[new, 0]), pa.array(keys[new, 1]), pa.array(own, pa.string()), size, pa.array(sims.view(np.int64)), packed]
+                yield pa.RecordBatch.from_arrays(columns, ["code", "k2", "norm", "size", "sim", "bands"])
 
-    found = _in_batches(docs.select("text"), work, "code long, k2 long, norm string, sim long, bands binary")
+    found = _in_batches(docs.select("text"), work, "code long, k2 long, norm string, size long, sim long, bands binary")
     return found.join(wanted, "code", "left_semi").dropDuplicates(["code"])
 
 
@@ -385,17 +462,19 @@ def _share_words(texts: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _linked_leads(met: DataFrame, items: DataFrame) -> DataFrame:
-    """(a, b) of lines that are similar to the lead of a unit."""
+def _linked_leads(met: DataFrame, items: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) of lines that are similar to the lead of a unit. Texts are only brought to pairs that are plausible."""
     pairs = met.filter("code <> lead").select(F.col("lead").alias("a"), F.col("code").alias("b")).distinct()
-    own = items.select("code", "norm", "sim")
-    both = pairs.join(own.toDF("b", "y", "t"), "b").join(own.toDF("a", "x", "s"), "a").select("a", "b", "x", "y", "s", "t")
+    brief, own = items.select("code", "size", "sim"), texts.select("code", "norm")
+    pairs = pairs.join(brief.toDF("b", "n", "t").hint("shuffle_hash"), "b").join(brief.toDF("a", "m", "s").hint("shuffle_hash"), "a")
+    far = F.abs(F.col("m") - F.col("n")) > (1 - SIMILARITY) * F.greatest("m", "n") + 1e-9
+    near = (F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) <= BUDGET) | (F.least("m", "n") < WORDY)
+    pairs = pairs.filter(~far & near).select("a", "b")
+    both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y")
 
     def work(batch: pa.RecordBatch, _: set) -> Iterator[pa.RecordBatch]:
         x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        s, t = batch.column(4).to_numpy().view(np.uint64), batch.column(5).to_numpy().view(np.uint64)
-        sizes = [np.fromiter(map(len, v), np.int64, len(v)) for v in (x, y)]
-        some = np.flatnonzero(_plausible(*sizes, s, t))
+        some = np.arange(len(x))
         some = some[_share_words(x + y, some, some + len(x))]
         good = some[alike([x[k] for k in some.tolist()], [y[k] for k in some.tolist()])]
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good)), batch.column(1).take(pa.array(good))], ["a", "b"])
@@ -403,30 +482,26 @@ def _linked_leads(met: DataFrame, items: DataFrame) -> DataFrame:
     return _in_batches(both, work, "a long, b long", COMPARED)
 
 
-def _across(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Links (a, b) between lines of a unit that are in different components; connected ones aren't compared.
+def _sorted_by_part(frame: pd.DataFrame) -> pd.DataFrame:
+    return frame.sort_values(["unit", "component"], kind="stable", ignore_index=True)
+
+
+def _plausible_pairs(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows of a unit that are in different components and may be similar, of a frame that is ``_sorted_by_part``, in bulks.
 
-    A pair that meets in several units of word bands is compared in that of the first band only.
+    A pair that meets in several units of word bands is in that of the first band only.
     """
-    frame = frame.sort_values(["unit", "component"], kind="stable")
-    unit, part, half = (frame[c].to_numpy() for c in ("unit", "component", "half"))
-    band, code, sim = frame["band"].to_numpy(), frame["code"].to_numpy(), frame["sim"].to_numpy().view(np.uint64)
-    texts = frame["norm"].tolist()
-    size = np.fromiter(map(len, texts), np.int64, len(texts))
-    signed = np.zeros((len(texts), WORD_BANDS), np.uint32)
+    unit, part, half, size = (frame[c].to_numpy() for c in ("unit", "component", "half", "size"))
+    band, sim = frame["band"].to_numpy(), frame["sim"].to_numpy().view(np.uint64)
+    n = len(frame)
+    signed = np.zeros((n, WORD_BANDS), np.uint32)
     wordy = np.array([x is not None for x in frame["bands"]], bool)
     if wordy.any():
         signed[wordy] = np.frombuffer(b"".join(x for x in frame["bands"] if x is not None), np.uint32).reshape(-1, WORD_BANDS)
-    n = len(texts)
     ends = np.flatnonzero(np.r_[unit[1:] != unit[:-1], True]) + 1
     unit_end = np.repeat(ends, np.diff(np.r_[0, ends]))
     runs = np.flatnonzero(np.r_[(unit[1:] != unit[:-1]) | (part[1:] != part[:-1]), True]) + 1
     run_end = np.repeat(runs, np.diff(np.r_[0, runs]))
-    groups = Groups(n)
-    # Rows of one component are one from the start, in whatever units they are.
-    order = np.argsort(part, kind="stable")
-    begins = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]])
-    groups.label[order] = np.repeat(order[begins], np.diff(np.r_[begins, n]))
     at, sums = 0, np.cumsum(unit_end - run_end)
     while at < n:
         to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + PAIRS, side="right")))
@@ -439,7 +514,30 @@ def _across(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         equal = (signed[i] == signed[j]) & (wordy[i] & wordy[j])[:, None]
         first = np.where(equal.any(axis=1), equal.argmax(axis=1), -1)
         here = (first < 0) | (signed[i, np.maximum(first, 0)] == (band[i] & 0xFFFFFFFF).astype(np.uint32))
-        i, j = i[here], j[here]
+        yield i[here], j[here]
+
+
+def _in_question(frame: pd.DataFrame) -> pd.DataFrame:
+    """The rows that are in any of the ``_plausible_pairs``, which needn't have texts yet."""
+    frame = _sorted_by_part(frame)
+    some = np.zeros(len(frame), bool)
+    for i, j in _plausible_pairs(frame):
+        some[i] = some[j] = True
+    return frame[some]
+
+
+def _across(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Links (a, b) between components that have similar lines in a unit; connected ones aren't compared."""
+    frame = _sorted_by_part(frame)
+    part, sim = frame["component"].to_numpy(), frame["sim"].to_numpy().view(np.uint64)
+    texts = frame["norm"].tolist()
+    n = len(texts)
+    groups = Groups(n)
+    # Rows of one component are one from the start, in whatever units they are.
+    order = np.argsort(part, kind="stable")
+    begins = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]])
+    groups.label[order] = np.repeat(order[begins], np.diff(np.r_[begins, n]))
+    for i, j in _plausible_pairs(frame):
         shared = _share_words(texts, i, j)
         i, j = i[shared], j[shared]
         # Near SimHashes first: what they link needn't be compared again.
@@ -453,18 +551,17 @@ def _across(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
             good = alike([texts[k] for k in a.tolist()], [texts[k] for k in b.tolist()], likely=False)
             if good.any():
                 groups.union(a[good], b[good])
-                yield pd.DataFrame({"a": code[a[good]], "b": code[b[good]]})
+                yield pd.DataFrame({"a": part[a[good]], "b": part[b[good]]})
 
 
-def _linked_across(met: DataFrame, items: DataFrame, links: DataFrame) -> DataFrame:
-    """(a, b) of similar lines that meet in a unit and aren't connected by ``links``.
+def _linked_across(met: DataFrame, items: DataFrame, texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, b) of components (of ``parts``, which has code and component, or of one line) with similar lines that meet in a unit.
 
     Units of over UNIT_ROWS rows are split into parts, and each two parts meet by themselves.
     """
-    parts = connected_components(links, "a", "b").withColumnRenamed("node", "code")
-    named = met.join(parts, "code", "left").select("unit", "code", F.coalesce("component", "code").alias("component"))
+    named = met.join(parts, "code", "left").select("unit", "code", F.coalesce("component", "code").alias("component")).repartition("unit")
     mixed = named.groupBy("unit").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high")
-    rest = named.join(mixed.select("unit", F.ceil(F.col("n") / UNIT_ROWS).cast("int").alias("parts")), "unit")
+    rest = named.join(mixed.select("unit", F.ceil(F.col("n") / UNIT_ROWS).cast("int").alias("parts")).hint("shuffle_hash"), "unit")
     rest = rest.withColumn("part", F.pmod(F.xxhash64("code"), F.col("parts").cast("long")).cast("int"))
     rest = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     low, high = F.least("part", "other"), F.greatest("part", "other")
@@ -473,7 +570,11 @@ def _linked_across(met: DataFrame, items: DataFrame, links: DataFrame) -> DataFr
         # Within a pair of parts, lines of one part don't meet again.
         F.when(low == high, -1).otherwise(F.col("part")).alias("half"), "code", "component",
     )
-    return by_unit(rest.join(items.select("code", "norm", "sim", "bands"), "code"), _across, "a long, b long", rows=FRAME_ROWS)
+    # Texts are only brought to rows that have to be compared.
+    brief = items.select("code", "size", "sim", "bands")
+    schema = "code long, unit long, band long, half int, component long, size long, sim long, bands binary"
+    rest = by_unit(rest.hint("shuffle_hash").join(brief, "code"), _in_question, schema, rows=FRAME_ROWS)
+    return by_unit(rest.join(texts.select("code", "norm"), "code"), _across, "a long, b long", rows=FRAME_ROWS)
 
 
 def line_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -484,31 +585,40 @@ def line_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     their units' leads first; and then with what they aren't connected to by then, so that a group of
     near copies costs its size and not its square.
     """
+    spark = docs.sparkSession
     met = cut(_met(rows))
-    reclaim(docs.sparkSession)
-    items = cut(_items(docs, met.select("code").distinct()))
-    leads = cut(_linked_leads(met, items))
-    links = leads.unionByName(cut(_linked_across(met, items, leads)))
-    parts = connected_components(links, "a", "b").withColumnRenamed("node", "code")
-    return cut(items.select("code", "k2").join(parts, "code"))
+    reclaim(spark)
+    with as_planned(spark):  # so that texts aren't moved when they are joined by code
+        texts = cut(_items(docs, met.select("code").distinct()))
+    reclaim(spark)
+    with stored(texts.drop("norm")) as items:
+        parts = connected_components(cut(_linked_leads(met, items, texts)), "a", "b").withColumnRenamed("node", "code")
+        reclaim(spark)
+        across = cut(_linked_across(met, items, texts, parts).distinct())
+        reclaim(spark)
+        # A component is named by its smallest line, and so is what several of them make up.
+        whole = connected_components(across, "a", "b").withColumnRenamed("component", "whole")
+        parts = parts.join(whole, F.col("component") == F.col("node"), "full").select(F.coalesce("code", "node").alias("code"), F.coalesce("whole", "component").alias("component"))
+        return cut(items.select("code", "k2").join(parts, "code"))
 
 
 def _drops(docs: DataFrame) -> DataFrame:
     """(drop_id, drop_hash, drop_lines, drop_times): by row, the line numbers that go, and how many rows are the same."""
-    with stored(line_rows(docs)) as rows:
-        linked = line_links(docs, rows)
+    with stored(line_rows(docs)) as table:
+        linked = line_links(docs, table)
         reclaim(docs.sparkSession)
+        rows = table.filter("bucket IS NULL").drop("bucket", "units", "codes")
         again = rows.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").select("k1", "k2")
         groups = again.withColumn("component", F.lit(None).cast("long")).unionByName(linked.select(F.col("code").alias("k1"), "k2", "component"))
         groups = groups.groupBy("k1", "k2").agg(F.max("component").alias("component"))
         # A component's number is a k1; a line that is only repeated is a group by its whole name.
-        own = F.struct(F.coalesce("component", "k1").alias("x"), F.when(F.col("component").isNull(), F.col("k2")).alias("y"))
+        own = F.coalesce("component", "k1").alias("group"), F.when(F.col("component").isNull(), F.col("k2")).otherwise(0).alias("group_k2")
         place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash", "line_no")
-        placed = cut(rows.drop("units").join(groups, ["k1", "k2"]).select(own.alias("group"), place.alias("place")))
-    firsts = placed.groupBy("group").agg(F.min("place").alias("first"))
-    out = placed.join(firsts, "group").select("place.doc_id", "place.row_hash", "place.line_no", (F.col("place") == F.col("first")).alias("stays"))
-    # Rows that repeat another's id and text have its places, too.
-    out = out.groupBy("doc_id", "row_hash", "line_no").agg(F.first("stays").alias("stays"), F.count("*").cast("int").alias("times"))
+        placed = cut(rows.join(groups.hint("shuffle_hash"), ["k1", "k2"]).select(*own, place.alias("place")))
+    firsts = placed.groupBy("group", "group_k2").agg(F.min("place").alias("first"))
+    out = placed.join(firsts.hint("shuffle_hash"), ["group", "group_k2"]).select("place.doc_id", "place.row_hash", "place.line_no", (F.col("place") == F.col("first")).alias("stays"))
+    # Rows that repeat another's id and text have its places, too. Both groupings are of rows that lie by document.
+    out = out.repartition("doc_id", "row_hash").groupBy("doc_id", "row_hash", "line_no").agg(F.first("stays").alias("stays"), F.count("*").cast("int").alias("times"))
     return out.groupBy(F.col("doc_id").alias("drop_id"), F.col("row_hash").alias("drop_hash")).agg(
         F.collect_list(F.when(~F.col("stays"), F.col("line_no"))).alias("drop_lines"), F.max("times").alias("drop_times")
     )
@@ -532,7 +642,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     doc_id, text = F.col("line_doc.doc_id"), F.col("line_doc.text")
     whole = docs.select(F.struct(*docs.columns).alias("line_doc"), row_hash().alias("line_hash"))
     whole = marked(whole, F.col("line_hash"), drops.filter("drop_times > 1 OR size(drop_lines) > 0"), F.col("drop_hash"), "line_may")
-    met = whole.filter("line_may").join(drops, doc_id.eqNullSafe(F.col("drop_id")) & (F.col("line_hash") == F.col("drop_hash")), "left")
+    met = whole.filter("line_may").join(drops.hint("shuffle_hash"), doc_id.eqNullSafe(F.col("drop_id")) & (F.col("line_hash") == F.col("drop_hash")), "left")
 
     every = F.split(text, "\n")
     left = let(

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from weft.plans.runtime import cut
 
+#: Edges of a task, below which tasks are joined.
+TASK_EDGES = 50_000
+
 
 def _digest(edges: DataFrame) -> tuple:
     """What two equal edge sets have in common: count and an order-free hash sum."""
@@ -21,13 +24,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     larger = both.filter("v > u")
-    return larger.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return larger.join(least.hint("shuffle_hash"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are linked to the smallest of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    others = edges.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    others = edges.join(least.hint("shuffle_hash"), "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.unionByName(least.select("u", F.col("m").alias("v")))
 
 
@@ -49,7 +52,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     now = cut(now)
     seen = _digest(now)
     while seen[0]:
-        now = cut(_small_star(_large_star(now)).distinct())
+        # Few edges are handed on by few tasks, as each leaves files.
+        tasks = max(now.sparkSession.sparkContext.defaultParallelism, -(-seen[0] // TASK_EDGES))
+        now = cut(_small_star(_large_star(now.coalesce(tasks)).coalesce(tasks)).distinct().coalesce(tasks))
         new = _digest(now)
         if new == seen:
             break
