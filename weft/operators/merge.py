@@ -83,9 +83,16 @@ def same_type_pairs(nodes: DataFrame) -> DataFrame:
 
 def cross_repo_calls(calls: DataFrame, definitions: DataFrame) -> DataFrame:
     """(source, target): unresolved calls (source, repo, name) bound to the one definition in another repository."""
-    names = definitions.select(F.lower("name").alias("key"), F.col("repo").alias("home"), "id")
-    foreign = calls.select("source", "repo", F.lower("name").alias("key")).join(names, "key").filter("home <> repo")
-    one = foreign.groupBy("source", "key").agg(F.min("id").alias("target"), F.max("id").alias("other"))
+    # Calls meet one row of their name instead of each definition: its outermost ids, and those outside these ids' repositories.
+    homes = definitions.filter("id IS NOT NULL AND repo IS NOT NULL").groupBy(F.lower("name").alias("key"), F.col("repo").alias("home")).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    firsts = Window.partitionBy("key")
+    ranked = homes.withColumn("l", F.row_number().over(firsts.orderBy("lo", "home"))).withColumn("h", F.row_number().over(firsts.orderBy(F.desc("hi"), "home")))
+    nth = lambda order, k, c: F.max(F.when(F.col(order) == k, F.col(c))).alias(f"{c}_{order}{k}")
+    ends = ranked.filter("l <= 2 OR h <= 2").groupBy("key").agg(*[nth("l", k, c) for k in (1, 2) for c in ("home", "lo")], *[nth("h", k, c) for k in (1, 2) for c in ("home", "hi")])
+    called = calls.filter("repo IS NOT NULL").select("source", "repo", F.lower("name").alias("key")).join(ends, "key")
+    low, high = (F.when(F.col(f"home_{o}1") != F.col("repo"), F.col(f"{c}_{o}1")).otherwise(F.col(f"{c}_{o}2")) for o, c in (("l", "lo"), ("h", "hi")))
+    found = called.select("source", "key", low.alias("low"), high.alias("high")).repartition("source", "key")
+    one = found.groupBy("source", "key").agg(F.min("low").alias("target"), F.max("high").alias("other"))
     return one.filter("target = other").select("source", "target")
 
 
