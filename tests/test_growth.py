@@ -1,6 +1,8 @@
 """What queries hand on grows with their input, and results are those of plain Python."""
 
-from weft.operators import merge
+from itertools import combinations
+
+from weft.operators import memory, merge
 
 
 def plan_of(df):
@@ -36,3 +38,21 @@ def test_calls_meet_one_row_of_a_name(spark):
         ids[s, name.lower()] = ids.get((s, name.lower()), set()) | found
     assert got == sorted((s, next(iter(found))) for (s, _), found in ids.items() if len(found) == 1) and (900, 1) in got
     assert most(df, "numOutputRows") <= len(calls) + len(rows)
+
+
+def test_overlaps_shuffle_lists_not_pairs(spark):
+    rows = [(k, s) for s in range(10) for k in range(200) if (k + s) % 9] + [(None, 1), (5, None), (3, 1), (3, 1)]
+    df = memory.review_overlap(spark.createDataFrame(rows, "number long, symbol long"))
+    got = {(r["first"], r["second"]): r["shared"] for r in df.collect()}
+    want = {}
+    for s in range(10):
+        for pair in combinations(sorted({n for n, t in rows if t == s and n is not None}), 2):
+            want[pair] = want.get(pair, 0) + 1
+    assert got == want
+    assert most(df, "shuffleRecordsWritten") <= len(rows) < len(got)
+
+
+def test_overlaps_are_counted_by_tasks_of_limited_pairs(spark, monkeypatch):
+    monkeypatch.setattr(memory, "TASK_PAIRS", 500)
+    df = memory.review_overlap(spark.createDataFrame([(k, s) for s in range(2) for k in range(100)], "number long, symbol long"))
+    assert df.rdd.getNumPartitions() == 20 and df.count() == 4950

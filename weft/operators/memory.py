@@ -6,6 +6,11 @@ import re
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from weft.plans.runtime import cut
+
+#: Pairs that a task counts at most, unless one number has more.
+TASK_PAIRS = 2_000_000
+
 
 def record_pairs(known: DataFrame, seen: DataFrame) -> DataFrame:
     """(source, target, question, hits, first_seen, last_seen) after new sightings (source, target, question, at)."""
@@ -73,9 +78,14 @@ def review_score(pulls: DataFrame) -> DataFrame:
 
 def review_overlap(touched: DataFrame) -> DataFrame:
     """(first, second, shared): symbols that two pull requests both touch."""
-    a = touched.select(F.col("number").alias("first"), "symbol").distinct()
-    b = touched.select(F.col("number").alias("second"), "symbol").distinct()
-    return a.join(b, "symbol").filter("first < second").groupBy("first", "second").agg(F.count("*").alias("shared"))
+    sets = cut(touched.filter("symbol IS NOT NULL").groupBy("symbol").agg(F.sort_array(F.collect_set("number")).alias("numbers")).select("numbers"))
+    n = F.size("numbers").cast("long")
+    pairs = sets.agg(F.coalesce(F.sum(n * (n - 1) / 2), F.lit(0))).first()[0]
+    # Each number goes to its counts with the later ones of a symbol in one row, so that only lists are shuffled.
+    at = sets.select(F.posexplode("numbers").alias("at", "first"), "numbers").filter(F.col("at") < F.size("numbers") - 1)
+    met = at.select("first", F.slice("numbers", F.col("at") + 2, F.size("numbers")).alias("later"))
+    tasks = max(touched.sparkSession.sparkContext.defaultParallelism, -(-int(pairs) // TASK_PAIRS))
+    return met.repartition(tasks, "first").select("first", F.explode("later").alias("second")).groupBy("first", "second").agg(F.count("*").alias("shared"))
 
 
 def risk_score(changed: int, impacted: int, complete: bool) -> tuple[int | None, str]:
