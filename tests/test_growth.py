@@ -1,8 +1,9 @@
 """What queries hand on grows with their input, and results are those of plain Python."""
 
+import random
 from itertools import combinations
 
-from weft.operators import memory, merge
+from weft.operators import communities, memory, merge
 
 
 def plan_of(df):
@@ -56,3 +57,53 @@ def test_overlaps_are_counted_by_tasks_of_limited_pairs(spark, monkeypatch):
     monkeypatch.setattr(memory, "TASK_PAIRS", 500)
     df = memory.review_overlap(spark.createDataFrame([(k, s) for s in range(2) for k in range(100)], "number long, symbol long"))
     assert df.rdd.getNumPartitions() == 20 and df.count() == 4950
+
+
+def sweep(links, rounds=communities.ROUNDS):
+    """Labels by rounds as they are defined, and the number of rounds."""
+    near, whole = {}, rounds
+    for a, b, w in links:
+        near.setdefault(a, []).append((b, w))
+        near.setdefault(b, []).append((a, w))
+    label = {n: n for n in near}
+    for k in range(rounds):
+        new, pulled = dict(label), False
+        for n, ends in near.items():
+            tally = {}
+            for m, w in ends:
+                tally[label[m]] = tally.get(label[m], 0) + w
+            best = min((-w, lead) for lead, w in tally.items())[1]
+            pulled |= best != label[n]
+            if best < label[n] or (best != label[n] and k % 2):
+                new[n] = best
+        label = new
+        if not pulled:
+            whole = k + 1
+            break
+    firsts = {}
+    for n, lead in label.items():
+        firsts[lead] = min(n, firsts.get(lead, n))
+    return {n: firsts[lead] for n, lead in label.items()}, whole
+
+
+#: Labels that never settle.
+RESTLESS = [(0, 5, 1), (0, 7, 5), (0, 8, 2), (1, 2, 3), (1, 3, 3), (1, 8, 5), (1, 11, 2), (2, 4, 1), (2, 5, 1), (2, 9, 1), (3, 8, 2), (3, 10, 2), (4, 7, 2), (4, 8, 1), (4, 9, 5), (5, 7, 2), (6, 8, 3), (6, 10, 3), (6, 11, 1), (7, 10, 3), (9, 10, 2), (9, 11, 3), (10, 11, 1)]
+
+
+def test_sweeps_end_when_labels_come_again(spark, monkeypatch):
+    drawn = random.Random(5)
+    loose = [(f"m{a:03d}", f"m{b:03d}", drawn.choice([1, 2, 3])) for a in range(80) for b in range(a + 1, 80) if drawn.random() < 0.04]
+    links = [(f"n{a:02d}", f"n{b:02d}", w) for a, b, w in RESTLESS] + loose
+    want, whole = sweep(links)
+    assert whole == communities.ROUNDS and len(set(want.values())) > 5
+    cuts, plain = [], communities.cut
+    monkeypatch.setattr(communities, "cut", lambda df: cuts.append(1) or plain(df))
+    got = {r["id"]: r["lead"] for r in communities._labels(spark.createDataFrame(links, "a string, b string, weight long")).collect()}
+    assert got == want and len(cuts) < 40
+
+
+def test_whole_components_are_swept_once(spark, monkeypatch):
+    calls, plain = [], communities._labels
+    monkeypatch.setattr(communities, "_labels", lambda *a: calls.append(1) or plain(*a))
+    links = spark.createDataFrame([(f"n{a:02d}", f"n{b:02d}", 1) for a in range(12) for b in range(a + 1, 12)], "a string, b string, weight long")
+    assert {r["lead"] for r in communities._rounds(links, 12).collect()} == {"n00"} and len(calls) == 1
