@@ -3,7 +3,7 @@
 import random
 from itertools import combinations
 
-from weft.operators import communities, memory, merge
+from weft.operators import communities, memory, merge, traverse
 
 
 def plan_of(df):
@@ -107,3 +107,43 @@ def test_whole_components_are_swept_once(spark, monkeypatch):
     monkeypatch.setattr(communities, "_labels", lambda *a: calls.append(1) or plain(*a))
     links = spark.createDataFrame([(f"n{a:02d}", f"n{b:02d}", 1) for a in range(12) for b in range(a + 1, 12)], "a string, b string, weight long")
     assert {r["lead"] for r in communities._rounds(links, 12).collect()} == {"n00"} and len(calls) == 1
+
+
+def routes_of(hops, source, target):
+    """(path, hops, weakest, routes) by all shortest routes, each listed."""
+    layer, seen = [([source], 2.0)], {source}
+    for k in range(33):
+        found = [r for r in layer if r[0][-1] == target]
+        if found:
+            weakest, path = min((w, p) for p, w in found)
+            return path, k, weakest if k else None, len(found)
+        layer = [([*p, b], min(w, s)) for p, w in layer for (a, b), s in hops.items() if a == p[-1] and b not in seen]
+        seen |= {p[-1] for p, _ in layer}
+    return None
+
+
+def test_shortest_paths_equal_listed_routes(spark):
+    schema = "source string, target string, relation string, confidence string, confidence_score double, source_file string"
+    for seed in range(3):
+        drawn = random.Random(seed)
+        rows = [(f"n{drawn.randrange(14)}", f"n{drawn.randrange(14)}", "calls", "INFERRED", drawn.choice([None, 0.2, 0.5, 0.9]), "") for _ in range(22)]
+        edges = spark.createDataFrame(rows, schema)
+        for directed in (False, True):
+            hops = {}
+            for a, b, _, _, s, _ in rows:
+                for x, y in [(a, b)] if directed else [(a, b), (b, a)]:
+                    if x != y:
+                        hops[x, y] = max(hops.get((x, y), 0), 0.7 if s is None else s)
+            for ends in (("n0", "n9"), ("n3", "n3"), ("n1", "n12")):
+                got = [tuple(r) for r in traverse.shortest_path(edges, *ends, directed).collect()]
+                want = routes_of(hops, *ends)
+                assert got == ([] if want is None else [want])
+
+
+def test_paths_do_not_spread_a_hub_that_the_other_end_goes_round(spark, monkeypatch):
+    links = [("s", "hub"), ("s", "a"), ("a", "b"), ("b", "t")] + [(f"l{k}", "hub") for k in range(500)] + [(f"l{k}", f"m{k}") for k in range(500)]
+    edges = spark.createDataFrame([(a, b, "calls", "EXTRACTED", None, "") for a, b in links], "source string, target string, relation string, confidence string, confidence_score double, source_file string")
+    sizes, plain = [], traverse.cut
+    monkeypatch.setattr(traverse, "cut", lambda df: (out := plain(df), sizes.append(out.count()))[0])
+    assert [tuple(r) for r in traverse.shortest_path(edges, "s", "t").collect()] == [(["s", "a", "b", "t"], 3, 0.9, 1)]
+    assert max(sizes) <= 4

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from weft.functions.evidence import IMPACT, meets_detail, passes_floor, strength
-from weft.plans.runtime import cut
+from weft.plans.runtime import cut, stored
 
 
 def neighbours(edges: DataFrame, directed: bool = False, least: float = 0.0, floor: float = 0.0, relations: Sequence[str] | None = None) -> DataFrame:
@@ -188,24 +188,66 @@ def shortest_path(edges: DataFrame, source: str, target: str, directed: bool = F
     Of the routes with fewest hops, the one whose weakest hop is weakest is told, the first by its ids
     if tied, so that a path isn't praised for its best reading. A hop is as strong as its strongest
     parallel edge. Layer by layer, each node keeps its weakest hop, its route and the number of routes.
+    Layers hold the nodes on shortest routes alone: these are found first, from both ends at once.
     """
-    near = neighbours(edges, directed, **which).groupBy("a", "b").agg(F.max("strength").alias("hop")).filter("a <> b")
-    near = cut(near)
     spark = edges.sparkSession
+    none = spark.createDataFrame([], "path array<string>, hops int, weakest double, routes long")
+    if source == target:
+        return spark.createDataFrame([([source], 0, None, 1)], "path array<string>, hops int, weakest double, routes long")
+    with stored(neighbours(edges, True, **which).filter("a <> b").select("a", "b", "strength")) as way:
+        back = way.select(F.col("b").alias("a"), F.col("a").alias("b"), "strength")
+        near, into = (way, back) if directed else (way.unionByName(back),) * 2
+        ahead, behind = _layers(near, into, source, target, depth)
+        if ahead is None:
+            return none
+        # Hop by hop, the edges between a layer's nodes and the next one's that lead to the target.
+        stages = ahead[:-1] + behind[::-1]
+        steps, left, n = [], stages[-1][0], stages[-1][1]
+        for from_, n_from in stages[-2::-1]:
+            step = _met(into.select(F.col("a").alias("b"), F.col("b").alias("a"), "strength"), left, n, "b")
+            step = cut(_met(step, from_, n_from, "a").groupBy("a", "b").agg(F.max("strength").alias("hop")))
+            left = cut(step.select(F.col("a").alias("id")).distinct())
+            n = left.count()
+            steps.insert(0, step)
     layer = spark.createDataFrame([(source, 2.0, [source], 1)], "id string, weakest double, path array<string>, routes long")
-    seen = layer.select("id")
-    for hop in range(depth + 1):
-        found = layer.filter(F.col("id") == target)
-        if not found.isEmpty():
-            return found.select("path", F.lit(hop).alias("hops"), F.when(F.lit(hop) > 0, F.col("weakest")).alias("weakest"), "routes")
-        step = near.join(layer, near["a"] == layer["id"]).join(seen.select(F.col("id").alias("b")), "b", "left_anti")
+    for step in steps:
+        step = step.join(layer, step["a"] == layer["id"])
         step = step.select("b", F.least("weakest", "hop").alias("weakest"), F.concat("path", F.array("b")).alias("path"), "routes")
         best = step.groupBy("b").agg(F.min(F.struct("weakest", "path")).alias("m"), F.least(F.sum("routes"), F.lit(most_routes)).alias("routes"))
         layer = cut(best.select(F.col("b").alias("id"), "m.weakest", "m.path", "routes"))
-        if layer.isEmpty():
-            break
-        seen = cut(seen.unionByName(layer.select("id")))
-    return spark.createDataFrame([], "path array<string>, hops int, weakest double, routes long")
+    return layer.select("path", F.lit(len(steps)).alias("hops"), "weakest", "routes")
+
+
+def _met(pairs: DataFrame, nodes: DataFrame, n: int, side: str) -> DataFrame:
+    """The rows of ``pairs`` whose ``side`` is among the ``n`` stored nodes."""
+    return pairs.join(_light(nodes.select(F.col("id").alias(side)), n), side, "left_semi")
+
+
+def _layers(near: DataFrame, into: DataFrame, source: str, target: str, depth: int):
+    """Layers of (nodes, their number) from the source, and back from the target, up to one that they share; or None twice.
+
+    The smaller end goes on, so that a hub on one side needn't be spread if the other gets there. The
+    last layer from the source and from the target is the shared one.
+    """
+    one = lambda name: (cut(near.sparkSession.createDataFrame([(name,)], "id string")), 1)
+    ends = [{"near": near, "layers": [one(source)]}, {"near": into, "layers": [one(target)]}]
+    for _ in range(depth):
+        mine, other = sorted(ends, key=lambda e: e["layers"][-1][1])
+        last, n = mine["layers"][-1]
+        found = _met(mine["near"], last, n, "a").select(F.col("b").alias("id")).distinct()
+        for old, n_old in mine["layers"]:
+            found = found.join(_light(old, n_old), "id", "left_anti")
+        found = cut(found)
+        n = found.count()
+        if not n:
+            return None, None
+        mine["layers"].append((found, n))
+        far, n_far = other["layers"][-1]
+        shared = cut(found.join(_light(far, n_far), "id", "left_semi"))
+        if both := shared.count():
+            mine["layers"][-1] = other["layers"][-1] = (shared, both)
+            return ends[0]["layers"], ends[1]["layers"]
+    return None, None
 
 
 def pagerank(weights: DataFrame, vertices: DataFrame, damping: float = 0.85, rounds: int = 30) -> DataFrame:
