@@ -1,6 +1,7 @@
 """What queries hand on grows with their input, and results are those of plain Python."""
 
 import random
+from contextlib import contextmanager
 from itertools import combinations
 
 from weft.operators import communities, memory, merge, traverse
@@ -28,6 +29,35 @@ def most(df, metric):
     return max((m.get().value() for m in found if m.isDefined()), default=0)
 
 
+@contextmanager
+def by_shuffle(spark):
+    """Joins of small tables as of large ones."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def shuffled(df):
+    """Rows that all shuffles of ``df`` wrote, after it was collected."""
+    found = [p.metrics().get("shuffleRecordsWritten") for p in plan_of(df)]
+    return sum(m.get().value() for m in found if m.isDefined())
+
+
+EDGES = "source string, target string, relation string, confidence string, confidence_score double, source_file string"
+
+
+def drawn_graph(spark, seed, nodes=40, edges=400):
+    drawn = random.Random(seed)
+    name = lambda: drawn.choice([None, *(f"n{k}" for k in range(nodes + 5))])
+    n = [(None if k == 7 else f"n{k}", f"L{k}", "entity", "f", k % 3 if k % 5 else None) for k in range(nodes)]
+    e = [(name(), name(), drawn.choice(["uses", "calls"]), "EXTRACTED", None, "f") for _ in range(edges)]
+    return n, e, spark.createDataFrame(n, "id string, label string, file_type string, source_file string, community long"), spark.createDataFrame(e, EDGES)
+
+
 def test_calls_meet_one_row_of_a_name(spark):
     rows = [("run", f"r{k % 3}", k) for k in range(300)] + [("one", "a", 1), ("one", "a", 1), ("two", "a", 1), ("two", "b", 2), ("null", None, 3), ("null", "a", None), ("null", "b", 4)]
     calls = [(s, r, n) for s, (n, r, _) in enumerate(rows)] + [(900, "b", "ONE"), (901, "c", "two"), (902, "b", "two"), (902, "a", "two"), (903, "c", "null")]
@@ -147,3 +177,16 @@ def test_paths_do_not_spread_a_hub_that_the_other_end_goes_round(spark, monkeypa
     monkeypatch.setattr(traverse, "cut", lambda df: (out := plain(df), sizes.append(out.count()))[0])
     assert [tuple(r) for r in traverse.shortest_path(edges, "s", "t").collect()] == [(["s", "a", "b", "t"], 3, 0.9, 1)]
     assert max(sizes) <= 4
+
+
+def test_diffs_shuffle_each_row_once(spark):
+    (n, e, ns, es), (m, f, ms, fs) = drawn_graph(spark, 1), drawn_graph(spark, 2, 30)
+    with by_shuffle(spark):
+        df = merge.diff_graphs(ns, es, ms, fs)
+        got = {r["what"]: r["n"] for r in df.collect()}
+        assert shuffled(df) <= len(n) + len(e) + len(m) + len(f) + 20
+    want = {}
+    for what, old, new in (("nodes", [r[:1] for r in n], [r[:1] for r in m]), ("edges", [r[:3] for r in e], [r[:3] for r in f])):
+        for name, a, b in (("added", new, old), ("removed", old, new)):
+            want[f"{what}_{name}"] = sum(None in r or r not in set(b) for r in set(a))
+    assert got == want

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from weft.plans.runtime import dealt
+
 EDGE_KEY = ("source", "target", "relation", "confidence", "confidence_score", "source_file")
 
 
@@ -32,13 +34,16 @@ def merge_graphs(graphs: list[tuple[str, DataFrame, DataFrame]]) -> tuple[DataFr
 
 def diff_graphs(old_nodes: DataFrame, old_edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> DataFrame:
     """(what, n): nodes by id, and edges by source, target and relation, that were added or removed."""
-    triple = ["source", "target", "relation"]
-    found = None
-    for what, a, b, keys in (
-        ("nodes_added", new_nodes, old_nodes, ["id"]), ("nodes_removed", old_nodes, new_nodes, ["id"]),
-        ("edges_added", new_edges, old_edges, triple), ("edges_removed", old_edges, new_edges, triple),
-    ):
-        n = a.select(*keys).distinct().join(b.select(*keys), keys, "left_anti").agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    rows, found = old_edges.count() + new_edges.count(), None
+    for what, old, new, keys in (("nodes", old_nodes, new_nodes, ["id"]), ("edges", old_edges, new_edges, ["source", "target", "relation"])):
+        side = lambda df, name: df.select(*keys, F.lit(name).alias("new"))  # noqa: B023, E731
+        each = dealt(side(old, False).unionByName(side(new, True)), rows, *keys).groupBy(*keys).agg(F.min("new").alias("lo"), F.max("new").alias("hi"))
+        whole = F.col(keys[0]).isNotNull()
+        for key in keys[1:]:
+            whole &= F.col(key).isNotNull()
+        # A null is equal to nothing, so that what has one is both added and removed.
+        n = each.agg(F.count_if(F.col("hi") & (F.col("lo") | ~whole)).alias("added"), F.count_if(~F.col("lo") & (~F.col("hi") | ~whole)).alias("removed"))
+        n = n.select(F.explode(F.array(*[F.struct(F.lit(f"{what}_{c}").alias("what"), F.col(c).alias("n")) for c in ("added", "removed")])).alias("r")).select("r.*")
         found = n if found is None else found.unionByName(n)
     return found
 
