@@ -5,7 +5,11 @@ from collections import Counter
 from contextlib import contextmanager
 from itertools import combinations
 
-from weft.operators import analytics, communities, memory, merge, traverse
+import pandas as pd
+from pyspark.sql import functions as F
+
+from weft.operators import analytics, communities, identity, memory, merge, traverse
+from weft.sources import prose
 
 
 def plan_of(df):
@@ -219,3 +223,16 @@ def test_surprising_connections_look_up_labels_of_what_is_shown(spark):
     score = lambda a, b: min(size[at[a][4]], size[at[b][4]]) / between[frozenset((at[a][4], at[b][4]))]
     want = sorted(met, key=lambda t: (-score(t[0], t[1]), t))[:5]
     assert got == [(a, at[a][1], b, at[b][1], r, at[a][4], at[b][4], score(a, b)) for a, b, r in want]
+
+
+def test_entities_that_can_meet_none_get_no_bands(spark, monkeypatch):
+    @F.pandas_udf("array<long>")
+    def bands(labels: pd.Series) -> pd.Series:
+        assert not labels.str.contains("777").any()
+        return labels.map(lambda s: [1])
+
+    monkeypatch.setattr(identity, "band_keys", bands)
+    labels = ["Acme Holdings 777", "Acme Holdings 12", "Acme Holding 12", "Blue Harbour", "Blue Harbor"]
+    nodes = spark.createDataFrame([(f"n{k}", x, "entity", "f", 1) for k, x in enumerate(labels)], "id string, label string, file_type string, source_file string, community long")
+    got = {(r["id"], r["survivor"]) for r in identity.merge_map(nodes).collect()}
+    assert got == {("n1", "n2"), ("n3", "n4")}

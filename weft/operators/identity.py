@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from weft.functions.similarity import band_keys, jaro_winkler_of, plain_label
 from weft.functions.text import digit_runs, entropy, label_shape
@@ -66,9 +66,11 @@ def merge_map(nodes: DataFrame) -> DataFrame:
     alike = named.groupBy(*keys).agg(F.min("id").alias("lead"))
     same = named.join(alike, [named[k].eqNullSafe(alike[k]) for k in keys]).filter("id <> lead").select(F.col("id").alias("src"), F.col("lead").alias("dst"))
     bands = F.transform(band_keys(F.col("norm")), lambda k, i: F.struct(i.alias("band"), k.alias("hash")))
-    banded = alike.withColumn("bands", bands).withColumn("key", F.explode("bands"))
-    # Entities of other digit runs or shapes never merge, so they needn't meet.
-    banded = banded.withColumn("key", F.xxhash64("key.band", "key.hash", F.array_join(digit_runs(F.col("norm")), " "), "shape"))
+    # Entities of other digit runs or shapes never merge, so they needn't meet, and who is alone with its own needs no bands.
+    home = F.xxhash64(F.array_join(digit_runs(F.col("norm")), " "), "shape")
+    housed = alike.withColumn("home", home).withColumn("n", F.count("*").over(Window.partitionBy("home"))).filter("n > 1").drop("n")
+    banded = housed.withColumn("bands", bands).withColumn("key", F.explode("bands"))
+    banded = banded.withColumn("key", F.xxhash64("key.band", "key.hash", "home")).drop("home")
     crowded = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     met = banded.drop("bands").join(crowded, "key", "left_semi")
 
