@@ -236,3 +236,19 @@ def test_entities_that_can_meet_none_get_no_bands(spark, monkeypatch):
     nodes = spark.createDataFrame([(f"n{k}", x, "entity", "f", 1) for k, x in enumerate(labels)], "id string, label string, file_type string, source_file string, community long")
     got = {(r["id"], r["survivor"]) for r in identity.merge_map(nodes).collect()}
     assert got == {("n1", "n2"), ("n3", "n4")}
+
+
+def test_documents_are_handed_on_in_slices(spark):
+    class Files:
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, read, schema):
+            return read
+
+    texts = ["word " * (prose.SLICE // 20)] * 30
+    read = prose.extract(Files())
+    out = list(read(iter([pd.DataFrame({"path": [f"d{k}.md" for k in range(30)], "text": texts})])))
+    assert [p for f in out for p in f["file_path"]] == [f"d{k}.md" for k in range(30)] and len(out) == 6
