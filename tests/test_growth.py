@@ -252,3 +252,18 @@ def test_documents_are_handed_on_in_slices(spark):
     read = prose.extract(Files())
     out = list(read(iter([pd.DataFrame({"path": [f"d{k}.md" for k in range(30)], "text": texts})])))
     assert [p for f in out for p in f["file_path"]] == [f"d{k}.md" for k in range(30)] and len(out) == 6
+
+
+def test_merged_graphs_keep_what_has_nodes(spark):
+    n, e, _, _ = drawn_graph(spark, 6)
+    n = [r if k % 4 else (*r[:3], "", r[4]) for k, r in enumerate(n) if r[0]]
+    ns, es = spark.createDataFrame(n, "id string, label string, file_type string, source_file string, community long"), spark.createDataFrame(e, EDGES)
+    with by_shuffle(spark):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        nodes, edges = merge.merge_graphs([("a", ns, es), ("b", ns, es)])
+        got = sorted(tuple(r) for r in edges.select("source", "target", "relation").collect())
+        edges.collect()
+        assert shuffled(edges) <= 2 * len(e)
+    new = {(tag, i): f"{tag}::{i}" if file else f"stub::{label.lower()}" for i, label, _, file, _ in n for tag in "ab"}
+    assert got == sorted({(new[t, a], new[t, b], r) for a, b, r, *_ in e for t in "ab" if (t, a) in new and (t, b) in new and a != b})
+    assert sorted(r["id"] for r in nodes.collect()) == sorted(set(new.values()))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from weft.plans.runtime import dealt
+from weft.plans.runtime import cut, dealt, light
 
 EDGE_KEY = ("source", "target", "relation", "confidence", "confidence_score", "source_file")
 
@@ -13,23 +13,38 @@ def namespaced(nodes: DataFrame, edges: DataFrame, tag: str) -> tuple[DataFrame,
     """The graph with the ids of located nodes under ``tag``, and of the others under their lower-case label."""
     located = F.coalesce("source_file", F.lit("")) != ""
     new = F.when(located, F.concat(F.lit(f"{tag}::"), "id")).otherwise(F.concat(F.lit("stub::"), F.lower("label")))
-    names = nodes.select(F.col("id").alias("old"), new.alias("new"))
-    out = edges
+    # Only ends that aren't located or have no node are looked up, so that edges aren't shuffled for it.
+    bare, placed = cut(nodes.filter(~located)), nodes.filter(located)
+    ends = edges.select(F.explode(F.array("source", "target")).alias("old"))
+    kinds = {"end": ends, "placed": placed.select(F.col("id").alias("old")), "bare": bare.select(F.col("id").alias("old"))}
+    met = None
+    for kind, ids in kinds.items():
+        ids = ids.select("old", *[F.lit(k == kind).alias(k) for k in kinds])
+        met = ids if met is None else met.unionByName(ids)
+    met = met.filter("old IS NOT NULL").groupBy("old").agg(*[F.max(k).alias(k) for k in kinds])
+    odd = cut(met.filter("end AND (bare OR NOT placed)"))
+    found = bare.select(F.col("id").alias("old"), new.alias("new")).join(light(odd.select("old"), odd.count()), "old", "left_semi").distinct()
+    found = found.unionByName(odd.filter("placed").select("old", F.concat(F.lit(f"{tag}::"), "old").alias("new")))
+    other = cut(found.unionByName(odd.filter("NOT placed AND NOT bare").select("old", F.lit(None).cast("string").alias("new"))).withColumn("odd", F.lit(True)))
+    n, out = other.count(), edges
     for side in ("source", "target"):
-        out = out.join(names, F.col(side) == F.col("old")).withColumn(side, F.col("new")).drop("old", "new")
-    return nodes.withColumn("id", new).withColumn("repo", F.when(located, F.lit(tag))), out.select(*edges.columns)
+        out = out.filter(F.col(side).isNotNull()).join(light(other, n), F.col(side) == F.col("old"), "left").filter("odd IS NULL OR new IS NOT NULL")
+        out = out.withColumn(side, F.coalesce("new", F.concat(F.lit(f"{tag}::"), side))).drop("old", "new", "odd")
+    return placed.unionByName(bare).withColumn("id", new).withColumn("repo", F.when(located, F.lit(tag))), out.select(*edges.columns)
 
 
 def merge_graphs(graphs: list[tuple[str, DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
     """One graph of several (tag, nodes, edges): shared stubs are one, loops go, equal edges are one."""
     nodes = edges = None
+    rows = 0
     for tag, n, e in graphs:
+        rows += e.count()
         n, e = namespaced(n, e, tag)
         nodes = n if nodes is None else nodes.unionByName(n)
         edges = e if edges is None else edges.unionByName(e)
     first = Window.partitionBy("id").orderBy(F.col("repo").asc_nulls_last(), "label")
     nodes = nodes.withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth")
-    return nodes, edges.filter("source <> target").dropDuplicates([c for c in EDGE_KEY if c in edges.columns])
+    return nodes, dealt(edges.filter("source <> target"), rows, "source", "target").dropDuplicates([c for c in EDGE_KEY if c in edges.columns])
 
 
 def diff_graphs(old_nodes: DataFrame, old_edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> DataFrame:
